@@ -173,3 +173,64 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], method: str = "
         return h.quantiles(probs, method)
     finally:
         h.unpersist()
+
+
+def grouped_ranked(df: DataFrame, groups: list[str], col: str, buckets: int | None = None,
+                   accuracy: int = 10000) -> DataFrame:
+    """Ranked histogram per group: ``groups..., value, cnt, below, n`` where
+    ``below`` counts the group's rows with a smaller value and ``n`` is the
+    group's non-null row count.  Windows are partitioned by
+    ``(groups, bucket)``, and bucket offsets come from a window over at most
+    ``buckets`` rows per group, so neither a hot group nor a hot value lands
+    whole in one task."""
+    spark = df.sparkSession
+    buckets = buckets or max(2, default_parallelism(spark))
+    gcols = [F.col(g) for g in groups]
+    hist = (df.where(_not_missing(df, col))
+              .groupBy(*gcols, F.col(col).alias("value"))
+              .agg(F.count(F.lit(1)).alias("cnt")))
+    fracs = [i / buckets for i in range(1, buckets)]
+    st = hist.agg(F.count(F.lit(1)).alias("d"),
+                  F.percentile_approx("value", fracs, accuracy).alias("e")).first()
+    edges = []
+    if int(st["d"] or 0) > SINGLE_BUCKET_MAX_DISTINCT and st["e"]:
+        edges = sorted(set(v for v in st["e"] if v is not None))
+    hist_b = hist.withColumn("bucket", bucket_expr(F.col("value"), edges) if edges else F.lit(0))
+    key = groups + ["bucket"]
+    totals = hist_b.groupBy(*key).agg(F.sum("cnt").alias("__t"))
+    wg = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    totals = (totals
+              .withColumn("__off", F.coalesce(F.sum("__t").over(
+                  wg.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .withColumn("n", F.sum("__t").over(wg.rowsBetween(Window.unboundedPreceding,
+                                                                 Window.unboundedFollowing)))
+              .drop("__t"))
+    w = Window.partitionBy(*key).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = hist_b.withColumn("__in", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
+    return (ranked.join(totals, key)
+            .select(*groups, "value", "cnt",
+                    (F.col("__off") + F.col("__in")).cast("long").alias("below"),
+                    F.col("n").cast("long").alias("n")))
+
+
+def grouped_quantiles(df: DataFrame, groups: list[str], col: str, probs: list[float],
+                      names: list[str] | None = None, method: str = "linear") -> DataFrame:
+    """Exact per-group quantiles as a DataFrame (nothing collected):
+    ``groups..., <name per prob>``.  ``linear`` matches numpy/pandas and
+    DuckDB ``quantile_cont``; ``lower`` the lower order statistic."""
+    names = names or [f"q{int(round(p * 100))}" for p in probs]
+    r = grouped_ranked(df, groups, col)
+    aggs = []
+    for p, nm in zip(probs, names):
+        h = (F.col("n") - 1) * F.lit(float(p))
+        lo, hi = F.floor(h), F.ceil(h)
+        at = lambda pos: F.max(F.when((F.col("below") <= pos) & (F.col("below") + F.col("cnt") > pos),
+                                      F.col("value").cast("double")))
+        aggs += [at(lo).alias(f"__lo_{nm}"), at(hi).alias(f"__hi_{nm}"),
+                 F.first(h - lo).alias(f"__fr_{nm}")]
+    g = r.groupBy(*groups).agg(*aggs) if groups else r.agg(*aggs)
+    outs = []
+    for nm in names:
+        lo, hi, fr = F.col(f"__lo_{nm}"), F.col(f"__hi_{nm}"), F.col(f"__fr_{nm}")
+        outs.append((lo if method == "lower" else lo + fr * (hi - lo)).alias(nm))
+    return g.select(*groups, *outs)
