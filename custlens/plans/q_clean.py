@@ -10,19 +10,15 @@ from .registry import fx_df, fx_sql, query
 
 # Dirty copy of events, derived in the query itself: value NULL where
 # event_id % 11 = 0, event_type NULL where % 7 = 0, user_id NULL where
-# % 2 = 0, and every row with event_id % 13 = 0 present twice.
+# % 2 = 0, and every 'click' event present twice.
 DIRTY_EVENTS_SQL = """
-SELECT event_id, ts,
-       CASE WHEN event_id % 2 = 0 THEN NULL ELSE user_id END AS user_id,
-       CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS event_type,
-       CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value
-FROM events
-UNION ALL
-SELECT event_id, ts,
-       CASE WHEN event_id % 2 = 0 THEN NULL ELSE user_id END,
-       CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END,
-       CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END
-FROM events WHERE event_id % 13 = 0
+WITH base AS (
+  SELECT event_id, ts,
+         CASE WHEN event_id % 2 = 0 THEN NULL ELSE user_id END AS user_id,
+         CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS event_type,
+         CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value
+  FROM events)
+SELECT * FROM base UNION ALL SELECT * FROM base WHERE event_type = 'click'
 """
 
 
@@ -34,7 +30,7 @@ def dirty_events(spark, sf_dir):
         F.when(eid % 2 == 0, F.lit(None)).otherwise(F.col("user_id")).alias("user_id"),
         F.when(eid % 7 == 0, F.lit(None)).otherwise(F.col("event_type")).alias("event_type"),
         F.when(eid % 11 == 0, F.lit(None)).otherwise(F.col("value")).alias("value"))
-    return d.unionByName(d.where(eid % 13 == 0))
+    return d.unionByName(d.where(F.col("event_type") == "click"))
 
 
 INF_EVENTS_SQL = """
