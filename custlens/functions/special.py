@@ -26,6 +26,14 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it many times in ``body`` (a lambda over
+    one Column).  Expressions that reference an input many times (polynomial
+    approximations, piecewise maps) would otherwise copy the whole input
+    subtree at every use and grow multiplicatively when nested."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def lgamma(x) -> Column:
     """ln Γ(x) for x > 0 (Lanczos, relative error ~1e-15); NULL otherwise."""
     x = _c(x).cast("double")
@@ -72,14 +80,17 @@ ERFC_COEF = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
 
 
 def erfc(x) -> Column:
-    x = _c(x).cast("double")
-    z = F.abs(x)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * z)
-    poly = F.lit(ERFC_COEF[-1])
-    for c in reversed(ERFC_COEF[:-1]):
-        poly = F.lit(c) + t * poly
-    ans = t * F.exp(-z * z + poly)
-    return F.when(x >= 0, ans).otherwise(F.lit(2.0) - ans)
+    def body(x):
+        z = F.abs(x)
+
+        def with_t(t):
+            poly = F.lit(ERFC_COEF[-1])
+            for c in reversed(ERFC_COEF[:-1]):
+                poly = F.lit(c) + t * poly
+            ans = t * F.exp(-z * z + poly)
+            return F.when(x >= 0, ans).otherwise(F.lit(2.0) - ans)
+        return let(F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * z), with_t)
+    return let(_c(x).cast("double"), body)
 
 
 def norm_cdf(x) -> Column:
@@ -107,17 +118,19 @@ def _horner(coefs, x):
 
 
 def norm_ppf(p) -> Column:
-    """Standard normal quantile Φ⁻¹(p) for 0 < p < 1."""
-    p = _c(p).cast("double")
-    q = p - F.lit(0.5)
-    r = q * q
-    central = _horner(PPF_A, r) * q / (_horner(PPF_B, r) * r + F.lit(1.0))
-    ql = F.sqrt(F.lit(-2.0) * F.log(p))
-    low = _horner(PPF_C, ql) / (_horner(PPF_D, ql) * ql + F.lit(1.0))
-    qh = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - p))
-    high = -_horner(PPF_C, qh) / (_horner(PPF_D, qh) * qh + F.lit(1.0))
-    return (F.when((p <= 0) | (p >= 1), F.lit(None))
-            .when(p < PPF_LOW, low).when(p > 1 - PPF_LOW, high).otherwise(central))
+    """Standard normal quantile Φ⁻¹(p) for 0 < p < 1 (NULL outside)."""
+    def body(p):
+        def central(q):
+            return let(q * q, lambda r: _horner(PPF_A, r) * q / (_horner(PPF_B, r) * r + F.lit(1.0)))
+
+        def tail(t):  # t = sqrt(-2 ln(min(p, 1-p)))
+            return _horner(PPF_C, t) / (_horner(PPF_D, t) * t + F.lit(1.0))
+
+        tail_v = let(F.sqrt(F.lit(-2.0) * F.log(F.least(p, F.lit(1.0) - p))), tail)
+        return (F.when((p <= 0) | (p >= 1), F.lit(None).cast("double"))
+                .when(p < PPF_LOW, tail_v).when(p > 1 - PPF_LOW, -tail_v)
+                .otherwise(let(p - F.lit(0.5), central)))
+    return let(_c(p).cast("double"), body)
 
 
 # ---------------------------------------------------------------- scalars

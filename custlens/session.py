@@ -26,6 +26,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    # local mode runs everything in the driver JVM; 1 GiB default is too small
+    conf.setdefault("spark.driver.memory", os.environ.get("CUSTLENS_DRIVER_MEMORY", "4g"))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
