@@ -41,11 +41,23 @@ def minmax_exprs(df: DataFrame, cols: list[str]) -> dict:
 
 class _HasTarget(Params):
     target = Param(Params._dummy(), "target", "target column left untouched", TypeConverters.toString)
+    passthrough = Param(Params._dummy(), "passthrough", "columns carried along untouched (row keys)",
+                        TypeConverters.toListString)
 
-    def _features(self, df: DataFrame, kind: str = "numeric") -> list[str]:
+    def _skip(self) -> set:
         t = self.getOrDefault(self.target) if self.isDefined(self.target) else None
+        keep = self.getOrDefault(self.passthrough) if self.isDefined(self.passthrough) else []
+        return set(keep) | ({t} if t else set())
+
+    def _features(self, df: DataFrame, kind: str = "numeric") -> list[str]:
         cols = numeric_columns(df) if kind == "numeric" else categorical_columns(df)
-        return [c for c in cols if c != t]
+        skip = self._skip()
+        return [c for c in cols if c not in skip]
+
+    def _with_passthrough(self, passthrough):
+        if passthrough:
+            self._set(passthrough=list(passthrough))
+        return self
 
 
 class _Fitted(Params):
@@ -83,7 +95,8 @@ def _validation_apply(self, df):
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise TypeError(f"test data does not have column(s) {missing}")
-    keep = cols + ([t] if t and t in df.columns and t not in cols else [])
+    extra = st.get("passthrough", [])
+    keep = cols + [c for c in extra + ([t] if t else []) if c in df.columns and c not in cols]
     out = df.select(*keep)
     floats = [c for c in st["floats"] if c in keep]
     return out.withColumns({c: F.when(F.isnan(c) | (F.abs(F.col(c)) == F.lit(float("inf"))), F.lit(None))
@@ -107,14 +120,16 @@ class Validation(Estimator, _HasTarget, DefaultParamsReadable, DefaultParamsWrit
     def _fit(self, df: DataFrame):
         t = self.getOrDefault(self.target) if self.isDefined(self.target) else None
         dt = set(datetime_columns(df))
+        skip = self._skip()
         seen, cols = set(), []
         for c in df.columns:
-            if c in seen or c in dt or c == t:
+            if c in seen or c in dt or c in skip:
                 continue
             seen.add(c)
             cols.append(c)
         floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
-        return ValidationModel({"columns": cols, "floats": floats}, t)
+        keep = self.getOrDefault(self.passthrough) if self.isDefined(self.passthrough) else []
+        return ValidationModel({"columns": cols, "floats": floats, "passthrough": list(keep)}, t)
 
 
 # ---------------------------------------------------------------- C9
@@ -540,7 +555,7 @@ def inverse_label(df: DataFrame, labels: list[str], col: str = "prediction", out
 
 # ---------------------------------------------------------------- I12
 PIPELINE_OPTIONS = ("numeric_imputation_strategy", "categorical_imputation_strategy", "scaler",
-                    "cluster", "collinearity", "zero_variance", "n_clusters")
+                    "cluster", "collinearity", "zero_variance", "n_clusters", "passthrough")
 
 
 def preprocess_pipeline(ml_type: str, target: str, **options) -> Pipeline:
@@ -564,4 +579,7 @@ def preprocess_pipeline(ml_type: str, target: str, **options) -> Pipeline:
     if options.get("cluster", True):
         stages.append(ClusterData(target=target, k=options.get("n_clusters", 5)))
     stages.append(TargetTreat(target=target, ml_type=ml_type))
+    keep = options.get("passthrough") or []
+    for st in stages:
+        st._with_passthrough(keep)
     return Pipeline(stages=stages)
