@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flagship, q_clean, q_clv, q_ml, q_prep, q_reports, q_rfm, q_stats  # noqa: F401
+from . import flagship, q_clean, q_clv, q_ml, q_prep, q_reports, q_rfm, q_sources, q_stats  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
