@@ -363,3 +363,39 @@ SELECT id, rfm_score, {_regex_label_sql('rfm_score')} AS Label FROM c""")
 def e7_regex_label(spark, sf_dir):
     x = _quantile_codes(spark, sf_dir, 0)
     return x.select("id", "rfm_score", regex_label("rfm_score").alias("Label"))
+
+
+# ---------------------------------------------------------------- E9, E11-E14
+@query("e9_order_clusters", """
+WITH m AS (SELECT c_mktsegment, avg(c_acctbal) AS m FROM customer GROUP BY 1),
+r AS (SELECT c_mktsegment, CAST(row_number() OVER (ORDER BY m, c_mktsegment) - 1 AS INTEGER) AS seg_rank FROM m)
+SELECT c.c_custkey, r.seg_rank FROM customer c JOIN r ON c.c_mktsegment = r.c_mktsegment""")
+def e9_order_clusters(spark, sf_dir):
+    c = Tables(spark, sf_dir).customer.select("c_custkey", "c_mktsegment", "c_acctbal")
+    return S.order_clusters(c, "c_mktsegment", "c_acctbal", True, out="seg_rank").select("c_custkey", "seg_rank")
+
+
+@query("e14_cluster_profile", fx_sql("""
+SELECT c_mktsegment, avg(c_acctbal) AS avg_c_acctbal, avg(c_nationkey) AS avg_c_nationkey,
+       CAST(count(*) AS BIGINT) AS size FROM customer GROUP BY 1""", ["avg_c_acctbal", "avg_c_nationkey"]))
+def e14_cluster_profile(spark, sf_dir):
+    c = Tables(spark, sf_dir).customer
+    return fx_df(S.cluster_profile(c, "c_mktsegment", ["c_acctbal", "c_nationkey"]))
+
+
+@query("e11_rfm_kmeans")
+def e11_rfm_kmeans(spark, sf_dir):
+    """Min-max scaled RFM columns clustered with k-means (k=5, seed 42)."""
+    r = orders_rfm(spark, sf_dir)
+    lab, _ = S.rfm_kmeans(r, ["recency", "frequency", "monetary"], k=5, seed=42)
+    return lab.select("cust_id", "cluster")
+
+
+@query("e12_elbow")
+def e12_elbow(spark, sf_dir):
+    return S.elbow(orders_rfm(spark, sf_dir), ["recency", "frequency", "monetary"], range(1, 8))
+
+
+@query("e13_silhouette")
+def e13_silhouette(spark, sf_dir):
+    return S.silhouette(orders_rfm(spark, sf_dir), ["recency", "frequency", "monetary"], range(2, 7))

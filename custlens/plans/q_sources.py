@@ -339,3 +339,13 @@ def b11_ingest_stream(spark, sf_dir):
     g = spark.read.parquet(good).groupBy("_file").agg(F.count(F.lit(1)).alias("rows")).withColumn("part", F.lit("good"))
     b = spark.read.parquet(bad).groupBy("_file").agg(F.sum("rows").alias("rows")).withColumn("part", F.lit("bad"))
     return g.unionByName(b)
+
+
+@query("a5_export_csv", fx_sql("SELECT o_orderkey, o_custkey, o_totalprice FROM orders", ["o_totalprice"]))
+def a5_export_csv(spark, sf_dir):
+    """Full-table CSV export (multi-part) read back with its header."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    path = A.export_csv(o, A.scratch_dir(spark, "export"))
+    st = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()),
+                       T.StructField("o_totalprice", T.DoubleType())])
+    return fx_df(A.load_csv(spark, path, st))
