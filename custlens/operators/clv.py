@@ -95,15 +95,21 @@ def _batched_objective(suff: DataFrame, ll_of, penalizer: float):
     The plan and its generated code are the same every round; only the
     literal array (a runtime reference) changes."""
 
+    built: dict = {}
+
     def f_batch(points):
         d = len(points[0])
+        if d not in built:
+            # The likelihood Column is a large expression tree; build it once
+            # (it refers to the candidate only through the exploded struct).
+            ll = ll_of(*[F.col(f"__c.p{j}") for j in range(d)])
+            built[d] = (F.sum(F.col("n") * ll).alias("s"), F.sum("n").alias("w"))
+        s_col, w_col = built[d]
         cands = F.array(*[F.struct(F.lit(i).alias("cid"),
                                    *[F.lit(float(math.exp(v))).alias(f"p{j}") for j, v in enumerate(lp)])
                           for i, lp in enumerate(points)])
         ex = suff.select("*", F.explode(cands).alias("__c"))
-        ll = ll_of(*[F.col(f"__c.p{j}") for j in range(d)])
-        rows = ex.groupBy(F.col("__c.cid").alias("cid")).agg(
-            F.sum(F.col("n") * ll).alias("s"), F.sum("n").alias("w")).collect()
+        rows = ex.groupBy(F.col("__c.cid").alias("cid")).agg(s_col, w_col).collect()
         got = {r["cid"]: (r["s"], r["w"]) for r in rows}
         out = []
         for i, lp in enumerate(points):

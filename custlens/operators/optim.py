@@ -60,48 +60,77 @@ def _derivs(vals, x, h):
 
 
 def batch_minimize(f_batch: Callable[[list[np.ndarray]], list[float]], x0, max_rounds: int = 40,
-                   h: float = 1e-4, tol: float = 1e-10, bounds=(-20.0, 20.0)) -> OptimResult:
-    x = np.asarray(x0, dtype=float)
+                   h: float = 1e-4, tol: float = 1e-8, bounds=(-20.0, 20.0)) -> OptimResult:
+    """Damped Newton with finite-difference derivatives, one Spark job per
+    round in the common case: each batch holds the line-search points *and*
+    the derivative stencil around the full Newton step, so when the full step
+    is taken (the usual case near the optimum) the next round's derivatives
+    are already known.  Coordinates pinned at a bound with the gradient
+    pointing outwards are frozen."""
+    lo_b, hi_b = bounds
+    x = np.clip(np.asarray(x0, dtype=float), lo_b, hi_b)
+    d = len(x)
+
+    def clean(vals):
+        return [float(v) if v is not None and np.isfinite(v) else np.inf for v in vals]
+
     history = []
+    stencil_vals = clean(f_batch(_stencil(x, h)))
     lam = 1e-6
-    fx = None
     converged = False
-    steps = [1.0, 0.5, 0.25, 0.1, 0.03, 0.01]
+    steps = [1.0, 0.5, 0.25, 0.1, 0.03]
+    fx = stencil_vals[0]
+    small = 0
     rounds = 0
     for rounds in range(1, max_rounds + 1):
-        vals = [float(v) if v is not None and np.isfinite(v) else np.inf for v in f_batch(_stencil(x, h))]
-        f0, g, H = _derivs(vals, x, h)
+        f0, g, H = _derivs(stencil_vals, x, h)
         fx = f0
         if not np.all(np.isfinite(g)) or not np.all(np.isfinite(H)):
-            g = np.nan_to_num(g)
-            H = np.eye(len(x))
-        # damped Newton direction (Levenberg): make H + lam*I positive definite
-        d = len(x)
+            g, H = np.nan_to_num(g, posinf=0.0, neginf=0.0), np.eye(d)
+        free = ~(((x <= lo_b + 1e-9) & (g > 0)) | ((x >= hi_b - 1e-9) & (g < 0)))
+        gp = np.where(free, g, 0.0)
+        Hp = H.copy()
+        Hp[~free, :] = 0.0
+        Hp[:, ~free] = 0.0
+        Hp[~free, ~free] = 1.0
+        gnorm = float(np.linalg.norm(gp))
+        history.append((rounds, f0, gnorm))
+        if gnorm < 1e-6:
+            converged = True
+            break
         for _ in range(30):
             try:
-                Hd = H + lam * np.eye(d)
+                Hd = Hp + lam * np.eye(d)
                 np.linalg.cholesky(Hd)
-                p = -np.linalg.solve(Hd, g)
+                p = -np.linalg.solve(Hd, gp)
                 break
             except np.linalg.LinAlgError:
                 lam = max(lam * 10, 1e-6)
         else:
-            p = -g
-        cands = [np.clip(x + s * p, *bounds) for s in steps] + [np.clip(x - 0.1 * g / (np.linalg.norm(g) + 1e-12), *bounds)]
-        cvals = [float(v) if v is not None and np.isfinite(v) else np.inf for v in f_batch(cands)]
+            p = -gp
+        cands = [np.clip(x + s * p, lo_b, hi_b) for s in steps]
+        cands.append(np.clip(x - 0.1 * gp / (gnorm + 1e-12), lo_b, hi_b))
+        spec = _stencil(cands[0], h)
+        vals = clean(f_batch(cands + spec))
+        cvals, svals = vals[:len(cands)], vals[len(cands):]
         i = int(np.argmin(cvals))
-        history.append((rounds, f0, float(np.linalg.norm(g))))
         if cvals[i] < f0:
             improvement = f0 - cvals[i]
             x = cands[i]
             fx = cvals[i]
-            lam = max(lam / 10, 1e-9) if i == 0 else lam * 2
-            if improvement < tol and np.linalg.norm(g) < 1e-4:
+            if i == 0:
+                stencil_vals = svals
+                lam = max(lam / 10, 1e-9)
+            else:
+                stencil_vals = clean(f_batch(_stencil(x, h)))
+                lam *= 2
+            small = small + 1 if improvement < tol * max(1.0, abs(f0)) else 0
+            if small >= 2:
                 converged = True
                 break
         else:
-            if np.linalg.norm(g) < 1e-5 or np.linalg.norm(p) < 1e-9:
+            if gnorm < 1e-5 or np.linalg.norm(p) < 1e-10:
                 converged = True
                 break
-            lam = lam * 100
+            lam *= 100
     return OptimResult(x, float(fx), rounds, converged, history)

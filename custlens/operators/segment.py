@@ -111,11 +111,15 @@ def kmedoids_1d(df: DataFrame, col: str, k: int = 5, max_iter: int = 50,
         for _ in range(max_iter):
             bounds = [(a + b) / 2.0 for a, b in zip(medoids, medoids[1:])]
             cl = bucket_expr(F.col("value"), bounds) if bounds else F.lit(0)
-            stats = (h.df.groupBy(cl.alias("c"))
-                     .agg(F.min("below").alias("start"), F.sum("cnt").alias("size")).collect())
-            targets = {r["c"]: r["start"] + (r["size"] - 1) // 2 for r in stats}
-            got = h.values_at(list(targets.values()))
-            new = sorted(set(float(got[targets[c]]) for c in targets))
+            hc = h.df.withColumn("c", cl)
+            # one job: cluster sizes and starts (k rows, broadcast back by AQE),
+            # then the histogram row holding each cluster's lower median
+            stats = hc.groupBy("c").agg(
+                (F.min("below") + F.floor((F.sum("cnt") - 1) / 2)).cast("long").alias("t"))
+            got = (hc.join(stats, "c")
+                   .where((F.col("below") <= F.col("t")) & (F.col("below") + F.col("cnt") > F.col("t")))
+                   .select("value").collect())
+            new = sorted(set(float(r["value"]) for r in got))
             if new == medoids:
                 break
             medoids = new
@@ -146,13 +150,22 @@ def order_clusters(df: DataFrame, cluster: str, target: str, ascending: bool = T
 # E10
 def ml_segment(df: DataFrame, r: str = "recency", f: str = "frequency", m: str = "monetary",
                k: int = 5, max_iter: int = 50, out: str = "ml_label", keep_code: bool = False) -> DataFrame:
-    """Cluster recency, frequency and monetary separately (1-D k-medoids),
-    order the clusters by mean (recency descending: 0 = stalest), join the
-    three digits and map the first two to a segment name."""
-    x = df
-    for col, asc, tag in ((r, False, "r"), (f, True, "f"), (m, True, "m")):
-        x, _ = kmedoids_1d(x, col, k=k, max_iter=max_iter, out=f"__ml_{tag}")
-        x = order_clusters(x, f"__ml_{tag}", col, ascending=asc)
+    """Cluster recency, frequency and monetary separately (1-D k-medoids, the
+    three fits run as concurrent Spark jobs), order the clusters by mean
+    (recency descending: 0 = stalest), join the three digits and map the
+    first two to a segment name.  1-D clusters are contiguous value ranges,
+    so ordering by mean is ordering by medoid: no extra pass is needed."""
+    from concurrent.futures import ThreadPoolExecutor
+    base = df.persist()
+    specs = ((r, False, "r"), (f, True, "f"), (m, True, "m"))
+    with ThreadPoolExecutor(max_workers=3) as ex:
+        fits = list(ex.map(lambda sp: kmedoids_1d(base, sp[0], k=k, max_iter=max_iter)[1], specs))
+    x = base
+    for (col, asc, tag), medoids in zip(specs, fits):
+        bounds = [(a + b) / 2.0 for a, b in zip(medoids, medoids[1:])]
+        idx = bucket_expr(F.col(col), bounds) if bounds else F.lit(0)
+        lab = idx if asc else F.lit(len(medoids) - 1) - idx
+        x = x.withColumn(f"__ml_{tag}", F.when(F.col(col).isNotNull(), lab.cast("int")))
     code = composite_code("__ml_r", "__ml_f", "__ml_m")
     x = x.withColumn("ml_code", code).withColumn(out, segment_from_code("ml_code"))
     x = x.drop("__ml_r", "__ml_f", "__ml_m")
