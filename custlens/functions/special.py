@@ -73,6 +73,29 @@ def hyp2f1(a, b, c, z, n_terms: Column | int | None = None) -> Column:
     return F.aggregate(ks, init, step, lambda acc: acc["s"])
 
 
+def hyp2f1_multi(a, b, c, zs: list, n_terms: Column | None = None) -> Column:
+    """``2F1(a,b;c;z_j)`` for several ``z_j`` sharing ``a, b, c`` in a single
+    fold: the coefficient recurrence is computed once per term and each
+    ``z_j`` keeps its own power and partial sum.  The term count is the one
+    the largest ``z`` needs.  Returns a struct with fields ``s0, s1, ...``;
+    bind it once (``let``) before reading several fields."""
+    a, b, c = _c(a), _c(b), _c(c)
+    zs = [_c(z) for z in zs]
+    n = hyp2f1_terms(a, b, c, F.greatest(*zs) if len(zs) > 1 else zs[0]) if n_terms is None else n_terms
+    ks = F.sequence(F.lit(0), n - F.lit(1))
+    init = F.struct(F.lit(1.0).alias("q"), *[F.lit(1.0).alias(f"p{j}") for j in range(len(zs))],
+                    *[F.lit(1.0).alias(f"s{j}") for j in range(len(zs))])
+
+    def step(acc, k):
+        kd = k.cast("double")
+        q = acc["q"] * (a + kd) * (b + kd) / ((c + kd) * (kd + F.lit(1.0)))
+        ps = [acc[f"p{j}"] * z for j, z in enumerate(zs)]
+        return F.struct(q.alias("q"), *[p.alias(f"p{j}") for j, p in enumerate(ps)],
+                        *[(acc[f"s{j}"] + q * p).alias(f"s{j}") for j, p in enumerate(ps)])
+
+    return F.aggregate(ks, init, step)
+
+
 # --- fixed values: complementary error function, Chebyshev fit
 # (fractional error below 1.2e-7 everywhere)
 ERFC_COEF = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,

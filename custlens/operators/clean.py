@@ -139,12 +139,19 @@ def drop_zero_variance(df: DataFrame, cols: list[str] | None = None) -> DataFram
 
 # C10
 def unique_valued_columns(df: DataFrame, cols: list[str] | None = None) -> list[str]:
-    """String columns whose distinct count reaches the row count (ids)."""
+    """String columns whose distinct count reaches the row count (ids).
+    One pass of HyperLogLog sketches screens the columns; only those whose
+    estimate is within the sketch error of the row count get an exact
+    distinct count (each a separate two-phase aggregation, never the
+    multi-distinct expansion of all columns at once)."""
     cols = cols or categorical_columns(df)
     if not cols:
         return []
-    r = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_distinct(c).alias(c) for c in cols]).first()
-    return [c for c in cols if r[c] >= r["__n"]]
+    r = df.agg(F.count(F.lit(1)).alias("__n"),
+               *[F.approx_count_distinct(c, 0.01).alias(c) for c in cols]).first()
+    n = r["__n"]
+    candidates = [c for c in cols if r[c] >= 0.95 * n]
+    return [c for c in candidates if df.select(F.count_distinct(c)).first()[0] >= n]
 
 
 # C11

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import hyp2f1, lgamma
+from ..functions.special import hyp2f1, hyp2f1_multi, let, lgamma
 from ..session import cut_lineage
 from .optim import batch_minimize
 from .ranking import ranked_histogram
@@ -212,13 +212,28 @@ def clv_expr(bg: BGNBDParams, gg: GammaGammaParams, months: int = 12, rate: floa
     """Discounted value of the next ``months`` months:
     ``E[M] * sum_i (E[X(30 i)] - E[X(30 (i-1))]) / (1+rate)^i``."""
     em = expected_avg_value_expr(gg, x, m)
-    total = F.lit(0.0)
-    prev = F.lit(0.0)
-    for i in range(1, months + 1):
-        cur = expected_purchases_expr(bg, float(i * days_per_month), x, t, T)
-        total = total + (cur - prev) / F.lit((1.0 + rate) ** i)
-        prev = cur
-    return em * total
+    r, al, a, b = (F.lit(bg.r), F.lit(bg.alpha), F.lit(bg.a), F.lit(bg.b))
+    xc, Tc = _col(x).cast("double"), _col(T).cast("double")
+    horizons = [float(i * days_per_month) for i in range(1, months + 1)]
+    zs = [F.lit(s) / (al + Tc + F.lit(s)) for s in horizons]
+    # all horizons share a, b, c: one series fold gives every 2F1 value;
+    # the fold's result is bound once so it is evaluated once per row
+    res = hyp2f1_multi(r + xc, b + xc, a + b + xc - F.lit(1.0), zs)
+    first = (a + b + xc - F.lit(1.0)) / (a - F.lit(1.0))
+    pa = p_alive_expr(bg, x, t, T)
+    # sum_i (E_i - E_{i-1}) w_i with E_0 = 0 telescopes to
+    # sum_{i<n} E_i (w_i - w_{i+1}) + E_n w_n
+    w = [(1.0 + rate) ** -i for i in range(1, months + 2)]
+
+    def body(st):
+        total = F.lit(0.0)
+        for i, s_ in enumerate(horizons, start=1):
+            h = st[f"s{i - 1}"]
+            e_i = first * (F.lit(1.0) - h * F.pow((al + Tc) / (al + Tc + F.lit(s_)), r + xc))
+            wi = w[i - 1] - w[i] if i < months else w[i - 1]
+            total = total + e_i * F.lit(wi)
+        return total
+    return em * pa * let(res, body)
 
 
 def customer_lifetime_value(df: DataFrame, bg: BGNBDParams, gg: GammaGammaParams, months: int = 12,

@@ -266,13 +266,15 @@ class CatDummies(Estimator, _HasTarget, DefaultParamsReadable, DefaultParamsWrit
         t = self.getOrDefault(self.target) if self.isDefined(self.target) else None
         if not cat:
             return CatDummiesModel({"levels": {}, "drop": []}, t)
-        r = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_distinct(c).alias(c) for c in cat]).first()
-        drop = [c for c in cat if r[c] >= r["__n"]]
+        from .clean import unique_valued_columns
+        drop = unique_valued_columns(df, cat)
         keep = [c for c in cat if c not in drop]
         cap = self.getOrDefault(self.max_levels)
-        too_many = [c for c in keep if r[c] > cap]
-        if too_many:
-            raise ValueError(f"columns {too_many} have more than {cap} levels; raise max_levels to encode them")
+        if keep:   # sketch-based guard; the exact level lists below are then bounded
+            est = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in keep]).first()
+            too_many = [c for c in keep if est[c] > cap * 1.05]
+            if too_many:
+                raise ValueError(f"columns {too_many} have more than {cap} levels; raise max_levels to encode them")
         levels = {c: [] for c in keep}
         if keep:
             long = df.select(*keep).unpivot([], keep, "column", "v").where(F.col("v").isNotNull()).distinct()
