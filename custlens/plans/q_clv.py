@@ -179,3 +179,62 @@ def e8_kmedoids_1d(spark, sf_dir):
 @query("e10_ml_segment")
 def e10_ml_segment(spark, sf_dir):
     return S.ml_segment(orders_rfm(spark, sf_dir), keep_code=True).select("cust_id", "ml_code", "ml_label")
+
+
+# ---------------------------------------------------------------- E8 / E10 in SQL
+def kmedoids_sql(src: str, col: str, k: int = 5, iters: int = 20, prefix: str = "km") -> tuple[str, str]:
+    """Unrolled SQL twin of ``kmedoids_1d``: quantile-position initialisation,
+    then ``iters`` rounds of nearest-medoid assignment and lower-median
+    update.  Returns (CTE text, name of the final medoid-list CTE)."""
+    ctes = [f"""{prefix}_d AS (SELECT CAST({col} AS DOUBLE) AS v FROM {src} WHERE {col} IS NOT NULL),
+{prefix}_n AS (SELECT count(*) AS n, list_sort(list(v)) AS s FROM {prefix}_d),
+{prefix}_0 AS (SELECT list_sort(list_distinct([{', '.join(f's[CAST(floor((n - 1) * {(i + 0.5) / k!r}) AS BIGINT) + 1]' for i in range(k))}])) AS m FROM {prefix}_n)"""]
+    for it in range(1, iters + 1):
+        prev = f"{prefix}_{it - 1}"
+        ctes.append(f"""{prefix}_{it} AS (
+  SELECT list_sort(list_distinct(list(med))) AS m FROM (
+    SELECT c, quantile_disc(v, 0.5) AS med FROM (
+      SELECT v, len(list_filter(list_transform(range(1, len(m)), lambda j: (m[j] + m[j + 1]) / 2.0), lambda b: v > b)) AS c
+      FROM {prefix}_d CROSS JOIN {prev}) GROUP BY c))""")
+    return ",\n".join(ctes), f"{prefix}_{iters}"
+
+
+def _cluster_of(col: str, mcte: str) -> str:
+    return (f"len(list_filter(list_transform(range(1, len({mcte}.m)), "
+            f"lambda j: ({mcte}.m[j] + {mcte}.m[j + 1]) / 2.0), lambda b: CAST({col} AS DOUBLE) > b))")
+
+
+_KM = kmedoids_sql("r", "monetary", 5, 20)
+
+
+@query("e8_kmedoids_1d_sql", f"""
+WITH r AS ({RFM_ORDERS_SQL}), {_KM[0]}
+SELECT cust_id, monetary, CAST({_cluster_of('monetary', _KM[1])} AS INTEGER) AS monetary_cluster
+FROM r CROSS JOIN {_KM[1]}""")
+def e8_kmedoids_1d_sql(spark, sf_dir):
+    """k-medoids with 20 iterations, checked against its unrolled SQL twin."""
+    r = orders_rfm(spark, sf_dir)
+    lab, _ = S.kmedoids_1d(r, "monetary", k=5, max_iter=20)
+    return lab.select("cust_id", "monetary", "monetary_cluster")
+
+
+def _ml_segment_sql():
+    parts, sel = [], []
+    for col, asc, tag in (("recency", False, "r"), ("frequency", True, "f"), ("monetary", True, "m")):
+        c, last = kmedoids_sql("r", col, 5, 20, f"k{tag}")
+        parts.append(c)
+        idx = _cluster_of(col, last)
+        sel.append(idx if asc else f"(len({last}.m) - 1 - {idx})")
+    from ..functions.labels import SEGMENT_BY_RF
+    arms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEGMENT_BY_RF.items())
+    code = " || ".join(f"CAST({s} AS VARCHAR)" for s in sel)
+    return f"""
+WITH r AS ({RFM_ORDERS_SQL}), {', '.join(parts)},
+c AS (SELECT cust_id, {code} AS ml_code FROM r CROSS JOIN kr_20 CROSS JOIN kf_20 CROSS JOIN km_20)
+SELECT cust_id, ml_code, coalesce(CASE substr(ml_code, 1, 2) {arms} END, ml_code) AS ml_label FROM c"""
+
+
+@query("e10_ml_segment_sql", _ml_segment_sql())
+def e10_ml_segment_sql(spark, sf_dir):
+    """ML segment labels (20 k-medoid iterations per column) against SQL."""
+    return S.ml_segment(orders_rfm(spark, sf_dir), max_iter=20, keep_code=True).select("cust_id", "ml_code", "ml_label")

@@ -276,3 +276,34 @@ def j16_fit_report(spark, sf_dir):
     a = M.regression_metrics(m.transform(tr), "l_extendedprice", "prediction").withColumn("part", F.lit("train"))
     b = M.regression_metrics(m.transform(te), "l_extendedprice", "prediction").withColumn("part", F.lit("test"))
     return a.unionByName(b)
+
+
+class _PipelinePredictor:
+    """Adapter giving a fitted PipelineModel the ``predict`` interface."""
+
+    def __init__(self, pm):
+        self.pm = pm
+
+    def predict(self, df):
+        return self.pm.transform(df)
+
+
+@query("j12_predict_stream")
+def j12_predict_stream(spark, sf_dir):
+    """A fitted pipeline scores files as they arrive (file stream, available-now
+    trigger); its transform is narrow, so the streaming plan is stateless."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+    from ..sources import io as A
+    from ..streaming.ingest_stream import predict_stream
+    df = line_features(spark, sf_dir)
+    feats = ["l_quantity", "l_discount", "p_retailprice", "p_size"]
+    pm = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features"),
+                          LinearRegression(labelCol="l_extendedprice")]).fit(df)
+    root = A.scratch_dir(spark, "predict_stream")
+    src = f"{root}/in"
+    df.drop("l_extendedprice").write.mode("overwrite").parquet(src)
+    q = predict_stream(_PipelinePredictor(pm), src, df.drop("l_extendedprice").schema, f"{root}/out",
+                       f"{root}/ck", ["l_orderkey", "l_linenumber"], spark)
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")

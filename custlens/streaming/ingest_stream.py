@@ -14,18 +14,15 @@ from ..sources.ingest import SchemaSpec, filename_status
 def ingest_stream(spark: SparkSession, src_dir: str, spec: SchemaSpec, regex: str, good_path: str,
                   bad_path: str, checkpoint: str, available_now: bool = True):
     """Start the stream; returns the ``StreamingQuery``.  Every data line of
-    a file carries its file name; the header line of each file (its first
-    field equals the first declared column name) is dropped."""
+    a file carries its file name; each file's header line is skipped by the
+    reader."""
     st = spec.struct_type()
-    first = list(spec.columns)[0]
-    raw = (spark.readStream.schema(st).option("header", "false").option("mode", "PERMISSIVE")
+    raw = (spark.readStream.schema(st).option("header", "true").option("mode", "PERMISSIVE")
            .csv(src_dir).withColumn("_file", F.col("_metadata.file_name")))
 
     def handle(batch: DataFrame, epoch: int):
         status, reason = filename_status("_file", regex, spec.date_len, spec.time_len)
         b = batch.withColumn("_status", status).withColumn("_reason", reason)
-        header = F.col(first).cast("string") == F.lit(first)
-        b = b.where(~header | F.col(first).isNull())
         b.persist()
         (b.where(F.col("_status") == "good").drop("_status", "_reason")
           .write.mode("append").parquet(good_path))
