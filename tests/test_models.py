@@ -54,3 +54,32 @@ def test_stratified_split_shares(spark):
     for k in tot:
         assert got[k] == math.floor(tot[k] * 0.2 + 0.5)
     assert s.count() == 2000
+
+
+def _simulate_bgnbd(n, r, alpha, a, b, T_max, seed=0):
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        lam = rng.gamma(r, 1.0 / alpha)
+        p = rng.beta(a, b)
+        T = float(rng.integers(T_max // 2, T_max + 1))
+        t, x, alive, last = 0.0, 0, True, 0.0
+        while alive:
+            t += rng.exponential(1.0 / lam)
+            if t > T:
+                break
+            x += 1
+            last = t
+            alive = rng.random() > p
+        out.append((x, last, T))
+    return out
+
+
+def test_bgnbd_recovers_parameters(spark):
+    data = _simulate_bgnbd(4000, 0.5, 20.0, 1.5, 4.0, 200, seed=3)
+    df = spark.createDataFrame([(int(x), float(t), float(T)) for x, t, T in data],
+                               "uniq_freq int, uniq_rec double, uniq_age double")
+    bg, res = V.fit_bgnbd(df, penalizer=0.0, max_rounds=40)
+    assert res.converged
+    assert bg.r == pytest.approx(0.5, rel=0.3)
+    assert bg.alpha == pytest.approx(20.0, rel=0.4)
