@@ -50,8 +50,10 @@ def hyp2f1_terms(a: Column, b: Column, c: Column, z: Column, tol_exp: float = 40
                  max_terms: int = 50000) -> Column:
     """Number of series terms for ``2F1(a,b;c;z)``, 0 <= z < 1: enough for
     the polynomial growth ``k^(a+b-c-1)`` to be beaten by ``z^k``."""
+    # terms grow like k^g z^k (g = a+b-c-1), peak near g z/(1-z) and decay on
+    # a scale of sqrt(g)/(1-z): cover peak, spread and e^-tol_exp decay
     grow = F.greatest(a + b - c, F.lit(0.0))
-    k = (grow + F.lit(tol_exp)) / (F.lit(1.0) - z)
+    k = (grow + F.lit(6.0) * F.sqrt(grow) + F.lit(tol_exp)) / (F.lit(1.0) - z)
     return F.least(F.greatest(F.ceil(k), F.lit(30)), F.lit(max_terms)).cast("int")
 
 
