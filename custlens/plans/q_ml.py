@@ -188,15 +188,18 @@ def _learner_scores(spark, sf_dir, ml_type):
     x = (SP.stratified_split(x, target, 0.2, 0, key) if ml_type == "classification"
          else SP.random_split(x, 0.33, 0, key)).persist()
     tr, te = x.where(F.col("split") == "train"), x.where(F.col("split") == "test")
-    rows = []
-    for lid, spec in REGISTRY.items():
-        if spec.ml_type != ml_type:
-            continue
+    metric = "accuracy" if ml_type == "classification" else "r2"
+
+    def run(item):
+        lid, spec = item
         params = TU._draw(spec.space, __import__("random").Random(0)) if spec.space else {}
         m = TU.build(lid, params, "features", target, 2).fit(tr)
-        p = m.transform(te)
-        metric = "accuracy" if ml_type == "classification" else "r2"
-        rows.append((lid, spec.name, float(TU.metric_value(p, target, ml_type, metric))))
+        return (lid, spec.name, float(TU.metric_value(m.transform(te), target, ml_type, metric)))
+
+    from concurrent.futures import ThreadPoolExecutor
+    todo = [(lid, spec) for lid, spec in REGISTRY.items() if spec.ml_type == ml_type]
+    with ThreadPoolExecutor(max_workers=4) as ex:   # concurrent Spark jobs
+        rows = list(ex.map(run, todo))
     x.unpersist()
     return spark.createDataFrame(rows, "learner string, name string, score double")
 
