@@ -36,7 +36,8 @@ def j2_random_split(spark, sf_dir):
 
 @query("j4_fold_column", f"""
 SELECT o_orderkey, o_orderstatus,
-       CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_ORD}) - 1) % 5 AS INTEGER) AS fold FROM orders""")
+       CAST(floor((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_ORD}) - 1) * 5
+                  / count(*) OVER (PARTITION BY o_orderstatus)) AS INTEGER) AS fold FROM orders""")
 def j4_fold_column(spark, sf_dir):
     o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderstatus")
     return SP.fold_column(o, "o_orderstatus", 5, seed=7, key="o_orderkey")
