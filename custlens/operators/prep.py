@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import norm_ppf
 from .clean import categorical_columns, datetime_columns, numeric_columns
-from .ranking import bucket_expr, grouped_quantiles
+from .ranking import bucket_expr, grouped_grid_quantiles, grouped_quantiles
 
 NUMERIC_STRATEGIES = ("mean", "median", "most_frequent", "zero", "constant")
 CATEGORICAL_STRATEGIES = ("most_frequent", "constant")
@@ -417,12 +417,13 @@ class ScaleTransformer(Estimator, _HasTarget, DefaultParamsReadable, DefaultPara
             n = df.count()
             k = max(2, min(self.getOrDefault(self.n_quantiles), n))
             probs = [i / (k - 1) for i in range(k)]
-            names = [f"q{i}" for i in range(k)]
             long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "v")
-            rows = grouped_quantiles(long, ["column"], "v", probs, names).collect()  # k values per column
-            for r in rows:
-                q = [r[nm] for nm in names]
-                params[r["column"]] = {"q": q, "probs": probs}
+            qs: dict = {c: [None] * k for c in cols}
+            for r in grouped_grid_quantiles(long, ["column"], "v", k).collect():   # k values per column
+                qs[r["column"]][r["i"]] = r["q"]
+            for c, q in qs.items():
+                if all(v is not None for v in q):
+                    params[c] = {"q": q, "probs": probs}
         return ScaleModel({"method": method, "params": params}, t)
 
 
