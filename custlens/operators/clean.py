@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import exact_quantiles
+from .ranking import grouped_quantiles
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -65,17 +65,17 @@ def fill_nulls_thresholded(df: DataFrame, max_null_pct: float = 30.0,
     stats = df.agg(F.count(F.lit(1)).alias("__n"),
                    *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     n = stats["__n"]
+    chosen = [c for c in cols if n and 0 < stats[c] and 100.0 * stats[c] / n <= max_null_pct]
+    num_cols = [c for c in chosen if c in num]
+    cat_cols = [c for c in chosen if c in cat]
     fills = {}
-    for c in cols:
-        nulls = stats[c]
-        if n == 0 or nulls == 0 or 100.0 * nulls / n > max_null_pct:
-            continue
-        if c in num:
-            med = exact_quantiles(df, c, [0.5])[0]
-            if med is not None:
-                fills[c] = float(med)
-        else:
-            fills[c] = most_frequent(df, c)
+    if num_cols:   # exact medians of all chosen columns from one grouped ranking
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in num_cols]).unpivot([], num_cols, "column", "v")
+        for r in grouped_quantiles(long, ["column"], "v", [0.5], ["med"]).collect():
+            if r["med"] is not None:
+                fills[r["column"]] = float(r["med"])
+    for c in cat_cols:
+        fills[c] = most_frequent(df, c)
     out = df
     for c, v in fills.items():
         if v is not None:
