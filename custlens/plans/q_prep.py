@@ -143,8 +143,8 @@ def i11_inverse_label(spark, sf_dir):
     return P.inverse_label(enc, m._state()["labels"], "l_returnflag", "label").drop("l_returnflag")
 
 
-@query("i12_preprocess_pipeline")
-def i12_preprocess_pipeline(spark, sf_dir):
+@query("i12_preprocess_default")
+def i12_preprocess_default(spark, sf_dir):
     """Full default pipeline on customer features, target c_mktsegment."""
     c = Tables(spark, sf_dir).customer.select("c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     model = P.preprocess_pipeline("classification", "c_mktsegment").fit(c)
