@@ -258,14 +258,13 @@ def j12_batch_predict(spark, sf_dir):
 def j13_probability_output(spark, sf_dir):
     from ..operators.prep import preprocess_pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
     d = doc_features(spark, sf_dir)
     pm = preprocess_pipeline("classification", "quality", cluster=False, passthrough=["doc_id"]).fit(d)
     x = pm.transform(d)
     feats = [c for c in x.columns if c not in ("quality", "doc_id")]
     x = VectorAssembler(inputCols=feats, outputCol="features").transform(x)
     m = LogisticRegression(labelCol="quality").fit(x)
-    return m.transform(x).select("doc_id", vector_to_array("probability").alias("probability"))
+    return M.with_probability(m.transform(x)).select("doc_id", "probability")
 
 
 @query("j16_fit_report")
@@ -277,9 +276,7 @@ def j16_fit_report(spark, sf_dir):
     x = SP.random_split(x, 0.33, 0, "__key")
     tr, te = x.where(F.col("split") == "train"), x.where(F.col("split") == "test")
     m = DecisionTreeRegressor(labelCol="l_extendedprice", maxDepth=6).fit(tr)
-    a = M.regression_metrics(m.transform(tr), "l_extendedprice", "prediction").withColumn("part", F.lit("train"))
-    b = M.regression_metrics(m.transform(te), "l_extendedprice", "prediction").withColumn("part", F.lit("test"))
-    return a.unionByName(b)
+    return M.fit_report(m, tr, te, "l_extendedprice", "regression")
 
 
 class _PipelinePredictor:

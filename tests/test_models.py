@@ -83,3 +83,10 @@ def test_bgnbd_recovers_parameters(spark):
     assert res.converged
     assert bg.r == pytest.approx(0.5, rel=0.3)
     assert bg.alpha == pytest.approx(20.0, rel=0.4)
+
+
+def test_clv_params_round_trip(spark, tmp_path):
+    from custlens.sources import io as A
+    p = {"r": 0.25, "alpha": 4.4, "a": 0.8, "b": 2.4}
+    path = A.save_params(spark, p, str(tmp_path / "bg"))
+    assert A.load_params(spark, path) == pytest.approx(p)
