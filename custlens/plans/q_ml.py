@@ -249,9 +249,13 @@ def j11_automl_classification(spark, sf_dir):
 
 @query("j12_batch_predict")
 def j12_batch_predict(spark, sf_dir):
-    """Regression search, then predictions for every line."""
+    """Regression search, model saved and loaded back (A17), then
+    predictions for every line (J12)."""
+    from ..operators.ml.automl import load_automl, save_automl
+    from ..sources import io as A
     model, df = _automl(spark, sf_dir, "regression")
-    return batch_predict(model, df.drop("l_extendedprice"), keep=["l_orderkey", "l_linenumber"])
+    back = load_automl(save_automl(model, A.scratch_dir(spark, "automl")))
+    return batch_predict(back, df.drop("l_extendedprice"), keep=["l_orderkey", "l_linenumber"])
 
 
 @query("j13_probability_output")

@@ -90,3 +90,20 @@ def test_clv_params_round_trip(spark, tmp_path):
     p = {"r": 0.25, "alpha": 4.4, "a": 0.8, "b": 2.4}
     path = A.save_params(spark, p, str(tmp_path / "bg"))
     assert A.load_params(spark, path) == pytest.approx(p)
+
+
+def test_composite_models_save_and_load(spark, tmp_path):
+    from pyspark.ml.feature import VectorAssembler
+    from custlens.operators.ml.ensemble import (AdaBoostRegressor, VotingClassifier, load_model, save_model)
+    rng = np.random.default_rng(0)
+    rows = [(float(a), float(b), float(int(a + b > 1)), float(2 * a - b)) for a, b in rng.random((120, 2))]
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.createDataFrame(rows, "a double, b double, label double, y double"))
+    for est, label in ((VotingClassifier(labelCol="label", dt__maxDepth=3), "label"),
+                       (AdaBoostRegressor(labelCol="y", n_estimators=4), "y")):
+        m = est.fit(df)
+        path = save_model(m, str(tmp_path / type(est).__name__))
+        back = load_model(path)
+        a = [r[0] for r in m.transform(df).select("prediction").collect()]
+        b = [r[0] for r in back.transform(df).select("prediction").collect()]
+        assert a == b
