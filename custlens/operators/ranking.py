@@ -190,11 +190,17 @@ def grouped_ranked(df: DataFrame, groups: list[str], col: str, buckets: int | No
               .groupBy(*gcols, F.col(col).alias("value"))
               .agg(F.count(F.lit(1)).alias("cnt")))
     fracs = [i / buckets for i in range(1, buckets)]
-    st = hist.agg(F.count(F.lit(1)).alias("d"),
+    st = hist.agg(F.count(F.lit(1)).alias("d"), F.sum("cnt").alias("n"),
                   F.percentile_approx("value", fracs, accuracy).alias("e")).first()
     edges = []
     if int(st["d"] or 0) > SINGLE_BUCKET_MAX_DISTINCT and st["e"]:
         edges = sorted(set(v for v in st["e"] if v is not None))
+    if not groups and not edges:
+        # one bounded partition of at most SINGLE_BUCKET_MAX_DISTINCT distinct
+        # values; n is already known, so no offsets table is needed
+        w1 = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        return hist.select("value", "cnt", F.coalesce(F.sum("cnt").over(w1), F.lit(0)).cast("long").alias("below"),
+                           F.lit(int(st["n"] or 0)).cast("long").alias("n"))
     hist_b = hist.withColumn("bucket", bucket_expr(F.col("value"), edges) if edges else F.lit(0))
     key = groups + ["bucket"]
     totals = hist_b.groupBy(*key).agg(F.sum("cnt").alias("__t"))

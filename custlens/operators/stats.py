@@ -244,9 +244,9 @@ def qq_points(df: DataFrame, col: str, n: int = 100) -> DataFrame:
     names = [f"p{k}" for k in range(1, n + 1)]
     q = grouped_quantiles(df, [], col, probs, names)
     long = q.unpivot([], names, "k", "sample")
-    spark = df.sparkSession
-    th = spark.createDataFrame([(nm, float(p)) for nm, p in zip(names, probs)], "k string, prob double")
-    return long.join(th, "k").select(F.col("prob"), norm_ppf(F.col("prob")).alias("theoretical"), "sample")
+    pmap = F.create_map(*[x for nm, p in zip(names, probs) for x in (F.lit(nm), F.lit(float(p)))])
+    long = long.withColumn("prob", F.element_at(pmap, F.col("k")))
+    return long.select("prob", norm_ppf(F.col("prob")).alias("theoretical"), "sample")
 
 
 # H7
