@@ -7,8 +7,8 @@ r = min(max_rate, exp(multiplier * size / mean size)).  Each Newton iteration
 is one distributed sum of gradient and curvature over the table of (source,
 size, documents), safeguarded by a bracket per source.  Rates are rounded
 into copies by a hash of the document against a threshold per source, found
-from two histograms so that the words taken meet the target to about one
-document.
+from two histograms; what is then missing, less than one document, is filled
+in a few more rounds among documents that still fit.
 
 Sums are of integers (rates in millionths), so they do not depend on the
 order of rows, and reruns agree.
@@ -107,11 +107,12 @@ def _newton(hist: DataFrame, target: list[float], size: list[int], mean: list[fl
     return lam
 
 
-def _thresholds(v: DataFrame, need: list[float]) -> dict[int, int]:
-    """Per source the value below which documents take one copy more: two
-    cumulative histograms, coarse then fine, of the eligible documents."""
+def _thresholds(v: DataFrame, need: dict[int, float]) -> dict[int, int]:
+    """Per source the value below which documents take one copy more without
+    exceeding the need: two cumulative histograms, coarse then fine, of the
+    eligible documents.  A source all of whose documents fit is left out."""
     spark = v.sparkSession
-    goal = F.broadcast(spark.createDataFrame(list(enumerate(need)), "s int, need double"))
+    goal = F.broadcast(spark.createDataFrame(sorted(need.items()), "s int, need double"))
     width = 1000
 
     def cut(df, key, rest):
@@ -129,10 +130,8 @@ def _thresholds(v: DataFrame, need: list[float]) -> dict[int, int]:
                                                "s int, b long, need double"))
     fine = cut(v.withColumn("b", F.floor(F.col("v") / width)).join(inside.select("s", "b"), ["s", "b"]), "v",
                inside.select("s", "need"))
-    # the value that crosses is taken in when that comes nearer to the target
     got = (fine.where((F.col("before") <= F.col("need")) & (F.col("need") < F.col("upto")))
-           .select("s", (F.col("v") + F.when(F.col("upto") - F.col("need") < F.col("need") - F.col("before"), 1)
-                         .otherwise(0)).alias("t")).collect())
+           .select("s", F.col("v").alias("t")).collect())
     return {r["s"]: r["t"] for r in got}
 
 
@@ -153,13 +152,18 @@ def rounded(sized: DataFrame, plan: DataFrame, max_rate: int = 3) -> DataFrame:
             .withColumn("v", F.pmod(F.xxhash64("mix_id", "mix_size"), F.lit(UNIT)) - F.pmod(rq, F.lit(UNIT))))
 
 
+def _cut():
+    """Taken once more by one of the plan's cuts."""
+    return F.exists("cuts", lambda c: (F.col("mix_size") <= c["fits"]) & (F.col("v") < c["t"]))
+
+
 def _more(max_rate: int):
     return (F.col("base") < max_rate) & (F.col("mix_size") > 0)
 
 
 def solve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
           weights: Callable[[int], list[float]] = cyclic_weights, max_rate: int = 3, rounds: int = 80,
-          tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+          tolerance: float = 1e-4, fill_rounds: int = 6) -> tuple[DataFrame, DataFrame]:
     """(ids, sources and sizes as a table; the plan, a row per source)."""
     spark = docs.sparkSession
     sized = write_table(sizes(docs, text_col, source_col, id_col).select("mix_id", "mix_source", "mix_size"), "sized")
@@ -174,19 +178,36 @@ def solve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     mean = [max(1.0, z / r["n"]) for z, r in zip(size, per)]
     schema = T.StructType([T.StructField("key", sized.schema["mix_source"].dataType), T.StructField("s", T.IntegerType()),
                            T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()),
-                           T.StructField("k", T.DoubleType()), T.StructField("t", T.LongType())])
-    keys = [(r[0], s, size[s], target[s], None, 0) for s, r in enumerate(per)]
+                           T.StructField("k", T.DoubleType()),
+                           T.StructField("cuts", T.ArrayType(T.StructType([
+                               T.StructField("fits", T.LongType()), T.StructField("t", T.LongType())])))])
+    keys = [(r[0], s, size[s], target[s], None, []) for s, r in enumerate(per)]
     numbered = hist.join(F.broadcast(spark.createDataFrame(keys, schema)), F.col("mix_source").eqNullSafe(F.col("key")))
     lam = _newton(numbered.select("s", F.col("mix_size").alias("size"), "n"), target, size, mean, max_rate,
                   rounds, tolerance) if per else []
-    keys = [(*r[:4], None if math.isinf(x) else x / mean[s], 0) for s, (r, x) in enumerate(zip(keys, lam))]
+    keys = [(*r[:4], None if math.isinf(x) else x / mean[s], []) for s, (r, x) in enumerate(zip(keys, lam))]
     doc = rounded(sized, spark.createDataFrame(keys, schema), max_rate)
     fixed = {r["s"]: int(r["m"]) for r in doc.groupBy("s").agg(
         F.sum((F.col("base") * F.col("mix_size")).cast("decimal(38,0)")).alias("m")).collect()}
-    need = [t - fixed.get(s, 0) for s, t in enumerate(target)]
-    cut = _thresholds(doc.where(_more(max_rate)).select("s", F.col("mix_size").alias("size"), "v"), need) if per else {}
-    # none found: the need is below the first document or beyond the last
-    keys = [(*r[:5], int(cut.get(r[1], -UNIT if need[r[1]] <= 0 else UNIT))) for r in keys]
+    need = {s: t - fixed.get(s, 0) for s, t in enumerate(target)}
+    cuts: list[list] = [[] for _ in per]
+    for _ in range(fill_rounds):
+        need = {s: x for s, x in need.items() if x > max(1.0, 1e-3 * target[s])}
+        if not need:
+            break
+        goal = F.broadcast(spark.createDataFrame([(s, int(x)) for s, x in need.items()], "g int, fits long"))
+        left = (rounded(sized, spark.createDataFrame([(*r[:5], c) for r, c in zip(keys, cuts)], schema), max_rate)
+                .where(_more(max_rate) & ~_cut()).join(goal, F.col("s") == F.col("g"))
+                .where(F.col("mix_size") <= F.col("fits")).select("s", F.col("mix_size").alias("size"), "v"))
+        found = _thresholds(left, need)
+        rows = [(s, int(x), int(found.get(s, UNIT))) for s, x in need.items()]
+        now = F.broadcast(spark.createDataFrame(rows, "g int, fits long, t long"))
+        got = {r["s"]: int(r["m"]) for r in left.join(now, (F.col("s") == F.col("g")) & (F.col("v") < F.col("t")))
+               .groupBy("s").agg(F.sum(F.col("size").cast("decimal(38,0)")).alias("m")).collect()}
+        for s, fits, t in rows:
+            cuts[s].append((fits, t))
+        need = {s: x - got[s] for s, x in need.items() if s in got}
+    keys = [(*r[:5], c) for r, c in zip(keys, cuts)]
     drop_table(hist)
     return sized, spark.createDataFrame(keys, schema)
 
@@ -194,9 +215,9 @@ def solve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def take(sized: DataFrame, plan: DataFrame, max_rate: int = 3) -> DataFrame:
     """``sized`` (of ``sizes``) with source_size, target, rate and copies: a
     projection with the plan broadcast, so texts stay where they are."""
-    more = F.when(_more(max_rate) & (F.col("v") < F.col("t")), 1).otherwise(0)
+    more = F.when(_more(max_rate) & _cut(), 1).otherwise(0)
     return rounded(sized, plan, max_rate).withColumn("copies", (F.col("base") + more).cast("int")).drop(
-        "s", "k", "t", "base", "v")
+        "s", "k", "cuts", "base", "v")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
