@@ -9,12 +9,13 @@
    Values that many texts share through a common passage come last and are
    mostly never posted.
 3. Lists of at most ``short_list`` classes are joined with themselves.  Longer
-   lists are linked by stars first: every member against a member drawn per
-   list and round; members of one component then are skipped, and only pairs
-   across components remain for the join.  A pair survives if it is the first
+   lists are linked by stars first: members against those of up to ``hubs``
+   drawn members that agree best; members of one component then are skipped,
+   and so are members that have too many shingles to themselves for any link;
+   only pairs across components remain for the join.  A pair survives if it is the first
    list both share, set sizes allow the threshold and enough coordinates agree.
-4. Candidates are confirmed on their full sets; components follow from the
-   confirmed links.
+4. Candidates are confirmed on their full sets (across components within the
+   join itself, so only links leave it); components follow from the links.
 
 A pair at similarity 0.75 misses step 2 with probability 2e-6 (32 coordinates,
 12 matches), a closer one far less.
@@ -130,15 +131,19 @@ def _sized(percent: int) -> Column:
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold, compared in full."""
-    both = F.size(F.array_intersect("sa", "sb"))
     return (pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-            .where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+            .where(_reached(percent)).select("a", "b"))
+
+
+def _reached(percent: int) -> Column:
+    both = F.size(F.array_intersect("sa", "sb"))
+    return 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
                     coordinates: int = 32, matches: int = 12, width: int = 5, short_list: int = 24,
-                    star_rounds: int = 2) -> DataFrame:
+                    hubs: int = 64, spokes_each: int = 4) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = write_table(src.mapInArrow(_sign(coordinates, width),
@@ -175,15 +180,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("a", "b")
 
     long_rows = posted.where(F.col("df") > short_list)
-    for k in range(star_rounds):
-        # one hub per list, the same for lists that share it; a member takes one of its hubs
-        rank = F.xxhash64("c", F.lit(k))
-        hub = long_rows.groupBy("at").agg(F.min_by(F.struct(
-            rank.alias("r"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb")), rank).alias("h"))
-        spokes = (long_rows.join(hub, "at").select(F.col("c").alias("a"), F.col("n").alias("na"),
-                                                   F.col("sig").alias("ga"), "h.*")
-                  .where((F.col("a") != F.col("b")) & near).groupBy("a").agg(F.min_by("b", "r").alias("b")))
-        pairs = pairs.union(spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    # hubs: up to ``hubs`` members of a list, the smallest hash of each residue
+    mix = F.xxhash64("c", F.lit("hub"))
+    picked = (long_rows.groupBy("at", F.pmod(mix, F.lit(hubs)).alias("slot"))
+              .agg(F.min_by(F.struct("c", "n", "sig"), mix).alias("h")).groupBy("at")
+              .agg(F.collect_list("h").alias("hubs")))
+    # a member looks at the hubs of its longest, middle and shortest long list
+    ranked = F.array_sort(F.collect_list(F.struct("df", "at")))
+    looks = (long_rows.groupBy("c", "n").agg(ranked.alias("t"))
+             .select("c", "n", F.explode(F.array_distinct(F.transform(F.array(
+                 F.lit(0), F.floor((F.size("t") - 1) / 2).cast("int"), F.size("t") - 1),
+                 lambda i: F.get("t", i)["at"]))).alias("at")))
+    agreed = F.filter(F.transform("hubs", lambda h: F.struct(
+        F.when((h["c"] != F.col("c")) & (100 * F.least(h["n"], F.col("n")) >= percent * F.greatest(h["n"], F.col("n"))),
+               _agree(h["sig"], F.col("sig"))).otherwise(0).alias("k"), h["c"].alias("h"))), lambda x: x["k"] >= matches)
+    spokes = (looks.join(classes.select("c", "sig"), "c").join(picked, "at")
+              .select("c", F.explode(F.slice(F.sort_array(agreed, asc=False), 1, spokes_each)).alias("x"))
+              .select(F.least("c", "x.h").alias("a"), F.greatest("c", "x.h").alias("b")))
+    pairs = pairs.union(spokes)
     pairs = write_table(pairs.distinct(), "pairs")
 
     # sets of the classes in candidate pairs and in long lists, made once
@@ -196,22 +210,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = write_table(_confirm(pairs, sets, percent), "links")
     parts = connected_components(links)
 
+    # a member with more than its share of shingles that no other member has links with none
+    for _ in range(2):
+        members = long_rows.select("c").distinct()
+        own = (sets.join(members, "c").select("c", F.size("s").alias("n"), F.explode("s").alias("x"))
+               .groupBy("x").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c"), F.min("n").alias("n"))
+               .where("k = 1").groupBy("c", "n").agg(F.count(F.lit(1)).alias("own"))
+               .where(100 * F.col("own") > (100 - percent) * F.col("n")))
+        long_rows = write_table(long_rows.join(own.select("c"), "c", "left_anti"), "open")
+
     # what long lists still hold across components: members outside a list's largest component against all
     rest = (long_rows.join(parts, F.col("c") == F.col("id"), "left")
             .withColumn("p", F.coalesce("component", "c")).drop("id", "component"))
     largest = (rest.groupBy("at", "p").agg(F.count(F.lit(1)).alias("k")).groupBy("at")
                .agg(F.max_by("p", F.struct("k", "p")).alias("most"), F.count(F.lit(1)).alias("parts"))
                .where("parts > 1").select("at", "most"))
-    rest = rest.join(largest, "at")
-    a = side(rest.where(F.col("p") != F.col("most")), "a", F.col("p").alias("pa"))
-    b = side(rest, "b", F.col("p").alias("pb"), "most").withColumnRenamed("at", "at_b")
+    rest = rest.join(largest, "at").join(sets, "c")
+    a = side(rest.where(F.col("p") != F.col("most")), "a", F.col("p").alias("pa"), F.col("s").alias("sa"))
+    b = side(rest, "b", F.col("p").alias("pb"), F.col("s").alias("sb"), "most").withColumnRenamed("at", "at_b")
     across = (a.join(b, (F.col("at") == F.col("at_b")) & (F.col("pa") != F.col("pb"))
-                     & ((F.col("pb") == F.col("most")) | (F.col("a") < F.col("b"))) & _sized(percent) & first & near)
-              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-              .join(pairs, ["a", "b"], "left_anti"))
+                     & ((F.col("pb") == F.col("most")) | (F.col("a") < F.col("b"))) & _sized(percent) & first & near
+                     & _reached(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     across = write_table(across, "across")
     if not across.isEmpty():
-        parts = connected_components(links.union(_confirm(across, sets, percent)))
+        parts = connected_components(links.union(across))
 
     named = classes.join(parts, F.col("c") == F.col("id"), "left").select(
         "set_key", "doc_id", F.coalesce("component", "c").alias("p"))
