@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                         "doc_id long, n_shingles long, set_key binary, sig array<int>"), "signed")
     # one class per set, numbered by the set's hash; its smallest document stands for it
     classes = write_table(signed.where("set_key is not null").groupBy("set_key").agg(
-        F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n_shingles", "sig")).alias("x"))
         .select("set_key", F.xxhash64("set_key").alias("c"), F.col("x.doc_id").alias("doc_id"),
                 F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig")), "classes")
 

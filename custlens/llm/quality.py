@@ -99,7 +99,9 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text",
              sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, seconds, share rejected) on a sample, best rejection per cost
     first; ties keep the given order."""
-    sample = write_table(docs.select(F.col(text_col).alias("text")).limit(sample_rows), "sample")
+    texts = docs.select(F.col(text_col).alias("text"))
+    share = min(1.0, sample_rows / max(1, texts.count()))
+    sample = write_table(texts.sample(False, share, 4), "sample")
 
     def timed(col):
         began = time.perf_counter()

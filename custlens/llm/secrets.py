@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bind
+from .shared import bind, drop_table, write_table
 
 #: Kinds of the fixed patterns, in order: pattern and whether a match counts.
 PATTERNS = (
@@ -92,6 +92,17 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", fit_doc
         F.transform(F.array_distinct(secret), lambda x: F.struct(x.alias("x"), F.lit(1).alias("y"))),
         F.transform(F.array_distinct(names), lambda x: F.struct(x.alias("x"), F.lit(0).alias("y"))))).alias("e"))
         .select("e.x", "e.y").distinct().where(F.col("x").rlike("^[A-Za-z0-9+/_=-]+$")))
+    tokens = write_table(tokens, "tokens")
+    model = _ratios(tokens, smoothing)
+    if model is not None:
+        # unlabelled secrets among the ordinary tokens: long ones that look random leave the sample
+        odd = (F.col("y") == 0) & (F.length("x") >= 16)
+        model = _ratios(tokens.where(~F.when(odd, score(F.col("x"), model) > 0).otherwise(False)), smoothing)
+    drop_table(tokens)
+    return model
+
+
+def _ratios(tokens: DataFrame, smoothing: float) -> list[float] | None:
     pairs = tokens.select("y", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("x")), lambda i: F.struct(
             F.when(i == 1, "").otherwise(F.substring(F.col("x"), i - 1, F.lit(1))).alias("a"),
