@@ -12,10 +12,11 @@
    lists are linked by stars first: members against those of up to ``hubs``
    drawn members that agree best; members of one component then are skipped,
    and so are members that have too many shingles to themselves for any link;
-   only pairs across components remain for the join.  A pair survives if it is the first
+   only pairs across components remain.  A pair survives if it is the first
    list both share, set sizes allow the threshold and enough coordinates agree.
-4. Candidates are confirmed on their full sets (across components within the
-   join itself, so only links leave it); components follow from the links.
+4. Candidates are confirmed on their full sets; components follow from the
+   links.  What is left across components is compared in blocks of a list,
+   each pair of blocks a task of bounded size, and only links leave it.
 
 A pair at similarity 0.75 misses step 2 with probability 2e-6 (32 coordinates,
 12 matches), a closer one far less.
@@ -141,9 +142,49 @@ def _reached(percent: int) -> Column:
     return 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
 
 
+def _across(percent: int, matches: int, tile: int = 256):
+    """Links between components among two blocks of a list (or one with
+    itself): signatures first, then full sets of the pairs that first meet here."""
+    def run(key, table):
+        import pyarrow as pa
+        at, i, j = (k.as_py() for k in key)
+        mine = table.column("mine").to_numpy()
+        c, p = table.column("c").to_numpy(), table.column("p").to_numpy()
+        grid = lambda name: np.array(table.column(name).to_pylist())
+        sig = grid("sig")
+        posted = np.zeros(sig.shape, bool)          # coordinates before this one that a member is posted under
+        for r, lists in enumerate(table.column("lists").to_pylist()):
+            posted[r, [x >> 32 for x in lists if x < at]] = True
+        sets = [np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in table.column("s").combine_chunks()] \
+            if len(c) else []
+        n = np.array([len(x) for x in sets])
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        out_a, out_b = [], []
+        for k in range(0, len(left), tile):
+            rows = left[k:k + tile]
+            low, high = np.minimum(n[rows][:, None], n[right]), np.maximum(n[rows][:, None], n[right])
+            near = (p[rows][:, None] != p[right]) & (100 * low >= percent * high)
+            if i == j:
+                near &= rows[:, None] < right
+            u, v = np.nonzero(near)
+            u, v = rows[u], right[v]
+            for z in range(0, len(u), 200_000):
+                x, y = u[z:z + 200_000], v[z:z + 200_000]
+                equal = sig[x] == sig[y]
+                good = (equal.sum(axis=1) >= matches) & ~(equal & posted[x] & posted[y]).any(axis=1)
+                for q, r in zip(x[good], y[good]):
+                    both = len(np.intersect1d(sets[q], sets[r], assume_unique=True))
+                    if 100 * both >= percent * (n[q] + n[r] - both):
+                        out_a.append(min(c[q], c[r]))
+                        out_b.append(max(c[q], c[r]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
                     coordinates: int = 32, matches: int = 12, width: int = 5, short_list: int = 24,
-                    hubs: int = 64, spokes_each: int = 4) -> DataFrame:
+                    hubs: int = 64, spokes_each: int = 4,
+                    block: int = 1000) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = write_table(src.mapInArrow(_sign(coordinates, width),
@@ -226,12 +267,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                .agg(F.max_by("p", F.struct("k", "p")).alias("most"), F.count(F.lit(1)).alias("parts"))
                .where("parts > 1").select("at", "most"))
     rest = rest.join(largest, "at").join(sets, "c")
-    a = side(rest.where(F.col("p") != F.col("most")), "a", F.col("p").alias("pa"), F.col("s").alias("sa"))
-    b = side(rest, "b", F.col("p").alias("pb"), F.col("s").alias("sb"), "most").withColumnRenamed("at", "at_b")
-    across = (a.join(b, (F.col("at") == F.col("at_b")) & (F.col("pa") != F.col("pb"))
-                     & ((F.col("pb") == F.col("most")) | (F.col("a") < F.col("b"))) & _sized(percent) & first & near
-                     & _reached(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    across = write_table(across, "across")
+    # a list's members in hashed blocks; each pair of blocks is one bounded comparison
+    cut = F.ceil(F.col("size") / block).cast("int")
+    cells = (rest.join(posted.groupBy("at").agg(F.count(F.lit(1)).alias("size")), "at")
+             .withColumn("mine", F.pmod(F.xxhash64("c"), cut).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
+             .select("at", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "p",
+                     "sig", "lists", "s"))
+    across = write_table(cells.groupBy("at", "i", "j").applyInArrow(_across(percent, matches), "a long, b long")
+                         .distinct(), "across")
     if not across.isEmpty():
         parts = connected_components(links.union(across))
 
