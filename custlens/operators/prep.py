@@ -160,11 +160,13 @@ class ZeroVariance(Estimator, _HasTarget, DefaultParamsReadable, DefaultParamsWr
 
 # ---------------------------------------------------------------- I1 / I2
 def _impute_apply(self, df):
-    fills = self._state()["fills"]
+    fills, widen = self._state()["fills"], self._state().get("widen", [])
     out = {}
     for c, v in fills.items():
         if c in df.columns and v is not None:
-            out[c] = F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType))
+            # a mean or median of integers need not be one
+            kind = "double" if c in widen else df.schema[c].dataType
+            out[c] = F.coalesce(F.col(c).cast(kind), F.lit(v).cast(kind))
     return df.withColumns(out) if out else df
 
 
@@ -228,7 +230,7 @@ class Imputation(Estimator, _HasTarget, DefaultParamsReadable, DefaultParamsWrit
             else:
                 fills.update({c: self.getOrDefault(self.cat_fill) for c in cat})
         t = self.getOrDefault(self.target) if self.isDefined(self.target) else None
-        return ImputationModel({"fills": fills}, t)
+        return ImputationModel({"fills": fills, "widen": num if ns in ("mean", "median") else []}, t)
 
 
 # ---------------------------------------------------------------- I3 / C10

@@ -66,7 +66,7 @@ def transaction_aggregates(df: DataFrame, id_col: str, amount_col: str, date_col
     dedup = t.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("__dup"))
     per_day = dedup.groupBy(id_col, date_col).agg(
         F.count(F.lit(1)).alias("__rows"),
-        F.sum(F.col(amount_col) * F.col("__dup")).alias("__amt"))
+        (F.sum(F.col(amount_col) * F.col("__dup")) if amount_col else F.lit(None).cast("double")).alias("__amt"))
     return per_day.groupBy(id_col).agg(
         F.min(date_col).alias("__first"), F.max(date_col).alias("__last"),
         F.count(F.lit(1)).alias("__days"), F.sum("__rows").alias("__freq"),
@@ -101,7 +101,7 @@ def build_rfm(df: DataFrame, spec: RFMSpec, as_of=None) -> DataFrame:
     derived = None
     if s.trans_date_col is not None:
         agg, t = transaction_aggregates(df.select(*[c for c in df.columns]), s.id_col,
-                                        s.trans_col or s.trans_date_col, s.trans_date_col)
+                                        s.trans_col, s.trans_date_col)
         asof = _as_of_col(t, s.trans_date_col, as_of)
         derived = agg.select(
             F.col(s.id_col).alias("cust_id"),

@@ -16,17 +16,14 @@ def _dirty_features(spark, sf_dir):
 
 @query("i1_impute_mean", fx_sql(f"""
 WITH d AS (SELECT event_id, user_id, event_type, value FROM ({DIRTY_EVENTS_SQL}))
-SELECT event_id, coalesce(user_id, CAST(round((SELECT avg(user_id) FROM d)) AS BIGINT)) AS user_id,
-       event_type, coalesce(value, (SELECT avg(value) FROM d)) AS value FROM d""", ["value"]))
+SELECT event_id, coalesce(CAST(user_id AS DOUBLE), (SELECT avg(user_id) FROM d)) AS user_id,
+       event_type, coalesce(value, (SELECT avg(value) FROM d)) AS value FROM d""", ["user_id", "value"]))
 def i1_impute_mean(spark, sf_dir):
     """Mean fill (event_type is the target here, so it is left alone); the
-    integer column receives the mean cast back to its type (rounded)."""
+    integer column becomes a double."""
     d = _dirty_features(spark, sf_dir)
     m = P.Imputation(target="event_type", num_strategy="mean").fit(d.drop("event_id"))
-    fills = m._state()["fills"]
-    out = d.withColumns({"user_id": F.coalesce("user_id", F.round(F.lit(fills["user_id"])).cast("bigint")),
-                         "value": F.coalesce("value", F.lit(fills["value"]))})
-    return fx_df(out)
+    return fx_df(m.transform(d))
 
 
 @query("i1_impute_median", fx_sql(f"""

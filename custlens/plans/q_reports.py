@@ -78,11 +78,14 @@ def g5_project_rollup(spark, sf_dir):
 @query("g6_latest_status", """
 WITH r AS (SELECT user_id, event_type, ts,
                   row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
-SELECT user_id, event_type AS status, ts AS last_update,
-       event_type IN ('failed', 'validated', 'completed') AS runnable FROM r WHERE rn = 1""")
+SELECT user_id, status, ts AS last_update, status IN ('failed', 'validated', 'completed') AS runnable
+FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'arrived'
+      ELSE 'progress' END AS status FROM r WHERE rn = 1)""")
 def g6_latest_status(spark, sf_dir):
-    e = Tables(spark, sf_dir).events.withColumn("ord", F.struct("ts", "event_id"))
-    s = e.groupBy("user_id").agg(F.max_by("event_type", "ord").alias("status"), F.max("ts").alias("last_update"))
+    tag = (F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed")
+           .when(F.col("event_type") == "signup", "arrived").otherwise("progress"))
+    e = Tables(spark, sf_dir).events.withColumns({"tag": tag, "ord": F.struct("ts", "event_id")})
+    s = G.latest_status(e, "user_id", "ord").withColumn("last_update", F.col("last_update.ts"))
     return s.withColumn("runnable", G.can_run("status"))
 
 

@@ -41,14 +41,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (tests, laptops) pick a
-    private scratch folder."""
+    ``spark.checkpoint.dir``; only in local mode (tests, laptops) may it be unset,
+    and a private scratch folder is picked.  Elsewhere that raises: executors
+    would each write to their own disk."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="custlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -146,3 +146,24 @@ def test_p_alive_zero_frequency(spark):
     bg = V.BGNBDParams(0.243, 4.414, 0.793, 2.426)
     got = [r["p_alive"] for r in V.p_alive(df, bg).orderBy("uniq_freq").collect()]
     assert got[0] == 1.0 and 0 < got[1] <= 1
+
+
+def test_rfm_dates_with_summary_amount(spark):
+    """Dates give age and frequency; money comes from a summary column."""
+    from custlens.operators.rfm import RFMSpec, build_rfm
+    df = spark.createDataFrame([("A", "2024-01-01", 5.0), ("A", "2024-01-11", 5.0), ("B", "2024-01-05", 7.0)],
+                               "id string, d string, m double")
+    got = {r["cust_id"]: (r["frequency"], r["monetary"])
+           for r in build_rfm(df, RFMSpec(id_col="id", trans_date_col="d", monetary_col="m")).collect()}
+    assert got == {"A": (2, 5.0), "B": (1, 7.0)}
+
+
+def test_integer_mean_fill_and_string_split_key(spark):
+    from custlens.operators import prep as P
+    from custlens.operators.ml.split import stratified_split
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (5, "c"), (None, "d")], "x int, t string")
+    got = P.Imputation(target="t", num_strategy="mean").fit(df).transform(df)
+    assert sorted(r["x"] for r in got.collect()) == [1, 2, pytest.approx(8 / 3), 5]
+    d = spark.createDataFrame([(f"k{i}", i % 2) for i in range(200)], "key string, y int")
+    out = stratified_split(d, "y", key="key").groupBy("y", "split").count().collect()
+    assert sum(r["count"] for r in out) == 200 and len(out) == 4
