@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and association rules mined from labels.
 
-Association-rule filtering.  A URL is a set of tokens (words and labels of the
-host, its suffixes, words of the path, query keys).  Spark's FP-growth mines
+Association-rule filtering.  A URL is a set of tokens (words of the host, its
+suffixes, words of the path, query keys).  Spark's FP-growth mines
 token combinations of labelled URLs together with the label ``bad``; the rules
 with ``bad`` as consequent are pruned by support, confidence and by shorter
 rules that already say as much.  URLs meet rules through an inverted index: a
@@ -62,9 +62,8 @@ def tokens(url: Column) -> Column:
     digits count as one token."""
     host, path = host_path(url)
     mark = lambda arr, m: F.transform(F.filter(arr, lambda x: x != ""), lambda x: F.concat(F.lit(m), x))
-    labels = bind(F.split(host, r"\.", -1), lambda x: F.concat(
-        mark(x, "h:"), F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.concat(
-            F.lit("d:"), F.array_join(F.slice(x, -i, i), ".")))))
+    labels = bind(F.split(host, r"\.", -1), lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.concat(
+        F.lit("d:"), F.array_join(F.slice(x, -i, i), "."))))
     words = mark(F.split(host, r"[.\-_]", -1), "w:")
     steps = mark(F.split(F.regexp_replace(path, "[0-9]+", "0"), r"[/.\-_]", -1), "p:")
     query = mark(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#?]+)="), F.lit(1)), "q:")
