@@ -82,24 +82,33 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_su
     none = "rule_id long, items array<string>, anchor string, support long, confidence double"
     if n > fit_urls:
         rows = rows.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * fit_urls / n))
+        n, bad = rows.agg(F.count(F.lit(1)), F.sum(F.when(F.col("bad"), 1).otherwise(0))).first()
     if not n or not bad:
         return spark.createDataFrame([], none)
     # what bad URLs hold often enough is all a rule can be made of
     bad_rows = rows.where("bad")
     often = (bad_rows.select(F.explode("t").alias("x")).groupBy("x").count()
              .where(F.col("count") >= min_support))
-    total = (rows.select(F.explode("t").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("df")))
-    items = [r["x"] for r in often.join(total, "x").orderBy("x").select("x").collect()]
+    total = (rows.select(F.explode("t").alias("x"), "h").groupBy("x")
+             .agg(F.count(F.lit(1)).alias("df"), F.sum(F.col("h").cast("decimal(38,0)")).alias("where")))
+    # tokens of the same URLs are one item, and a token of every URL narrows no other
+    one = (often.join(total, "x").where((F.col("df") < n) | F.lit(bad >= min_confidence * n))
+           .groupBy("df", "where").agg(F.min("x").alias("x")))
+    items = [r["x"] for r in one.orderBy("x").select("x").collect()]
     if not items:
         return spark.createDataFrame([], none)
     baskets = rows.select(F.concat(
         F.array_intersect("t", F.split(F.lit("\n".join(items)), "\n")),
         F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    fp = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support / max(1, min(n, fit_urls))),
-                  minConfidence=min_confidence)
-    found = (fp.fit(baskets).associationRules
-             .where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= max_items))
-             .select(F.array_sort("antecedent").alias("items"), "confidence", "support").collect())
+    fp = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support / max(1, n)),
+                  numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # rules come from the sets that hold the label, which is all that is asked for
+    sets = write_table(fp.fit(baskets).freqItemsets.where(F.size("items") <= max_items + 1)
+                       .select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    with_bad = (sets.where(F.array_contains("items", BAD) & (F.size("items") > 1))
+                .select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("support")))
+    found = (with_bad.join(sets, "items").withColumn("confidence", F.col("support") / F.col("freq"))
+             .where(F.col("confidence") >= min_confidence).select("items", "confidence", "support").collect())
     best: dict[tuple, tuple] = {}
     for r in sorted(found, key=lambda r: (len(r["items"]), r["items"])):
         key = tuple(r["items"])
@@ -108,9 +117,8 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_su
             best[key] = (r["confidence"], r["support"])
     df = {r["x"]: r["df"] for r in total.where(F.col("x").isin(*sorted({i for k in best for i in k}))).collect()} \
         if best else {}
-    size = min(n, fit_urls)
     return spark.createDataFrame(
-        [(k, list(key), min(key, key=lambda x: (df.get(x, math.inf), x)), int(round(s * size)), float(c))
+        [(k, list(key), min(key, key=lambda x: (df.get(x, math.inf), x)), int(s), float(c))
          for k, (key, (c, s)) in enumerate(sorted(best.items()))], none)
 
 
