@@ -3,14 +3,18 @@ hypergeometric series, normal CDF and quantile) plus their driver-side
 scalar twins for the few statistics that reduce to one number.
 
 Spark SQL has no ``lgamma``/``erf``; the column versions below keep the work
-inside the JVM (no Python UDF)."""
+inside the JVM.  Only the hypergeometric series, whose length depends on its
+arguments, is an Arrow batch function."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: Lanczos approximation, g = 7, n = 9 (published coefficients)
 LANCZOS_G = 7.0
@@ -46,56 +50,61 @@ def lgamma(x) -> Column:
     return F.when(x > 0, val)
 
 
-def hyp2f1_terms(a: Column, b: Column, c: Column, z: Column, tol_exp: float = 40.0,
-                 max_terms: int = 50000) -> Column:
-    """Number of series terms for ``2F1(a,b;c;z)``, 0 <= z < 1: enough for
-    the polynomial growth ``k^(a+b-c-1)`` to be beaten by ``z^k``."""
-    # terms grow like k^g z^k (g = a+b-c-1), peak near g z/(1-z) and decay on
-    # a scale of sqrt(g)/(1-z): cover peak, spread and e^-tol_exp decay
-    grow = F.greatest(a + b - c, F.lit(0.0))
-    k = (grow + F.lit(6.0) * F.sqrt(grow) + F.lit(tol_exp)) / (F.lit(1.0) - z)
-    return F.least(F.greatest(F.ceil(k), F.lit(30)), F.lit(max_terms)).cast("int")
-
-
-def hyp2f1(a, b, c, z, n_terms: Column | int | None = None) -> Column:
-    """Gauss hypergeometric ``2F1(a,b;c;z)`` by its power series, summed with
-    the term recurrence inside one ``aggregate`` fold (JVM side).  The number
-    of terms adapts per row unless given."""
-    a, b, c, z = _c(a), _c(b), _c(c), _c(z)
-    n = hyp2f1_terms(a, b, c, z) if n_terms is None else (
-        n_terms if isinstance(n_terms, Column) else F.lit(int(n_terms)))
-    ks = F.sequence(F.lit(0), n - F.lit(1))
-    init = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
-
-    def step(acc, k):
-        kd = k.cast("double")
-        t = acc["t"] * (a + kd) * (b + kd) / ((c + kd) * (kd + F.lit(1.0))) * z
-        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
-
-    return F.aggregate(ks, init, step, lambda acc: acc["s"])
-
-
-def hyp2f1_multi(a, b, c, zs: list, n_terms: Column | None = None) -> Column:
-    """``2F1(a,b;c;z_j)`` for several ``z_j`` sharing ``a, b, c`` in a single
-    fold: the coefficient recurrence is computed once per term and each
-    ``z_j`` keeps its own power and partial sum.  The term count is the one
-    the largest ``z`` needs.  Returns a struct with fields ``s0, s1, ...``;
-    bind it once (``let``) before reading several fields."""
-    a, b, c = _c(a), _c(b), _c(c)
-    zs = [_c(z) for z in zs]
-    n = hyp2f1_terms(a, b, c, F.greatest(*zs) if len(zs) > 1 else zs[0]) if n_terms is None else n_terms
-    ks = F.sequence(F.lit(0), n - F.lit(1))
-    init = F.struct(F.lit(1.0).alias("q"), *[F.lit(1.0).alias(f"p{j}") for j in range(len(zs))],
-                    *[F.lit(1.0).alias(f"s{j}") for j in range(len(zs))])
-
-    def step(acc, k):
-        kd = k.cast("double")
-        q = acc["q"] * (a + kd) * (b + kd) / ((c + kd) * (kd + F.lit(1.0)))
-        ps = [acc[f"p{j}"] * z for j, z in enumerate(zs)]
-        return F.struct(q.alias("q"), *[p.alias(f"p{j}") for j, p in enumerate(ps)],
-                        *[(acc[f"s{j}"] + q * p).alias(f"s{j}") for j, p in enumerate(ps)])
-
-    return F.aggregate(ks, init, step)
+#: Cells of one block of series terms (bounds a batch's memory, not the series).
+SERIES_CELLS = 1_000_000
+
+
+def _sum_series(a, b, c, z):
+    """``2F1(a,b;c;z)`` per row of numpy vectors: blocks of terms are summed
+    until the geometric bound on what is left falls below double precision.
+    NaN parameters give NaN; ``z`` outside [0, 1) raises."""
+    done = np.isfinite(a) & np.isfinite(b) & np.isfinite(c) & np.isfinite(z)
+    if ((z[done] < 0) | (z[done] >= 1)).any():
+        raise ValueError("2F1 series needs 0 <= z < 1")
+    rows = np.flatnonzero(done)
+    total, last = np.where(done, 1.0, np.nan), np.ones(len(z))
+    start, width = 0, 64
+    while len(rows):
+        left = []
+        for i in np.array_split(rows, -(-len(rows) * width // SERIES_CELLS)):
+            k = start + np.arange(width, dtype=float)
+            ratio = (a[i, None] + k) * (b[i, None] + k) / ((c[i, None] + k) * (k + 1.0)) * z[i, None]
+            with np.errstate(over="ignore", under="ignore"):
+                terms = last[i, None] * np.cumprod(ratio, axis=1)
+                total[i] += terms.sum(axis=1)
+            last[i] = terms[:, -1]
+            # the ratio of terms tends to z
+            rho = np.maximum(ratio[:, -1], z[i])
+            left.append(i[(rho >= 1.0) | (last[i] * rho > 1e-17 * total[i] * (1.0 - rho))])
+        rows, start, width = np.concatenate(left), start + width, min(2 * width, 1 << 16)
+    return total
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _hyp2f1_batch(a: pd.Series, b: pd.Series, c: pd.Series, zs: pd.Series) -> pd.Series:
+    if not len(zs):
+        return pd.Series([], dtype=object)
+    z = np.array(zs.tolist(), dtype=float)
+    rows = np.column_stack([a, b, c, z]).astype(float)
+    # customers of equal history share one evaluation
+    one, back = np.unique(rows, axis=0, return_inverse=True)
+    k = z.shape[1]
+    abc = np.repeat(one[:, :3], k, axis=0)
+    got = _sum_series(abc[:, 0], abc[:, 1], abc[:, 2], one[:, 3:].ravel()).reshape(-1, k)
+    return pd.Series([None if np.isnan(x).any() else x for x in got[back.ravel()]], dtype=object)
+
+
+def hyp2f1(a, b, c, z) -> Column:
+    """Gauss hypergeometric ``2F1(a,b;c;z)``, 0 <= z < 1, to double precision
+    (NULL for NULL arguments)."""
+    return hyp2f1_multi(a, b, c, [z])[0]
+
+
+def hyp2f1_multi(a, b, c, zs: list) -> Column:
+    """Array of ``2F1(a,b;c;z_j)`` for several ``z_j``: one Arrow batch
+    function that evaluates each distinct row of parameters once.  Bind the
+    result once (``let``) before reading several elements."""
+    return _hyp2f1_batch(*[_c(x).cast("double") for x in (a, b, c)], F.array(*[_c(z).cast("double") for z in zs]))
 
 
 # --- fixed values: complementary error function, Chebyshev fit

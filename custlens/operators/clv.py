@@ -216,8 +216,7 @@ def clv_expr(bg: BGNBDParams, gg: GammaGammaParams, months: int = 12, rate: floa
     xc, Tc = _col(x).cast("double"), _col(T).cast("double")
     horizons = [float(i * days_per_month) for i in range(1, months + 1)]
     zs = [F.lit(s) / (al + Tc + F.lit(s)) for s in horizons]
-    # all horizons share a, b, c: one series fold gives every 2F1 value;
-    # the fold's result is bound once so it is evaluated once per row
+    # all horizons share a, b, c: one call gives every 2F1 value, bound once
     res = hyp2f1_multi(r + xc, b + xc, a + b + xc - F.lit(1.0), zs)
     first = (a + b + xc - F.lit(1.0)) / (a - F.lit(1.0))
     pa = p_alive_expr(bg, x, t, T)
@@ -228,7 +227,7 @@ def clv_expr(bg: BGNBDParams, gg: GammaGammaParams, months: int = 12, rate: floa
     def body(st):
         total = F.lit(0.0)
         for i, s_ in enumerate(horizons, start=1):
-            h = st[f"s{i - 1}"]
+            h = st[i - 1]
             e_i = first * (F.lit(1.0) - h * F.pow((al + Tc) / (al + Tc + F.lit(s_)), r + xc))
             wi = w[i - 1] - w[i] if i < months else w[i - 1]
             total = total + e_i * F.lit(wi)

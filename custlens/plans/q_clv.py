@@ -26,7 +26,7 @@ def _bg_sql_parts(x="uniq_freq", t="uniq_rec", T="uniq_age", bg=BG):
 
 def hyp2f1_sql(a: str, b: str, c: str, z: str) -> str:
     g = f"greatest(({a}) + ({b}) - ({c}), 0.0)"
-    k = f"CAST(least(greatest(ceil(({g} + 6.0 * sqrt({g}) + 40.0) / (1.0 - ({z}))), 30), 50000) AS BIGINT)"
+    k = f"CAST(greatest(ceil(({g} + 6.0 * sqrt({g}) + 40.0) / (1.0 - ({z}))), 30) AS BIGINT)"
     term = (f"exp(lgamma(({a}) + k) - lgamma({a}) + lgamma(({b}) + k) - lgamma({b}) - lgamma(({c}) + k) "
             f"+ lgamma({c}) - lgamma(k + 1) + k * ln({z}))")
     return f"list_sum(list_transform(range(0, {k}), lambda k: {term}))"

@@ -25,6 +25,14 @@ def test_hyp2f1_against_closed_form(spark):
         assert g == pytest.approx(-math.log(1 - z) / z, rel=1e-10)
 
 
+def test_hyp2f1_near_one_and_nulls(spark):
+    df = spark.createDataFrame([(0.9999,), (0.99999,), (0.0,), (None,)], "z double")
+    got = [r[0] for r in df.select(hyp2f1(1.0, 1.0, 2.0, df.z)).collect()]
+    for z, g in zip([0.9999, 0.99999], got):
+        assert g == pytest.approx(-math.log(1 - z) / z, rel=1e-9)
+    assert got[2:] == [1.0, None]
+
+
 def test_normal(spark):
     ps = [1e-6, 0.01, 0.3, 0.5, 0.8, 0.999]
     df = spark.createDataFrame([(p,) for p in ps], "p double")
