@@ -19,13 +19,8 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """The smallest document of each near-duplicate group stays, once."""
-    found = write_table(minhash.near_duplicates(docs).select("doc_id", "kept"), "judged")
-    gone = found.where("not kept").select("doc_id").distinct()
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    # rows of one id are told apart only where ids repeat
-    kept = found.where("kept")
-    return (out.dropDuplicates(["doc_id"]) if kept.count() != kept.distinct().count() else out).select(*COLUMNS)
+    """The smallest document of each near-duplicate group stays, once; documents without words all stay."""
+    return minhash.survivors(docs).select(*COLUMNS)
 
 
 def secret_scan(spark, docs, sf_dir):

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, write_table
+from .shared import WORD, connected_components, write_table
 
 #: Distinct words a Python worker remembers the hash of.
 CACHE_WORDS = 500_000
@@ -94,8 +94,8 @@ def _sign(coordinates: int, width: int):
                 key.append(_key(s))
                 sig.append(_signature(s, coordinates) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
-                 pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "set_key", "sig"])
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
+                 pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "text_key", "n_shingles", "set_key", "sig"])
     return run
 
 
@@ -181,14 +181,19 @@ def _across(percent: int, matches: int, tile: int = 256):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
-                    coordinates: int = 32, matches: int = 12, width: int = 5, short_list: int = 24,
-                    hubs: int = 64, spokes_each: int = 4,
-                    block: int = 1000) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def text_key(text: Column) -> Column:
+    """128 bits of a text, as hexadecimal digits."""
+    return F.md5(text.cast("binary"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, coordinates: int, matches: int, width: int,
+                short_list: int, hubs: int, spokes_each: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n_shingles, set_key) per row, and (set_key, component
+    number p) of all sets that are not empty."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                      text_key(F.col(text_col)).alias("text_key"))
     signed = write_table(src.mapInArrow(_sign(coordinates, width),
-                                        "doc_id long, n_shingles long, set_key binary, sig array<int>"), "signed")
+                                        "doc_id long, text_key string, n_shingles long, set_key binary, sig array<int>"), "signed")
     # one class per set, numbered by the set's hash; its smallest document stands for it
     classes = write_table(signed.where("set_key is not null").groupBy("set_key").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n_shingles", "sig")).alias("x"))
@@ -279,10 +284,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not across.isEmpty():
         parts = connected_components(links.union(across))
 
-    named = classes.join(parts, F.col("c") == F.col("id"), "left").select(
-        "set_key", "doc_id", F.coalesce("component", "c").alias("p"))
-    smallest = named.groupBy("p").agg(F.min("doc_id").alias("component_id"))
-    of_set = named.join(smallest, "p").select("set_key", "component_id")
+    of_set = classes.join(parts, F.col("c") == F.col("id"), "left").select("set_key", F.coalesce("component", "c").alias("p"))
+    return signed.select("doc_id", "text_key", "n_shingles", "set_key"), of_set
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
+                    coordinates: int = 32, matches: int = 12, width: int = 5, short_list: int = 24,
+                    hubs: int = 64, spokes_each: int = 4,
+                    block: int = 1000) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept."""
+    signed, of_set = _components(docs, id_col, text_col, percent, coordinates, matches, width, short_list, hubs,
+                                 spokes_each, block)
+    ids = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    smallest = of_set.join(ids, "set_key").groupBy("p").agg(F.min("doc_id").alias("component_id"))
+    named = of_set.join(smallest, "p").select("set_key", "component_id")
     out = ["doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")]
     empty = signed.where("set_key is null").withColumn("component_id", F.col("doc_id"))
-    return signed.join(of_set, "set_key").select(*out).union(empty.select(*out))
+    return signed.join(named, "set_key").select(*out).union(empty.select(*out))
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
+              coordinates: int = 32, matches: int = 12, width: int = 5, short_list: int = 24, hubs: int = 64,
+              spokes_each: int = 4, block: int = 1000) -> DataFrame:
+    """One row of ``docs`` per component and all rows with an empty set.
+
+    A component's row is the one with the smallest id, null last, then the
+    smallest ``text_key``, then the smallest other columns; rows are told apart
+    by id and text, so neither a repeated id nor a missing one takes other
+    texts with it."""
+    signed, of_set = _components(docs, id_col, text_col, percent, coordinates, matches, width, short_list, hubs,
+                                 spokes_each, block)
+    # rows of one id and text are counted: they are told apart only where the chosen one repeats
+    rows = signed.where("set_key is not null").groupBy("set_key", "doc_id", "text_key").agg(
+        F.count(F.lit(1)).alias("times"))
+    first = write_table(rows.join(of_set, "set_key").groupBy("p").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "times")).alias("x"))
+        .select(F.col("x.doc_id").alias("first_id"), F.col("x.text_key").alias("first_key"), "x.times"), "first")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    blank = ~text.rlike(WORD)
+    chosen = docs.where(~blank).join(first, F.col(id_col).cast("long").eqNullSafe(F.col("first_id"))
+                                     & (text_key(F.col(text_col)) == F.col("first_key")))
+    once = chosen.where("times = 1").select(*docs.columns)
+    if not first.where("times > 1").isEmpty():
+        once = once.union(chosen.where("times > 1").groupBy("first_id", "first_key").agg(
+            F.min(F.struct(*docs.columns)).alias("x")).select(*[F.col("x")[c].alias(c) for c in docs.columns]))
+    return once.union(docs.where(blank))

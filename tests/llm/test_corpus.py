@@ -327,6 +327,20 @@ def test_near_duplicates(spark, docs, odd):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_dedup_stage_decides_by_row(spark):
+    say = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, say("a")), (2, say("a") + " end"), (None, say("a")), (None, say("b")), (None, say("b")),
+            (None, say("c")), (3, say("d")), (3, say("e")), (4, say("f")), (5, say("f") + " end"), (5, say("g")),
+            (6, say("h")), (6, say("h")), (None, None), (None, ""), (7, " \n"), (7, " \n")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    for src in (docs, docs.repartition(5)):
+        got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, src, DATA).collect())
+        assert got == collections.Counter(
+            [rows[k] for k in (0, 3, 5, 6, 7, 8, 10, 11, 13, 14, 15, 16)])
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), DATA).count() == 0
+
+
 def test_large_near_groups(spark):
     """Lists beyond the short ones: stars, skipping and the join across."""
     rng = np.random.default_rng(5)
