@@ -6,11 +6,15 @@ reads per block a vector of hashed path tokens, hashed words and a few
 measures, and labels every block with the whole page as context; the article's
 blocks are joined.
 
-The model is fitted on a bounded sample of pages.  Their blocks are labelled by
-the containers that authors mark (article and main against navigation,
-headers, forms and the like); variants of the pages, with menus, notices,
-comments and other containers around the same texts, teach containers that a
-site at hand may lack.
+The model is fitted on a sample of ``FIT_PAGES`` distinct pages of any length,
+drawn by hash; of a page of more than ``FIT_BLOCKS`` blocks, on windows spread
+from its first block to its last.  Blocks are labelled by the containers that
+authors mark (article and main against navigation, headers, forms and the
+like); variants of the pages, with menus, notices, comments and other
+containers around the same texts (up to ``FIT_CHARS`` of each), teach containers
+that a site at hand may lack.  Built-in pages are always among the sample, and
+training takes ``FIT_STEPS`` steps at least, so that small tables get a fitted
+model too.
 
 Defined cases: null or empty html, and pages without an article, give an empty
 text; broken, unclosed and cut-off markup is read as far as it goes; long
@@ -29,8 +33,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds on the labelled sample: pages, and blocks of a page.
-FIT_PAGES, FIT_BLOCKS = 240, 120
+#: Bounds on the labelled sample: pages, blocks of a page (in so many windows if it has more), and characters of a
+#: block's text in variants.
+FIT_PAGES, FIT_BLOCKS, FIT_WINDOWS, FIT_CHARS = 240, 120, 4, 4_000
+#: Built-in pages and training steps that every model is fitted with at least.
+BUILT_IN, FIT_STEPS = 48, 160
 PATH_DIM, WORD_DIM, HIDDEN = 96, 48, 16
 
 BLOCK_TAGS = frozenset(
@@ -116,9 +123,11 @@ def _bucket(token: str, dim: int) -> int:
     return zlib.crc32(token.encode("utf-8", "replace")) % dim
 
 
-def vectors(page_blocks, known: dict) -> np.ndarray:
-    """Block vectors: hashed path (its last element apart), hashed words, measures."""
+def vectors(page_blocks, known: dict, first: int = 0, of: int | None = None) -> np.ndarray:
+    """Block vectors: hashed path (its last element apart), hashed words, measures.
+    A window of a page starts at block ``first`` of its ``of`` blocks."""
     n = len(page_blocks)
+    of = of or n
     k = 2 * PATH_DIM + WORD_DIM
     x = np.zeros((n, k + 6), np.float32)
     paths = known["P"]
@@ -137,7 +146,7 @@ def vectors(page_blocks, known: dict) -> np.ndarray:
             x[i, 2 * PATH_DIM:k] = hashed / len(words)
         marks = sum(map(raw.count, ".,;:!?"))
         x[i, k:] = (math.log1p(len(raw)) / 8, math.log1p(len(words)) / 6, linked / max(1, len(raw)),
-                    marks / max(1, len(words)), i / n, 1)
+                    marks / max(1, len(words)), (first + i) / of, 1)
     return x
 
 
@@ -222,15 +231,17 @@ class BlockLabeller:
             grad["c" + d], grad["h" + d] = dz.sum((0, 1)), dw
         return grad
 
-    def fit(self, pages, rounds: int = 8, batch: int = 24, rate: float = 0.02, seed: int = 9):
-        """Adam on (vectors, labels) per page."""
+    def fit(self, pages, rounds: int = 8, batch: int = 24, rate: float = 0.02, seed: int = 9, steps: int = FIT_STEPS):
+        """Adam on (vectors, labels) per page: ``rounds`` over all, and ``steps`` at least."""
+        if not pages:
+            raise ValueError("no pages to fit the block labeller on")
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         step = 0
         order = np.argsort([len(x) for x, _ in pages], kind="stable")
         groups = [order[k:k + batch] for k in range(0, len(order), batch)]
-        for _ in range(rounds):
+        for _ in range(max(rounds, -(-steps // len(groups)))):
             for g in rng.permutation(len(groups)):
                 x, mask = padded([pages[k][0] for k in groups[g]])
                 y = np.zeros(mask.shape, np.float32)
@@ -276,10 +287,15 @@ SHELLS = ("<article>{}</article>", "<main>{}</main>", "<main><article>{}</articl
 
 def variants(pages: list[str], rng) -> list[str]:
     """The same paragraphs in other layouts, with other containers about them."""
-    pool = [raw for p in pages for path, raw, _ in blocks(p) if len(raw) > 40] or ["Some text of a page."]
+    return _variants([[(path, raw) for path, raw, _ in blocks(p)] for p in pages], rng)
+
+
+def _variants(pages: list[list[tuple]], rng) -> list[str]:
+    """``variants`` of pages given as (path, raw text) per block."""
+    pool = [raw for p in pages for _, raw in p if len(raw) > 40] or ["Some text of a page."]
     out = []
     for p in pages:
-        body = [raw for path, raw, _ in blocks(p) if teacher(path)][:20] or pool[:3]
+        body = [raw for path, raw in p if teacher(path)][:20] or pool[:3]
         pick = lambda some: some[rng.integers(len(some))]
         own = []
         for raw in body:
@@ -295,22 +311,61 @@ def variants(pages: list[str], rng) -> list[str]:
     return out
 
 
+def built_in(rng, n: int = BUILT_IN) -> list[list[tuple]]:
+    """Articles of made-up sentences, as (path, raw text) per block."""
+    said = ("the a this every some old new small city river house report market school winter people water letter year "
+            "road music field garden was is had found made took gave near under after before with without of and but "
+            "because while later again slowly often").split()
+    sentence = lambda: " ".join(rng.choice(said, rng.integers(4, 18))).capitalize() + str(rng.choice(list("...?!")))
+    text = lambda most: " ".join(sentence() for _ in range(rng.integers(1, most)))
+    return [[(("article", "p"), text(7)) for _ in range(rng.integers(2, 14))] for _ in range(n)]
+
+
+def windows(n: int) -> list[tuple[int, int]]:
+    """(first, end) of the runs of a page's ``n`` blocks that a model is fitted on."""
+    if n <= FIT_BLOCKS:
+        return [(0, n)]
+    size = FIT_BLOCKS // FIT_WINDOWS
+    return [(at, at + size) for at in (k * (n - size) // (FIT_WINDOWS - 1) for k in range(FIT_WINDOWS))]
+
+
+def _samples(batches):
+    """Per page and window: vectors and labels, and its blocks' texts for variants."""
+    import pyarrow as pa
+    known = memory()
+    for batch in batches:
+        for mix, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found = blocks(page.as_py())
+            for first, end in windows(len(found)) if found else ():
+                some = found[first:end]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([mix]), pa.array([first], pa.int32()),
+                     pa.array([vectors(some, known, first, len(found)).tobytes()], pa.binary()),
+                     pa.array([[list(path) for path, _, _ in some]], pa.list_(pa.list_(pa.string()))),
+                     pa.array([[raw[:FIT_CHARS] for _, raw, _ in some]], pa.list_(pa.string()))],
+                    ["mix", "first", "x", "paths", "texts"])
+
+
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = FIT_PAGES,
         rounds: int = 8) -> BlockLabeller:
-    n = pages.count()
-    share = min(1.0, 3 * fit_pages / max(1, n))
-    mix = F.xxhash64(id_col, F.length(html_col))
-    got = (pages.where(F.pmod(mix, F.lit(1_000_000)) < int(share * 1_000_000)).where(F.length(html_col) < 40_000)
-           .orderBy(mix, html_col).limit(fit_pages).select(html_col).collect())
-    sample = [r[0] for r in got]
+    src = pages.select(F.xxhash64(id_col, html_col).alias("mix"), F.col(html_col).alias("html"))
+    drawn = [r["mix"] for r in src.where(F.length("html") > 0).select("mix").distinct().orderBy("mix")
+             .limit(fit_pages).collect()]
+    got = (src.where(F.col("mix").isin(drawn)).dropDuplicates(["mix"]).mapInArrow(
+        _samples, "mix long, first int, x binary, paths array<array<string>>, texts array<string>").collect()
+        if drawn else [])
+    rng = np.random.default_rng(9)
+    data, texts = [], {}
+    for r in sorted(got, key=lambda r: (r["mix"], r["first"])):
+        paths = [tuple(p) for p in r["paths"]]
+        data.append((np.frombuffer(r["x"], np.float32).reshape(len(paths), -1),
+                     np.array([teacher(p) for p in paths], np.float32)))
+        texts.setdefault(r["mix"], []).extend(zip(paths, r["texts"]))
     known = memory()
-    model = BlockLabeller(input_size())
-    data = []
-    for p in sample + variants(sample, np.random.default_rng(9)):
-        some = blocks(p)[:FIT_BLOCKS]
-        if some:
-            data.append((vectors(some, known), np.array([teacher(path) for path, _, _ in some], np.float32)))
-    return model.fit(data, rounds) if data else model
+    for p in _variants(list(texts.values()), rng) + _variants(built_in(rng), rng):
+        some = blocks(p)
+        data.append((vectors(some, known), np.array([teacher(path) for path, _, _ in some], np.float32)))
+    return BlockLabeller(input_size()).fit(data, rounds)
 
 
 def extract(pages: DataFrame, model: BlockLabeller | None = None, id_col: str = "page_id", url_col: str = "url",

@@ -444,6 +444,26 @@ def test_block_labeller_on_held_out_layouts(spark):
     assert right >= 0.98 * total
 
 
+def test_block_labeller_on_long_and_few_pages(spark):
+    """Only pages over 40,000 characters, with what comes after block 120; and a table of one page."""
+    def page(k):
+        body = "".join(f"<p>The river {i} of page {k} was found near the old house, and people took the road.</p>"
+                       for i in range(600))
+        notes = "".join(f"<div class='comment'><p>Reader {i} said that this was not so.</p></div>" for i in range(20))
+        return (f"<body><nav><ul><li>Home<li>News</ul></nav><article>{body}"
+                f"<section class='comments'>{notes}</section></article><footer><p>Imprint of page {k}</p></footer>")
+    df = spark.createDataFrame([(k, "u", page(k)) for k in range(12)], "page_id long, url string, html string")
+    for src in (df, df.limit(1)):
+        assert src.where("length(html) < 40000").isEmpty()
+        for r in rows_of(htmltext.extract(src)):
+            assert r["text"] == " ".join(f"The river {i} of page {r['page_id']} was found near the old house, and people "
+                                         "took the road." for i in range(600))
+    assert htmltext.windows(120) == [(0, 120)] and htmltext.windows(1000)[0][0] == 0
+    assert htmltext.windows(1000)[-1][1] == 1000 and sum(b - a for a, b in htmltext.windows(1000)) == 120
+    with pytest.raises(ValueError, match="no pages"):
+        htmltext.BlockLabeller(5).fit([])
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     m = htmltext.BlockLabeller(5, 3)
