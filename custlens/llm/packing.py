@@ -4,9 +4,13 @@ Hierarchical residual packing.  Each input partition tokenises its documents
 and packs their pieces best-fit, largest first.  Bins that are nearly full are
 final.  The underfull rest goes on as items: groups of ``fan_in`` neighbouring
 partitions are packed again, then groups of groups, until one group is left.
-A group hands on at most ``hand_on`` bins (the emptiest); the others are
-final as they are, so no task's input grows with the corpus.  Pieces never
-move: rounds carry (bin, fill) only, and the shifts found are joined back.
+Every underfull bin is handed on.  A group of more than ``hand_on`` bins is
+dealt by hash into siblings, each a task with bins of all its children, so no
+task's input grows with the corpus; the last group is dealt anew and packed
+again until a round merges nothing.  (In a packed sibling any two bins hold
+more than the capacity together, so at most one is half full or less: what is
+left to merge is less than one bin a sibling.)  Pieces never move: rounds carry
+(bin, fill) only, and the shifts found are joined back.
 
 Defined cases: a null text is an empty one and yields the end id alone; only
 a document longer than the capacity is cut; a repeated row is packed again;
@@ -175,7 +179,7 @@ def _local_round(path: str, id_col: str, text_col: str, capacity: int, end_id: i
     return run
 
 
-def _merge_round(capacity: int, full: int, hand_on: int):
+def _merge_round(capacity: int, full: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         items = pdf.drop_duplicates("root")[["root", "used"]].sort_values(["used", "root"], ascending=[False, True])
         b, off, fill = best_fit(items["used"].to_numpy(np.int64), capacity)
@@ -184,10 +188,6 @@ def _merge_round(capacity: int, full: int, hand_on: int):
         first[b[::-1]] = roots[::-1]                     # a merged bin goes by its first item
         used = np.array(fill, np.int64)
         done = used >= full
-        open_bins = np.flatnonzero(~done)
-        if len(open_bins) > hand_on:
-            by_fill = open_bins[np.lexsort((first[open_bins], used[open_bins]))]
-            done[by_fill[hand_on:]] = True
         where = pd.DataFrame({"root": roots, "new": first[b], "by": off, "total": used[b], "end": done[b]})
         out = pdf.merge(where, on="root")
         return pd.DataFrame({"grp": out["grp"], "bin": out["bin"], "root": out["new"],
@@ -195,6 +195,17 @@ def _merge_round(capacity: int, full: int, hand_on: int):
     return run
 
 
+def _dealt(items: DataFrame, hand_on: int, turn: int) -> tuple[DataFrame, bool]:
+    """``items`` with ``part``, the sibling of a group that a root's bins go to,
+    and whether any group has siblings."""
+    sizes = items.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / hand_on).alias("siblings")).where("siblings > 1")
+    if sizes.isEmpty():
+        return items.withColumn("part", F.lit(0).cast("long")), False
+    return (items.join(sizes, "grp", "left")
+            .withColumn("part", F.coalesce(F.pmod(F.xxhash64("root", F.lit(turn)), "siblings"), F.lit(0).cast("long")))
+            .drop("siblings")), True
+
+
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
          capacity: int = 4096, end_id: int = 1, nearly_full: float = 0.995, fan_in: int = 8,
          block: int = 200_000, hand_on: int = 100_000, with_ids: bool = False) -> DataFrame:
@@ -202,8 +213,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     sequence_id, offset, sequence_length (and ids if asked for).
 
     ``nearly_full``: share of the capacity at which a bin is final.
-    ``block``: pieces packed together in a partition; ``hand_on``: most bins a
-    group passes up.  Both bound a task's memory."""
+    ``block``: pieces packed together in a partition; ``hand_on``: bins handed
+    to one task of a later round.  Both bound a task's memory."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = ("doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, used long"
               + (", ids array<long>" if with_ids else ""))
@@ -213,16 +224,18 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     items = (pieces.where((F.col("offset") == 0) & (F.col("used") < full))
              .select(F.shiftright("bin", 33).alias("grp"), "bin", F.col("bin").alias("root"),
                      F.lit(0).cast("long").alias("shift"), "used", F.lit(False).alias("done")))
-    moved, top = None, (items.agg(F.max("grp")).first()[0] or 0)
+    moved, top, turn = None, (items.agg(F.max("grp")).first()[0] or 0), 0
+    roots = lambda rows: rows.where(F.col("bin") == F.col("root")).count()  # noqa: E731  # a root keeps its own row
     while True:
-        last = top < fan_in
-        items = items.withColumn("grp", F.floor(F.col("grp") / fan_in))
-        after = write_table(items.groupBy("grp").applyInPandas(
-            _merge_round(capacity, full, hand_on),
+        last, turn = top < fan_in, turn + 1
+        items, siblings = _dealt(items.withColumn("grp", F.floor(F.col("grp") / fan_in)), hand_on, turn)
+        after = write_table(items.groupBy("grp", "part").applyInPandas(
+            _merge_round(capacity, full),
             "grp long, bin long, root long, shift long, used long, done boolean"), "bins")
-        ended = after if last else after.where("done")
+        settled = last and not (siblings and roots(after) < roots(items))
+        ended = after if settled else after.where("done")
         moved = ended if moved is None else moved.unionByName(ended)
-        if last:
+        if settled:
             break
         items, top = after.where("not done"), top // fan_in
     moved = moved.select("bin", "root", "shift", F.col("used").alias("total"))

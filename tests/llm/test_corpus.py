@@ -77,6 +77,19 @@ def test_packing(spark, docs, odd):
     assert packing.pack(odd.limit(0), path).count() == 0
 
 
+def test_packing_hands_every_underfull_bin_on(spark):
+    """Bins of 60 in one group, what fills them in seven others, and more bins than a task takes."""
+    path = public_tokenizers.path(queries.TOKENIZER)
+    size = lambda n: " ".join(["a"] * (n - 1))
+    parts = [[(100 * k + i, size(60)) for i in range(5)] if k < 4 else [(100 * k, size(40))] if k % 8 == 0 else []
+             for k in range(64)]
+    src = spark.createDataFrame(spark.sparkContext.parallelize(parts, 64).flatMap(lambda x: x),
+                                "doc_id long, text string")
+    for most, least in ((100_000, 20), (4, 21)):       # 20 bins of 60 and seven of 40; 22 if bins are closed early
+        bins, total = check_pack(rows_of(src), rows_of(packing.pack(src, path, capacity=100, hand_on=most)), 100)
+        assert total == 20 * 60 + 7 * 40 and bins <= least, (most, bins)
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins, offsets, fill = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert fill == [10, 10] and sorted(zip(bins, offsets))[0] == (0, 0)
