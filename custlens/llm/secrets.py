@@ -2,9 +2,9 @@
 
 Two first-order Markov models over characters, one of random strings and one
 of ordinary identifiers, are counted from labelled samples: values that the
-patterns find, and the other long words of the same texts.  A token is a
-secret when its log-likelihood ratio passes ``threshold`` nats in total and
-``per_char`` nats a character.
+patterns find, and the other long words of the same texts.  A token, or what
+pattern spans leave of it, is a secret when its log-likelihood ratio passes
+``threshold`` nats in total and ``per_char`` nats a character.
 
 Spans are in code points, end exclusive.  A pattern's position follows from
 the lengths of the pieces between its matches, so everything stays in column
@@ -33,7 +33,7 @@ PATTERNS = (
     # every run of 32 or more is one maximal run, so the count is in the pattern
     ("hex", "[0-9a-f]{32,}", None),
 )
-#: Characters of tokens; any token of 16 or more is scored.
+#: Characters of tokens; any token of 16 or more is scored, or each part of it beside pattern spans.
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
 TOKEN = "[A-Za-z0-9+/_=-]{16,}"
 NAME = "[A-Za-z0-9+/_=-]{6,}"
@@ -42,8 +42,9 @@ FIT_DOCS = 20_000
 EMPTY = "array<struct<start:int,k:int,end:int,kind:string>>"
 
 
-def _spans(text: Column, kind: str, k: int, pattern: str, counts) -> Column:
-    """Spans of one pattern: struct(start, k, end, kind), in order."""
+def _spans(text: Column, kind: str, k: int, pattern: str, counts, parts=None) -> Column:
+    """Spans of one pattern: struct(start, k, end, kind), in order; ``parts``
+    gives those that a hit and its span are replaced by."""
     def walk(hits):
         gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
         lens = F.transform(hits, lambda x: F.length(x))
@@ -59,6 +60,8 @@ def _spans(text: Column, kind: str, k: int, pattern: str, counts) -> Column:
                                         F.concat(acc["out"], F.array(one(i, acc["pos"]))).alias("out")),
                 lambda acc: acc["out"])
         found = bind(gaps, lambda g: bind(lens, lambda n: at(g, n)))
+        if parts is not None:
+            return bind(found, lambda s: F.flatten(F.transform(s, lambda x, i: parts(F.get(hits, i), x))))
         if counts is None:
             return found
         return bind(found, lambda s: F.filter(s, lambda x, i: counts(F.get(hits, i), pattern)))
@@ -144,14 +147,33 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", fit_do
     if model is None:
         return out.withColumn("spans", F.col("base_spans"))
 
-    def secret(hit, _):
-        return bind(score(hit, model), lambda s: (s > threshold) & (s > per_char * F.length(hit)))
-    more = _spans(text, "markov", len(PATTERNS), TOKEN, secret)
     base = F.col("base_spans")
-    new = F.filter(more, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+
+    def secret(hit):
+        return bind(score(hit, model), lambda s: (s > threshold) & (s > per_char * F.length(hit)))
+
+    def parts(hit, token):
+        return F.filter(_beside(token, base), lambda x: secret(
+            F.substring(hit, x["start"] - token["start"] + 1, x["end"] - x["start"])))
+    new = _spans(text, "markov", len(PATTERNS), TOKEN, None, parts)
     return out.withColumn("spans", F.array_sort(F.concat(base, new)))
 
 
+def _beside(token: Column, base: Column) -> Column:
+    """Parts of a token's span that no base span (sorted by start) covers."""
+    part = lambda start, end: F.array(F.struct(
+        start.alias("start"), token["k"].alias("k"), end.alias("end"), token["kind"].alias("kind")))
+    cut = F.filter(base, lambda b: (b["start"] < token["end"]) & (token["start"] < b["end"]))
+    return F.aggregate(
+        cut, F.struct(token["start"].alias("pos"), F.array().cast(EMPTY).alias("out")),
+        lambda acc, b: F.struct(
+            F.greatest(acc["pos"], b["end"]).alias("pos"),
+            F.when(b["start"] > acc["pos"], F.concat(acc["out"], part(acc["pos"], b["start"])))
+            .otherwise(acc["out"]).alias("out")),
+        lambda acc: F.when(acc["pos"] < token["end"], F.concat(acc["out"], part(acc["pos"], token["end"])))
+        .otherwise(acc["out"]))
+
+
 def show(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(
