@@ -23,9 +23,10 @@ A pair at similarity 0.75 misses step 2 with probability 2e-6 (32 coordinates,
 
 Defined cases: a null text, or one without words, has an empty set and links
 with nothing; fewer than five words are one shingle; long texts are taken
-whole; repeated rows are one class; of rows with one id each is returned; a
-row without an id links by its exact set only; an empty table gives an empty
-result; extra columns are not touched.
+whole; repeated rows are one class; of rows with one id each is returned; rows
+without an id link like others, and of a component without any id the rows of
+its smallest ``text_key`` are kept; an empty table gives an empty result; extra
+columns are not touched.
 """
 
 from __future__ import annotations
@@ -196,8 +197,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, coord
                                         "doc_id long, text_key string, n_shingles long, set_key binary, sig array<int>"), "signed")
     # one class per set, numbered by the set's hash; its smallest document stands for it
     classes = write_table(signed.where("set_key is not null").groupBy("set_key").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n_shingles", "sig")).alias("x"))
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n_shingles", "sig")).alias("x"))
         .select("set_key", F.xxhash64("set_key").alias("c"), F.col("x.doc_id").alias("doc_id"),
+                F.col("x.text_key").alias("text_key"),
                 F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig")), "classes")
 
     # (coordinate, value) as one number
@@ -248,8 +250,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, coord
 
     # sets of the classes in candidate pairs and in long lists, made once
     needed = (pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(long_rows.select("c")).distinct()
-              .join(classes.select("c", "set_key", "doc_id"), "c"))
-    sets = write_table(needed.join(src, "doc_id").select("c", "set_key", "text")
+              .join(classes.select("c", "set_key", "doc_id", "text_key"), "c"))
+    with_text = needed.join(src.drop("text_key"), "doc_id").select("c", "set_key", "text")
+    # a class without any id finds its text by the text's key
+    nameless = src.where("doc_id is null").dropDuplicates(["text_key"]).select("text_key", "text")
+    with_text = with_text.union(needed.where("doc_id is null").join(nameless, "text_key").select("c", "set_key", "text"))
+    sets = write_table(with_text
                        .mapInArrow(_sets(width), "c long, s array<long>"), "sets")
     if sets.count() > needed.count():      # repeated rows
         sets = write_table(sets.dropDuplicates(["c"]), "sets")
@@ -295,11 +301,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: doc_id, n_shingles, component_id, kept."""
     signed, of_set = _components(docs, id_col, text_col, percent, coordinates, matches, width, short_list, hubs,
                                  spokes_each, block)
-    ids = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    smallest = of_set.join(ids, "set_key").groupBy("p").agg(F.min("doc_id").alias("component_id"))
-    named = of_set.join(smallest, "p").select("set_key", "component_id")
-    out = ["doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")]
-    empty = signed.where("set_key is null").withColumn("component_id", F.col("doc_id"))
+    ids = signed.where("set_key is not null").groupBy("set_key").agg(
+        F.min("doc_id").alias("doc_id"), F.min("text_key").alias("low_key"))
+    smallest = of_set.join(ids, "set_key").groupBy("p").agg(
+        F.min("doc_id").alias("component_id"), F.min("low_key").alias("low_key"))
+    named = of_set.join(smallest, "p").select("set_key", "component_id", "low_key")
+    first = F.col("component_id").isNotNull() | F.col("text_key").eqNullSafe(F.col("low_key"))
+    out = ["doc_id", "n_shingles", "component_id",
+           (F.col("doc_id").eqNullSafe(F.col("component_id")) & first).alias("kept")]
+    empty = signed.where("set_key is null").withColumns({"component_id": F.col("doc_id"), "low_key": F.col("text_key")})
     return signed.join(named, "set_key").select(*out).union(empty.select(*out))
 
 

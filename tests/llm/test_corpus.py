@@ -371,6 +371,16 @@ def test_near_dedup_stage_decides_by_row(spark):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), DATA).count() == 0
 
 
+def test_rows_without_ids_have_near_duplicates(spark):
+    say = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, say("a")), (None, say("a") + " end"), (None, say("b")), (None, say("b") + " end"), (None, say("c"))]
+    df = spark.createDataFrame(rows + [(None, None)], "doc_id long, text string")
+    got = collections.Counter((r["n_shingles"], r["component_id"], r["kept"]) for r in rows_of(minhash.near_duplicates(df)))
+    assert got[36, 1, True] == 1 and got[37, 1, False] == 1 and got[0, None, True] == 1
+    assert sum(k for x, k in got.items() if x[2]) == 4 and sum(got.values()) == 6
+    assert len(rows_of(minhash.survivors(df))) == 4
+
+
 def test_large_near_groups(spark):
     """Lists beyond the short ones: stars, skipping and the join across."""
     rng = np.random.default_rng(5)
