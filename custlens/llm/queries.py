@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import chat, covertree, htmltext, minhash, mixing, packing, quality, secrets, sharding, urls
+from . import chat, covertree, htmltext, minhash, mixing, packing, quality, secrets, sharding, urls, whitening
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,6 +107,12 @@ def op10(spark, sf_dir):
     return covertree.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+@_query("op11_embedding_whitening")
+def op11(spark, sf_dir):
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
