@@ -6,12 +6,15 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import chat, covertree, htmltext, minhash, mixing, packing, quality, secrets, sharding, urls, whitening
+from . import (chat, covertree, htmltext, minhash, mixing, packing, quality, secrets, sharding, urls, vptree,
+               whitening)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 TOKENIZER = "word_bpe_49k.json"
+#: Pruning of op13's trees; one is exact search.
+RELAX = 1.0
 
 
 def _query(name: str, sql: str | None = None):
@@ -113,6 +116,12 @@ def op11(spark, sf_dir):
     return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
+@_query("op13_vantage_point_search")
+def op13(spark, sf_dir):
+    trees = vptree.index(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return vptree.search(trees, trees.nodes.where("vec_id % 50 = 0"), 5, RELAX)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
