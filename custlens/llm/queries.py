@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import (chat, covertree, htmltext, minhash, mixing, packing, quality, secrets, sharding, urls, vptree,
+from . import (chat, covertree, htmltext, minhash, mixing, packing, prefixtrie, quality, secrets, sharding, urls, vptree,
                whitening)
 
 QUERIES: dict = {}
@@ -116,6 +116,12 @@ def op11(spark, sf_dir):
     return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
+@_query("op12_prefix_trie")
+def op12(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefixtrie.trie(prefixtrie.rebuilt(rows))
+
+
 @_query("op13_vantage_point_search")
 def op13(spark, sf_dir):
     trees = vptree.index(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
