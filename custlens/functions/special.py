@@ -50,61 +50,171 @@ def lgamma(x) -> Column:
     return F.when(x > 0, val)
 
 
-#: Cells of one block of series terms (bounds a batch's memory, not the series).
-SERIES_CELLS = 1_000_000
-
-
-def _sum_series(a, b, c, z):
-    """``2F1(a,b;c;z)`` per row of numpy vectors: blocks of terms are summed
-    until the geometric bound on what is left falls below double precision.
-    NaN parameters give NaN; ``z`` outside [0, 1) raises."""
-    done = np.isfinite(a) & np.isfinite(b) & np.isfinite(c) & np.isfinite(z)
-    if ((z[done] < 0) | (z[done] >= 1)).any():
-        raise ValueError("2F1 series needs 0 <= z < 1")
-    rows = np.flatnonzero(done)
-    total, last = np.where(done, 1.0, np.nan), np.ones(len(z))
-    start, width = 0, 64
+#: Terms of one block of a series; a block's product of ratios stays a double.
+BLOCK = 32
+#: Terms after which a series that has not settled goes on by Taylor steps.
+SERIES_TERMS = 4096
+#: Most terms of one Taylor step (an error beyond, never a cut).
+TAYLOR_TERMS = 1_000_000
+
+
+def _series(a, b, c, z, y):
+    """``2F1(a,b;c;z)`` per row as (mantissa, binary exponent, settled): blocks
+    of terms until a bound on what is left is below double precision.  Sums and
+    terms are scaled together, so large parameters do not overflow.  ``y`` is
+    ``1 - z``.  Rows that lose digits to cancellation are not settled."""
+    n = len(z)
+    total, last, exp2 = np.ones(n), np.ones(n), np.zeros(n)
+    size, settled = np.ones(n), np.zeros(n, bool)      # size: sum of absolute terms
+    excess = c - a - b                                 # terms fall like k^-(1 + excess) z^k
+    rows, k0 = np.arange(n), 0
+    while len(rows) and k0 < SERIES_TERMS:
+        k = k0 + np.arange(BLOCK, dtype=float)
+        i = rows[:, None]
+        ratio = (a[i] + k) * (b[i] + k) / ((c[i] + k) * (k + 1.0)) * z[i]
+        terms = last[i] * np.cumprod(ratio, axis=1)
+        t = total[rows] + terms.sum(axis=1)
+        size[rows] += np.abs(terms).sum(axis=1)
+        last[rows] = terms[:, -1]
+        rho = np.maximum(np.abs(ratio[:, -1]), z[rows])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rest = np.where(rho < 1.0, rho / (1.0 - rho), np.inf)
+            algebraic = np.where(excess[rows] > 0, (k[-1] + 2.0) / excess[rows], np.inf)
+        late = k[-1] > 2.0 * np.maximum(np.abs(a[rows]), np.abs(b[rows]))
+        rest = np.abs(terms[:, -1]) * np.where(late, np.minimum(rest, 2.0 * algebraic), rest)
+        done = rest <= 1e-17 * np.abs(t)
+        # scale sum, terms and their size by one power of two
+        e = np.frexp(np.maximum(np.abs(t), np.maximum(np.abs(last[rows]), 1e-300)))[1].astype(float)
+        total[rows], last[rows], size[rows] = (np.ldexp(v, -e.astype(int)) for v in (t, last[rows], size[rows]))
+        exp2[rows] += e
+        settled[rows[done]] = np.abs(total[rows[done]]) * 1e3 >= size[rows[done]]
+        rows, k0 = rows[~done], k0 + BLOCK
+    return total, exp2, settled
+
+
+def _taylor(a, b, c, y):
+    """``2F1(a,b;c;1-y)`` for ``y <= 1/2`` as (mantissa, binary exponent):
+    the series at z = 1/2, then Taylor steps of the differential equation that
+    halve ``1 - z`` until it is ``y``.  Work grows with ``log(1/y)`` only."""
+    half = np.full(len(y), 0.5)
+    f, e, _ = _series(a, b, c, half, half)
+    g, e1, _ = _series(a + 1.0, b + 1.0, c + 1.0, half, half)
+    g = np.ldexp(g * a * b / c, (e1 - e).astype(int))                       # the derivative, on the scale of f
+    at = half.copy()
+    rows = np.flatnonzero(y < at)
     while len(rows):
-        left = []
-        for i in np.array_split(rows, -(-len(rows) * width // SERIES_CELLS)):
-            k = start + np.arange(width, dtype=float)
-            ratio = (a[i, None] + k) * (b[i, None] + k) / ((c[i, None] + k) * (k + 1.0)) * z[i, None]
-            with np.errstate(over="ignore", under="ignore"):
-                terms = last[i, None] * np.cumprod(ratio, axis=1)
-                total[i] += terms.sum(axis=1)
-            last[i] = terms[:, -1]
-            # the ratio of terms tends to z
-            rho = np.maximum(ratio[:, -1], z[i])
-            left.append(i[(rho >= 1.0) | (last[i] * rho > 1e-17 * total[i] * (1.0 - rho))])
-        rows, start, width = np.concatenate(left), start + width, min(2 * width, 1 << 16)
-    return total
+        y0 = at[rows]
+        h = np.minimum(y0 / 2.0, y0 - y[rows])
+        aa, bb, cc = a[rows], b[rows], c[rows]
+        z0 = 1.0 - y0
+        u, v = f[rows], g[rows] * h                                         # terms n and n + 1
+        value, slope = u + v, v.copy()                                      # sums of u_n and n u_n
+        quiet = np.zeros(len(rows), int)
+        scale = np.zeros(len(rows))
+        for n in range(TAYLOR_TERMS):
+            w = ((n + aa) * (n + bb) * u * h - (n + 1.0) * (n * (1.0 - 2.0 * z0) + cc - (aa + bb + 1.0) * z0) * v) \
+                * h / ((n + 2.0) * (n + 1.0) * z0 * y0)
+            u, v = v, w
+            value = value + w
+            slope = slope + (n + 2.0) * w
+            small = (np.abs(w) <= 1e-18 * np.abs(value)) & ((n + 2.0) * np.abs(w) <= 1e-18 * np.abs(slope))
+            quiet = np.where(small, quiet + 1, 0)
+            if (quiet >= 4).all():
+                break
+            if n % 64 == 63:
+                k = np.frexp(np.maximum(np.abs(value), np.abs(w)))[1]
+                u, v, value, slope = (np.ldexp(q, -k) for q in (u, v, value, slope))
+                scale += k
+        else:
+            raise ArithmeticError(f"2F1 Taylor step not settled after {TAYLOR_TERMS} terms")
+        k = np.frexp(np.maximum(np.abs(value), 1e-300))[1]
+        f[rows], g[rows] = np.ldexp(value, -k), np.ldexp(slope, -k) / h
+        e[rows] += scale + k
+        at[rows] = y0 - h
+        rows = rows[(at[rows] > y[rows]) & (h == y0 / 2.0)]
+    return f, e
+
+
+def hyp2f1_scaled(a, b, c, z, y=None, power=None):
+    """``(1 - z)^power * 2F1(a, b; c; z)`` of numpy vectors, 0 <= z < 1.
+
+    ``y`` is ``1 - z`` where it is known more exactly than by the subtraction,
+    ``power`` (0 if not given) is applied on the log scale, so the product may
+    be an ordinary number where both factors are not.  Three ways, per row:
+
+    1. Euler's form ``(1-z)^(c-a-b) 2F1(c-a, c-b; c; z)``, whose series is short
+       where ``c - a`` and ``c - b`` are small;
+    2. the series itself, for z up to 1/2;
+    3. the series at z = 1/2 continued towards 1 by Taylor steps that halve
+       ``1 - z``: its work grows with the logarithm of ``1 / (1 - z)``.
+
+    NaN arguments and a ``c`` of 0, -1, ... give NaN; z outside [0, 1) raises."""
+    a, b, c, z = (np.asarray(v, dtype=float) for v in (a, b, c, z))
+    y = 1.0 - z if y is None else np.asarray(y, dtype=float)
+    power = np.zeros(len(z)) if power is None else np.asarray(power, dtype=float)
+    fine = np.isfinite(a) & np.isfinite(b) & np.isfinite(c) & np.isfinite(z) & np.isfinite(y) & np.isfinite(power)
+    if ((z[fine] < 0) | (z[fine] >= 1) | (y[fine] <= 0)).any():
+        raise ValueError("2F1 needs 0 <= z < 1")
+    fine &= ~((c <= 0) & (c == np.floor(c)))
+    out = np.full(len(z), np.nan)
+    rows = np.flatnonzero(fine)
+    if not len(rows):
+        return out
+    a, b, c, z, y, power = (v[rows] for v in (a, b, c, z, y, power))
+    value, exp2, extra = np.ones(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
+    excess = a + b - c                                  # of Euler's form
+    todo = np.ones(len(rows), bool)
+
+    def put(at, v, e, more):
+        value[at], exp2[at], extra[at], todo[at] = v, e, more, False
+
+    with np.errstate(over="ignore", under="ignore"):
+        # hopeless near z = 1 unless the terms fall fast
+        at = np.flatnonzero((z <= 0.9) | (excess >= 6))
+        v, e, ok = _series(c[at] - a[at], c[at] - b[at], c[at], z[at], y[at])
+        put(at[ok], v[ok], e[ok], -excess[at[ok]])
+        at = np.flatnonzero(todo & ((z <= 0.5) | (excess <= -6)))
+        v, e, ok = _series(a[at], b[at], c[at], z[at], y[at])
+        ok |= z[at] <= 0.5
+        put(at[ok], v[ok], e[ok], 0.0)
+        # of the two forms, the one whose parameters are larger has terms of one sign
+        at = np.flatnonzero(todo)
+        v, e = _taylor(a[at], b[at], c[at], y[at])
+        put(at, v, e, 0.0)
+        log = (power + extra) * np.log(y) + exp2 * math.log(2.0)
+        out[rows] = value * np.exp(log)
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _hyp2f1_batch(a: pd.Series, b: pd.Series, c: pd.Series, zs: pd.Series) -> pd.Series:
+def _hyp2f1_batch(a: pd.Series, b: pd.Series, c: pd.Series, zs: pd.Series, ys: pd.Series, power: pd.Series) -> pd.Series:
     if not len(zs):
         return pd.Series([], dtype=object)
-    z = np.array(zs.tolist(), dtype=float)
-    rows = np.column_stack([a, b, c, z]).astype(float)
+    z, y = (np.array(v.tolist(), dtype=float) for v in (zs, ys))
+    k = z.shape[1]
+    rows = np.column_stack([a, b, c, power, z, y]).astype(float)
     # customers of equal history share one evaluation
     one, back = np.unique(rows, axis=0, return_inverse=True)
-    k = z.shape[1]
-    abc = np.repeat(one[:, :3], k, axis=0)
-    got = _sum_series(abc[:, 0], abc[:, 1], abc[:, 2], one[:, 3:].ravel()).reshape(-1, k)
+    abcp = np.repeat(one[:, :4], k, axis=0).T
+    got = hyp2f1_scaled(*abcp[:3], one[:, 4:4 + k].ravel(), one[:, 4 + k:].ravel(), abcp[3]).reshape(-1, k)
     return pd.Series([None if np.isnan(x).any() else x for x in got[back.ravel()]], dtype=object)
 
 
 def hyp2f1(a, b, c, z) -> Column:
-    """Gauss hypergeometric ``2F1(a,b;c;z)``, 0 <= z < 1, to double precision
-    (NULL for NULL arguments)."""
+    """Gauss hypergeometric ``2F1(a,b;c;z)``, 0 <= z < 1, near double precision
+    (NULL for NULL arguments and at the poles)."""
     return hyp2f1_multi(a, b, c, [z])[0]
 
 
-def hyp2f1_multi(a, b, c, zs: list) -> Column:
-    """Array of ``2F1(a,b;c;z_j)`` for several ``z_j``: one Arrow batch
-    function that evaluates each distinct row of parameters once.  Bind the
-    result once (``let``) before reading several elements."""
-    return _hyp2f1_batch(*[_c(x).cast("double") for x in (a, b, c)], F.array(*[_c(z).cast("double") for z in zs]))
+def hyp2f1_multi(a, b, c, zs: list, ys: list | None = None, power=0.0) -> Column:
+    """Array of ``(1 - z_j)^power * 2F1(a,b;c;z_j)`` for several ``z_j``: one
+    Arrow batch function that evaluates each distinct row of parameters once.
+    ``ys`` are the ``1 - z_j`` where they are known exactly.  Bind the result
+    once (``let``) before reading several elements."""
+    zs = [_c(z).cast("double") for z in zs]
+    ys = [F.lit(1.0) - z for z in zs] if ys is None else [_c(y).cast("double") for y in ys]
+    return _hyp2f1_batch(*[_c(x).cast("double") for x in (a, b, c)], F.array(*zs), F.array(*ys),
+                         _c(power).cast("double"))
 
 
 # --- fixed values: complementary error function, Chebyshev fit

@@ -3,8 +3,8 @@ Lee 2005) and the Gamma-Gamma spend model (Fader & Hardie 2013) (F1-F12).
 
 Fitting never moves customer rows: they are first compressed to their
 sufficient statistics (``groupBy(x, t, T).count()`` resp. ``(x, m)``), and
-every optimiser batch evaluates all candidate parameter vectors as separate
-aggregate columns of one pass over that table."""
+every optimiser batch evaluates all candidate parameter vectors in one pass
+over that table, exploded next to each of its rows."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import hyp2f1, hyp2f1_multi, let, lgamma
+from ..functions.special import hyp2f1_multi, let, lgamma
 from ..session import cut_lineage
 from .optim import batch_minimize
 from .ranking import ranked_histogram
@@ -128,7 +128,9 @@ def fit_bgnbd(df: DataFrame, penalizer: float = 0.001, x="uniq_freq", t="uniq_re
               init=(0.1, 0.1, 0.1, 0.1), max_rounds: int = 40):
     """Maximum-likelihood BG/NBD fit.  Time is rescaled so that max(T) = 10
     during the fit (then alpha is scaled back), parameters are optimised on
-    the log scale.  Returns ``(BGNBDParams, OptimResult)``."""
+    the log scale.  Returns ``(BGNBDParams, OptimResult)``; ``at_bound`` of the
+    result names parameters that ended at the edge of the search box, where the
+    likelihood has no inner maximum."""
     suff = (df.groupBy(F.col(x).cast("double").alias("sx"), F.col(t).cast("double").alias("st"),
                        F.col(T).cast("double").alias("sage"))
               .agg(F.count(F.lit(1)).alias("n")))
@@ -138,7 +140,7 @@ def fit_bgnbd(df: DataFrame, penalizer: float = 0.001, x="uniq_freq", t="uniq_re
     scaled = suff.select("sx", (F.col("st") * scale).alias("st"), (F.col("sage") * scale).alias("sage"),
                          "n").persist()
     f_batch = _batched_objective(scaled, lambda r, al, a, b: bgnbd_ll(r, al, a, b, "sx", "st", "sage"), penalizer)
-    res = batch_minimize(f_batch, np.log(np.asarray(init)), max_rounds=max_rounds)
+    res = batch_minimize(f_batch, np.log(np.asarray(init)), max_rounds=max_rounds, names=("r", "alpha", "a", "b"))
     scaled.unpersist()
     r, alpha, a, b = np.exp(res.x)
     return BGNBDParams(float(r), float(alpha / scale), float(a), float(b)), res
@@ -151,7 +153,7 @@ def fit_gamma_gamma(df: DataFrame, penalizer: float = 0.001, x="uniq_freq", m="u
               .agg(F.count(F.lit(1)).alias("n")))
     suff = cut_lineage(suff)
     f_batch = _batched_objective(suff, lambda p, q, v: gg_ll(p, q, v, "x", "m"), penalizer)
-    res = batch_minimize(f_batch, np.log(np.asarray(init)), max_rounds=max_rounds)
+    res = batch_minimize(f_batch, np.log(np.asarray(init)), max_rounds=max_rounds, names=("p", "q", "v"))
     p, q, v = np.exp(res.x)
     return GammaGammaParams(float(p), float(q), float(v)), res
 
@@ -176,16 +178,29 @@ def p_alive(df: DataFrame, params: BGNBDParams, x="uniq_freq", t="uniq_rec", T="
 
 
 # F6
+def _purchase_terms(params: BGNBDParams, horizons: list, x, T):
+    """``(first, kept)`` of ``E[X(s)] = first * (1 - kept_s) * P(alive)``:
+    ``first = (a + b + x - 1) / (a - 1)`` and, for every horizon s, ``kept_s =
+    (1 - z)^(r + x) 2F1(r + x, b + x; a + b + x - 1; z)`` with ``z = s / (alpha +
+    T + s)``, one array.  At ``a = 1`` and ``a + b + x = 1`` both factors have a
+    pole that their product lacks; there the parameter is moved by 1e-7 (a) or
+    1e-12 (a + b + x - 1)."""
+    a_ = params.a if abs(params.a - 1.0) >= 1e-7 else 1.0 + 1e-7
+    r, al, a, b = (F.lit(v) for v in (params.r, params.alpha, a_, params.b))
+    xc, Tc = _col(x).cast("double"), _col(T).cast("double")
+    c = a + b + xc - F.lit(1.0)
+    c = F.when(F.abs(c) < 1e-12, F.lit(1e-12)).otherwise(c)
+    ends = [al + Tc + s for s in horizons]
+    kept = hyp2f1_multi(r + xc, b + xc, c, [s / e for s, e in zip(horizons, ends)], [(al + Tc) / e for e in ends],
+                        r + xc)
+    return c / (a - F.lit(1.0)), kept
+
+
 def expected_purchases_expr(params: BGNBDParams, s, x="uniq_freq", t="uniq_rec", T="uniq_age") -> Column:
     """Expected repeat purchases in the next ``s`` days given (x, t, T)."""
-    r, al, a, b = (F.lit(params.r), F.lit(params.alpha), F.lit(params.a), F.lit(params.b))
     s = _c(s)
-    x, t, T = _col(x).cast("double"), _col(t).cast("double"), _col(T).cast("double")
-    first = (a + b + x - F.lit(1.0)) / (a - F.lit(1.0))
-    z = s / (al + T + s)
-    h = hyp2f1(r + x, b + x, a + b + x - F.lit(1.0), z)
-    second = F.lit(1.0) - h * F.pow((al + T) / (al + T + s), r + x)
-    return F.when(s == 0, F.lit(0.0)).otherwise(first * second * p_alive_expr(params, x, t, T))
+    first, kept = _purchase_terms(params, [s], x, T)
+    return F.when(s == 0, F.lit(0.0)).otherwise(first * (F.lit(1.0) - kept[0]) * p_alive_expr(params, x, t, T))
 
 
 def expected_purchases(df: DataFrame, params: BGNBDParams, s: float = 1, out: str = "exp_purchases",
@@ -212,13 +227,7 @@ def clv_expr(bg: BGNBDParams, gg: GammaGammaParams, months: int = 12, rate: floa
     """Discounted value of the next ``months`` months:
     ``E[M] * sum_i (E[X(30 i)] - E[X(30 (i-1))]) / (1+rate)^i``."""
     em = expected_avg_value_expr(gg, x, m)
-    r, al, a, b = (F.lit(bg.r), F.lit(bg.alpha), F.lit(bg.a), F.lit(bg.b))
-    xc, Tc = _col(x).cast("double"), _col(T).cast("double")
-    horizons = [float(i * days_per_month) for i in range(1, months + 1)]
-    zs = [F.lit(s) / (al + Tc + F.lit(s)) for s in horizons]
-    # all horizons share a, b, c: one call gives every 2F1 value, bound once
-    res = hyp2f1_multi(r + xc, b + xc, a + b + xc - F.lit(1.0), zs)
-    first = (a + b + xc - F.lit(1.0)) / (a - F.lit(1.0))
+    first, kept = _purchase_terms(bg, [F.lit(float(i * days_per_month)) for i in range(1, months + 1)], x, T)
     pa = p_alive_expr(bg, x, t, T)
     # sum_i (E_i - E_{i-1}) w_i with E_0 = 0 telescopes to
     # sum_{i<n} E_i (w_i - w_{i+1}) + E_n w_n
@@ -226,13 +235,11 @@ def clv_expr(bg: BGNBDParams, gg: GammaGammaParams, months: int = 12, rate: floa
 
     def body(st):
         total = F.lit(0.0)
-        for i, s_ in enumerate(horizons, start=1):
-            h = st[i - 1]
-            e_i = first * (F.lit(1.0) - h * F.pow((al + Tc) / (al + Tc + F.lit(s_)), r + xc))
+        for i in range(1, months + 1):
             wi = w[i - 1] - w[i] if i < months else w[i - 1]
-            total = total + e_i * F.lit(wi)
+            total = total + (F.lit(1.0) - st[i - 1]) * F.lit(wi)
         return total
-    return em * pa * let(res, body)
+    return em * pa * first * let(kept, body)
 
 
 def customer_lifetime_value(df: DataFrame, bg: BGNBDParams, gg: GammaGammaParams, months: int = 12,

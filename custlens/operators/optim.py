@@ -1,7 +1,7 @@
 """Batched derivative-free minimisation for likelihood fits on Spark.
 
 An objective over a DataFrame costs one Spark job per *batch* of parameter
-vectors (all candidates are separate aggregate columns of one pass), so the
+vectors (all candidates are evaluated in one pass), so the
 optimiser is built to need few rounds: damped Newton steps from a
 finite-difference gradient and Hessian (one batch of 1 + 2d + d(d-1)/2
 points), then a line search whose step sizes are all evaluated in a second
@@ -22,6 +22,8 @@ class OptimResult:
     rounds: int
     converged: bool
     history: list = field(default_factory=list)
+    #: Names of the coordinates that ended near a bound of the search box.
+    at_bound: list = field(default_factory=list)
 
 
 def _stencil(x: np.ndarray, h: float):
@@ -60,13 +62,15 @@ def _derivs(vals, x, h):
 
 
 def batch_minimize(f_batch: Callable[[list[np.ndarray]], list[float]], x0, max_rounds: int = 40,
-                   h: float = 1e-4, tol: float = 1e-8, bounds=(-20.0, 20.0)) -> OptimResult:
+                   h: float = 1e-4, tol: float = 1e-8, bounds=(-20.0, 20.0), names=None,
+                   near: float = 2.0) -> OptimResult:
     """Damped Newton with finite-difference derivatives, one Spark job per
     round in the common case: each batch holds the line-search points *and*
     the derivative stencil around the full Newton step, so when the full step
     is taken (the usual case near the optimum) the next round's derivatives
     are already known.  Coordinates pinned at a bound with the gradient
-    pointing outwards are frozen."""
+    pointing outwards are frozen; those that end within ``near`` of a bound are
+    listed in ``at_bound`` (by ``names``, else by number)."""
     lo_b, hi_b = bounds
     x = np.clip(np.asarray(x0, dtype=float), lo_b, hi_b)
     d = len(x)
@@ -133,4 +137,5 @@ def batch_minimize(f_batch: Callable[[list[np.ndarray]], list[float]], x0, max_r
                 converged = True
                 break
             lam *= 100
-    return OptimResult(x, float(fx), rounds, converged, history)
+    edge = [str(names[i] if names else i) for i in range(d) if x[i] <= lo_b + near or x[i] >= hi_b - near]
+    return OptimResult(x, float(fx), rounds, converged, history, edge)

@@ -25,11 +25,13 @@ def _bg_sql_parts(x="uniq_freq", t="uniq_rec", T="uniq_age", bg=BG):
 
 
 def hyp2f1_sql(a: str, b: str, c: str, z: str) -> str:
+    """Series of 2F1 after its first term, ``1 + a b z / c * sum (a+1)_k (b+1)_k
+    / ((c+1)_k (2)_k) z^k``: gamma values stay positive for c > -1."""
     g = f"greatest(({a}) + ({b}) - ({c}), 0.0)"
     k = f"CAST(greatest(ceil(({g} + 6.0 * sqrt({g}) + 40.0) / (1.0 - ({z}))), 30) AS BIGINT)"
-    term = (f"exp(lgamma(({a}) + k) - lgamma({a}) + lgamma(({b}) + k) - lgamma({b}) - lgamma(({c}) + k) "
-            f"+ lgamma({c}) - lgamma(k + 1) + k * ln({z}))")
-    return f"list_sum(list_transform(range(0, {k}), lambda k: {term}))"
+    term = (f"exp(lgamma(({a}) + 1 + k) - lgamma(({a}) + 1) + lgamma(({b}) + 1 + k) - lgamma(({b}) + 1) "
+            f"- lgamma(({c}) + 1 + k) + lgamma(({c}) + 1) - lgamma(k + 2) + k * ln({z}))")
+    return f"(1.0 + ({a}) * ({b}) * ({z}) / ({c}) * list_sum(list_transform(range(0, {k}), lambda k: {term})))"
 
 
 def exp_purchases_sql(s: float, bg=BG) -> str:
@@ -110,11 +112,11 @@ def f8_expected_avg_value(spark, sf_dir):
     return fx_df(V.expected_avg_value(orders_rfm(spark, sf_dir), GG).select("cust_id", "predicted_sales"))
 
 
-def _clv_sql(months=12, rate=0.01):
+def _clv_sql(months=12, rate=0.01, bg=BG):
     terms = []
     for i in range(1, months + 1):
-        cur = exp_purchases_sql(float(30 * i))
-        prev = exp_purchases_sql(float(30 * (i - 1)))
+        cur = exp_purchases_sql(float(30 * i), bg)
+        prev = exp_purchases_sql(float(30 * (i - 1)), bg)
         terms.append(f"({cur} - {prev}) / {(1.0 + rate) ** i!r}")
     return f"({exp_value_sql()} * ({' + '.join(terms)}))"
 
@@ -134,12 +136,32 @@ def f11_time_split(spark, sf_dir):
     return V.time_split(o, "d", 0.2, "o_orderkey").select("o_orderkey", "split")
 
 
+#: As fitted to customers who hardly ever leave: a + b < 1 makes the 2F1's third argument negative at x = 0.
+BG_LOYAL = V.BGNBDParams(r=6.551, alpha=1537.2, a=1e-8, b=0.0195)
+
+
+@query("f6_expected_purchases_loyal", fx_sql(f"""
+SELECT cust_id, {exp_purchases_sql(1.0, BG_LOYAL)} AS exp_1d, {exp_purchases_sql(360.0, BG_LOYAL)} AS exp_360d
+FROM ({RFM_ORDERS_SQL})""", ["exp_1d", "exp_360d"]))
+def f6_expected_purchases_loyal(spark, sf_dir):
+    r = orders_rfm(spark, sf_dir)
+    r = V.expected_purchases(r, BG_LOYAL, 1.0, "exp_1d")
+    r = V.expected_purchases(r, BG_LOYAL, 360.0, "exp_360d")
+    return fx_df(r.select("cust_id", "exp_1d", "exp_360d"))
+
+
+@query("f9_customer_lifetime_value_loyal", fx_sql(f"""
+SELECT cust_id, {_clv_sql(bg=BG_LOYAL)} AS LTV FROM ({RFM_ORDERS_SQL})""", ["LTV"]))
+def f9_customer_lifetime_value_loyal(spark, sf_dir):
+    return fx_df(V.customer_lifetime_value(orders_rfm(spark, sf_dir), BG_LOYAL, GG).select("cust_id", "LTV"))
+
+
 @query("f12_prediction_error", fx_sql(f"""
 SELECT avg((uniq_mon - ps) * (uniq_mon - ps)) AS mse, avg(uniq_mon) AS mean_actual, avg(ps) AS mean_predicted
-FROM (SELECT uniq_mon, {exp_value_sql()} AS ps FROM ({RFM_ORDERS_SQL}) WHERE uniq_freq > 0)""",
+FROM (SELECT uniq_mon, {exp_value_sql()} AS ps FROM ({RFM_ORDERS_SQL}))""",
                                       ["mse", "mean_actual", "mean_predicted"]))
 def f12_prediction_error(spark, sf_dir):
-    r = V.expected_avg_value(orders_rfm(spark, sf_dir).where(F.col("uniq_freq") > 0), GG, "ps")
+    r = V.expected_avg_value(orders_rfm(spark, sf_dir), GG, "ps")
     return fx_df(V.prediction_error(r, "uniq_mon", "ps"))
 
 
@@ -147,9 +169,10 @@ def f12_prediction_error(spark, sf_dir):
 def f2_fit_bgnbd(spark, sf_dir):
     """BG/NBD parameters fitted on the eligible customers (one row)."""
     bg, res = V.fit_bgnbd(V.clv_eligible(orders_rfm(spark, sf_dir)))
-    return spark.createDataFrame([(bg.r, bg.alpha, bg.a, bg.b, res.fun, res.rounds, res.converged)],
+    return spark.createDataFrame([(bg.r, bg.alpha, bg.a, bg.b, res.fun, res.rounds, res.converged,
+                                   ",".join(res.at_bound))],
                                  "r double, alpha double, a double, b double, objective double, "
-                                 "rounds int, converged boolean")
+                                 "rounds int, converged boolean, at_bound string")
 
 
 @query("f4_fit_gamma_gamma")

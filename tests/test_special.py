@@ -1,11 +1,13 @@
 """Column-expression special functions against the Python standard library."""
 
 import math
+from decimal import Decimal, localcontext
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 
-from custlens.functions.special import erfc, hyp2f1, lgamma, norm_cdf, norm_ppf
+from custlens.functions.special import erfc, hyp2f1, hyp2f1_scaled, lgamma, norm_cdf, norm_ppf
 
 
 def test_lgamma(spark):
@@ -56,3 +58,55 @@ def test_hyp2f1_large_parameters(spark):
     got = [r[0] for r in df.select(hyp2f1(df.a, df.b, df.b, df.z)).collect()]
     for (a, _, z), g in zip(rows, got):
         assert g == pytest.approx((1 - z) ** -a, rel=1e-9)
+
+
+@pytest.mark.parametrize("z", [0.08, 0.3, 0.6, 0.9, 0.99, 0.9999999, 1 - 1e-12])
+def test_hyp2f1_closed_forms_to_one(z):
+    """2F1(a, a+1/2; 2a; z) has a closed form, also for 2a in (-1, 0) where the sum is negative."""
+    y = 1 - z
+    for a in (-0.49, -0.2, 0.3, 4.5):
+        want = y ** -0.5 * (2 / (1 + math.sqrt(y))) ** (2 * a - 1)
+        assert scaled(a, a + 0.5, 2 * a, z) == pytest.approx(want, rel=1e-9)
+    assert scaled(1, 1, 2, z) == pytest.approx(-math.log(y) / z, rel=1e-9)
+    assert scaled(-0.5, 1.3, -0.5, z) == pytest.approx(y ** -1.3, rel=1e-9)
+    assert scaled(2.5, 3, 3, z) == pytest.approx(y ** -2.5, rel=1e-9)
+
+
+def scaled(a, b, c, z, power=0.0):
+    one = np.ones(1)
+    return hyp2f1_scaled(a * one, b * one, c * one, z * one, None, power * one)[0]
+
+
+@pytest.mark.parametrize("abcz", [(6.47, 0.5, -0.4, 0.9), (6.47, 0.5, -0.4, 0.3), (6.551, 0.0195, -0.98, 0.08),
+                                  (6.551, 0.0195, -0.98, 0.9), (0.7, 0.4, -0.02, 0.97), (50.3, 1.9, 1.3, 0.97),
+                                  (300.2, 2.4, 2.0, 0.8), (1000.5, 1001.0, 1000.9, 0.5), (3.3, 2.4, 17.2, 0.999)])
+def test_hyp2f1_against_long_sums(abcz):
+    """Sixty-digit sums of the defining series."""
+    with localcontext() as ctx:
+        ctx.prec = 60
+        a, b, c, z = map(Decimal, abcz)
+        term = total = Decimal(1)
+        for k in range(200_000):
+            term *= (a + k) * (b + k) / ((c + k) * (k + 1)) * z
+            total += term
+            if k > 50 and abs(term) < abs(total) * Decimal(10) ** -25 * (1 - z):
+                break
+        assert abs(Decimal(float(scaled(*abcz))) / total - 1) < Decimal("1e-11")
+
+
+def test_hyp2f1_scaled_products_and_poles():
+    assert scaled(1500.5, 1001.0, 1001.0, 0.999, 1500.5) == pytest.approx(1.0, rel=1e-10)    # 1e4500 times 1e-4500
+    assert math.isnan(scaled(1.0, 1.0, -2.0, 0.5)) and math.isnan(scaled(float("nan"), 1.0, 2.0, 0.5))
+    with pytest.raises(ValueError):
+        scaled(1.0, 1.0, 2.0, 1.0)
+
+
+def test_expected_purchases_at_the_poles(spark):
+    """a = 1 and a + b + x = 1 are poles of the factors, not of the product."""
+    from custlens.operators.clv import BGNBDParams, expected_purchases
+    df = spark.createDataFrame([(0, 0.0, 200.0), (2, 100.0, 200.0)], "uniq_freq int, uniq_rec double, uniq_age double")
+    for at, near in ((BGNBDParams(2.0, 90.0, 1.0, 0.7), BGNBDParams(2.0, 90.0, 1.0 + 1e-5, 0.7)),
+                     (BGNBDParams(2.0, 90.0, 0.25, 0.75), BGNBDParams(2.0, 90.0, 0.25, 0.75 + 1e-6))):
+        got, want = ([r["exp_purchases"] for r in expected_purchases(df, p, 30.0).collect()] for p in (at, near))
+        assert got == pytest.approx(want, rel=1e-4)
+        assert all(0 < v < 30 for v in got)
