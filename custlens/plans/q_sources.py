@@ -306,39 +306,74 @@ def b10_load_with_quarantine(spark, sf_dir):
     path = A.scratch_dir(spark, "quarantine")
     txt.write.mode("overwrite").option("header", True).csv(path)
     good, bad = B.load_with_quarantine(spark, path, SPEC)
+    # freed with the session's caches; both frames read it lazily
     return good.select(F.lit("good").alias("part")).unionByName(bad.select(F.lit("bad").alias("part"))) \
         .groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("b11_ingest_stream")
+@query("b11_ingest_stream", """
+WITH e AS (SELECT *, coalesce(event_type, 'view') AS t FROM events)
+SELECT 'good rows' AS part, t AS what, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids
+FROM e WHERE t = 'view' OR (t = 'purchase' AND NOT coalesce(value > 100, false)) GROUP BY t
+UNION ALL
+SELECT 'bad rows', 'purchase', CAST(count(*) AS BIGINT), NULL FROM e WHERE t = 'purchase' AND value > 100
+HAVING count(*) > 0
+UNION ALL
+SELECT DISTINCT 'bad files', CASE t WHEN 'error' THEN 'name' WHEN 'signup' THEN 'column_names' ELSE 'columns' END,
+       NULL::BIGINT, NULL::BIGINT FROM e WHERE t IN ('error', 'signup', 'click')
+UNION ALL SELECT 'empty files', 'columns', 1, NULL""")
 def b11_ingest_stream(spark, sf_dir):
-    """Two upload drops, two available-now runs of the file stream: each file
-    is ingested once; rows of badly named files go to quarantine."""
+    """Two upload drops and three available-now runs of the file stream, the
+    last one without new files.  Views arrive in good files, purchases in files
+    of another column order in which amounts above 100 are the text 'n/a', errors
+    under bad names, signups with a renamed column, clicks without one, and one
+    file is empty."""
     from ..streaming.ingest_stream import ingest_stream
-    e = Tables(spark, sf_dir).events
     root = A.scratch_dir(spark, "stream")
     src, good, bad, ck = f"{root}/in", f"{root}/good", f"{root}/bad", f"{root}/ck"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(src).getFileSystem(conf)
+    fs.mkdirs(at(src))
+    kind = F.coalesce("event_type", F.lit("view"))
+    e = Tables(spark, sf_dir).events
+    txt = e.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in SPEC.columns],
+                   kind.alias("_kind"), F.col("value").alias("_value"))
+
+    def drop(what, name, *cols):
+        tmp = f"{root}/stage_{what}"
+        (txt.where(F.col("_kind") == what).select(*cols).write.mode("overwrite").option("header", True).csv(tmp))
+        for i, r in enumerate(A.file_inventory(spark, tmp, "*.csv").orderBy("path").collect()):   # one a task
+            fs.rename(at(r.path), at(f"{src}/{name.format(i)}"))
+
+    def run():
+        ingest_stream(spark, src, SPEC, REGEX, good, bad, ck, glob="*.csv").awaitTermination()
+
     cols = list(SPEC.columns)
-    txt = e.select(*[F.col(c).cast("string") for c in cols])
-
-    def drop(name, part):
-        tmp = f"{root}/stage_{name}"
-        part.coalesce(1).write.mode("overwrite").option("header", True).csv(tmp)
-        files = [r.path for r in A.file_inventory(spark, tmp, "*.csv").collect()]   # one file per drop
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        srcp = jvm.org.apache.hadoop.fs.Path(files[0])
-        fs = srcp.getFileSystem(conf)
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(src))
-        fs.rename(srcp, jvm.org.apache.hadoop.fs.Path(f"{src}/{name}"))
-
-    drop("events_01012024_000000.csv", txt.where(F.col("event_type") != "error"))
-    ingest_stream(spark, src, SPEC, REGEX, good, bad, ck).awaitTermination()
-    drop("events_a_01012024_000000.csv", txt.where(F.col("event_type") == "error"))
-    ingest_stream(spark, src, SPEC, REGEX, good, bad, ck).awaitTermination()
-    g = spark.read.parquet(good).groupBy("_file").agg(F.count(F.lit(1)).alias("rows")).withColumn("part", F.lit("good"))
-    b = spark.read.parquet(bad).groupBy("_file").agg(F.sum("rows").alias("rows")).withColumn("part", F.lit("bad"))
-    return g.unionByName(b)
+    drop("view", "events_01012024_{:06d}.csv", *cols)
+    drop("error", "events_a_01012024_{:06d}.csv", *cols)
+    run()
+    drop("purchase", "events_02012024_{:06d}.csv", *[
+        F.when(F.col("_value") > 100, F.lit("n/a")).otherwise(F.col(c)).alias(c) if c == "value" else c
+        for c in reversed(cols)])
+    drop("signup", "events_03012024_{:06d}.csv", *[F.col(c).alias("amount" if c == "value" else c) for c in cols])
+    drop("click", "events_04012024_{:06d}.csv", *[c for c in cols if c != "value"])
+    fs.create(at(f"{src}/events_05012024_000000.csv")).close()
+    run()
+    run()
+    g = spark.read.schema(SPEC.struct_type().add("_file", "string")).parquet(good)
+    rows = (g.groupBy(F.coalesce("event_type", F.lit("view")).alias("what"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")).withColumn("part", F.lit("good rows")))
+    wrong = (spark.read.schema("_file string, _corrupt_record string").parquet(f"{bad}/rows")
+             .groupBy(F.lit("bad rows").alias("part"), F.lit("purchase").alias("what"))
+             .agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("ids")))
+    files = spark.read.option("basePath", f"{bad}/files").parquet(f"{bad}/files").select("reason", "length").distinct()
+    empty = F.col("length") == 0
+    listed = files.select(F.when(empty, "empty files").otherwise("bad files").alias("part"),
+                          F.col("reason").alias("what"), F.when(empty, 1).cast("long").alias("n"),
+                          F.lit(None).cast("long").alias("ids")).distinct()
+    cols = ["part", "what", "n", "ids"]
+    return rows.select(*cols).unionByName(wrong.select(*cols)).unionByName(listed)
 
 
 @query("a5_export_csv", fx_sql("SELECT o_orderkey, o_custkey, o_totalprice FROM orders", ["o_totalprice"]))
