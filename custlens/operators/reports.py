@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .clean import categorical_columns, numeric_columns
+from .gramian import gramian
 from .ranking import grouped_quantiles
 
 HIGHLIGHT_SEGMENTS = ("champion", "loyal")
@@ -242,22 +243,32 @@ def snake_profile(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
 
 
 # G22
+#: Columns up to which pairs are plain aggregates; more go through the Gramian.
+PAIR_COLUMNS = 8
+
+
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair in one aggregation, long form
-    ``(a, b, corr)``; constant columns give NULL (no ANSI division error)."""
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    aggs = [F.stddev_pop(c).alias(f"s__{c}") for c in cols]
-    pairs = list(combinations(cols, 2))
-    aggs += [F.covar_pop(a, b).alias(f"c__{i}") for i, (a, b) in enumerate(pairs)]
+    """Pearson correlation of every column pair, long form ``(a, b, corr)``;
+    constant columns give NULL (no ANSI division error).  A few columns are
+    one aggregation of pairs, many a distributed Gramian."""
+    if len(cols) > PAIR_COLUMNS:
+        corr = gramian(df, cols).corr()
+        rows = [(a, b, 1.0 if i == j and corr[i, i] == corr[i, i] else
+                 None if corr[i, j] != corr[i, j] else float(corr[i, j]))
+                for i, a in enumerate(cols) for j, b in enumerate(cols)]
+        return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
+    d = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    aggs = [F.stddev_pop(f"`{c}`").alias(f"s__{i}") for i, c in enumerate(cols)]
+    pairs = list(combinations(range(len(cols)), 2))
+    aggs += [F.covar_pop(f"`{cols[a]}`", f"`{cols[b]}`").alias(f"c__{i}") for i, (a, b) in enumerate(pairs)]
     r = d.agg(*aggs)
     rows = []
-    for c in cols:
-        s = F.col(f"s__{c}")
+    for i, c in enumerate(cols):
+        s = F.col(f"s__{i}")
         rows.append(F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"),
                              F.when(s > 0, F.lit(1.0)).alias("corr")))
     for i, (a, b) in enumerate(pairs):
         v = F.try_divide(F.col(f"c__{i}"), F.col(f"s__{a}") * F.col(f"s__{b}"))
-        rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), v.alias("corr")))
-        rows.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), v.alias("corr")))
+        rows.append(F.struct(F.lit(cols[a]).alias("a"), F.lit(cols[b]).alias("b"), v.alias("corr")))
+        rows.append(F.struct(F.lit(cols[b]).alias("a"), F.lit(cols[a]).alias("b"), v.alias("corr")))
     return r.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-

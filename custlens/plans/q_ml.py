@@ -9,6 +9,7 @@ from ..operators.ml import metrics as M
 from ..operators.ml import split as SP
 from ..operators.ml import tune as TU
 from ..operators.ml.automl import AutoML, batch_predict
+from ..operators.ml.knn import KNNClassifier, KNNRegressor
 from ..operators.ml.learners import REGISTRY
 from ..sources.tables import Tables
 from .registry import fx_df, fx_sql, query
@@ -205,6 +206,39 @@ def _learner_scores(spark, sf_dir, ml_type):
     return spark.createDataFrame(rows, "learner string, name string, score double")
 
 
+_NEAR_SQL = """
+WITH d AS (SELECT c_custkey, s_nationkey, s_acctbal, row_number() OVER (PARTITION BY c_custkey ORDER BY
+             (c_acctbal - s_acctbal) * (c_acctbal - s_acctbal)
+             + (c_nationkey - s_nationkey) * (c_nationkey - s_nationkey) * 10000.0, s_suppkey) AS i
+           FROM customer CROSS JOIN supplier),
+n AS (SELECT * FROM d WHERE i <= 5)"""
+
+
+def _near_suppliers(spark, sf_dir, learner, label):
+    """Customers scored by their five nearest suppliers in (balance, 100 x nation)."""
+    def features(df, bal, nation, *keep):
+        x = df.select(*keep, F.col(bal).alias("bal"), (F.col(nation) * 100.0).alias("nat"))
+        return VectorAssembler(inputCols=["bal", "nat"], outputCol="features").transform(x)
+    t = Tables(spark, sf_dir)
+    train = features(t.supplier, "s_acctbal", "s_nationkey", F.col(label).alias("label"))
+    model = learner(k=5).fit(train)
+    return model.transform(features(t.customer, "c_acctbal", "c_nationkey", "c_custkey")).select("c_custkey", "prediction")
+
+
+@query("l2_knn_classifier", f"""{_NEAR_SQL},
+v AS (SELECT c_custkey, s_nationkey, count(*) AS m FROM n GROUP BY 1, 2),
+w AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY m DESC, s_nationkey) AS i FROM v)
+SELECT c_custkey, CAST(s_nationkey AS DOUBLE) AS prediction FROM w WHERE i = 1""")
+def l2_knn_classifier(spark, sf_dir):
+    return _near_suppliers(spark, sf_dir, KNNClassifier, "s_nationkey")
+
+
+@query("l12_knn_regressor", fx_sql(f"""{_NEAR_SQL}
+SELECT c_custkey, avg(s_acctbal) AS prediction FROM n GROUP BY 1""", ["prediction"]))
+def l12_knn_regressor(spark, sf_dir):
+    return fx_df(_near_suppliers(spark, sf_dir, KNNRegressor, "s_acctbal"))
+
+
 @query("l_classifier_scores")
 def l_classifier_scores(spark, sf_dir):
     """Every registered classifier (L1-L7, L15-L21) fitted on the same split."""

@@ -284,3 +284,26 @@ def g22_correlation_matrix(spark, sf_dir):
 
 
 __all__ = ["fx"]
+
+
+#: Twenty-odd columns of lineitem: powers and products, one constant, some with nulls.
+_WIDE = {f"{c[2:]}_{k}": e for c in _NUM for k, e in {
+    "1": c, "sq": f"{c} * {c}", "gap": f"CASE WHEN l_linenumber > 2 THEN {c} END", "x": f"{c} * l_linenumber"}.items()}
+_WIDE["one"] = "1.5"
+_WIDE_SQL = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _WIDE.items())
+
+
+def _wide_corr_sql():
+    cells = [f"CASE WHEN stddev_pop({a}) > 0 THEN 1.0 END AS \"{a}|{b}\"" if a == b else
+             f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0) AS \"{a}|{b}\""
+             for a in _WIDE for b in _WIDE]
+    return f"""WITH m AS (SELECT {', '.join(cells)} FROM (SELECT {_WIDE_SQL} FROM lineitem) AS w)
+SELECT split_part(name, '|', 1) AS a, split_part(name, '|', 2) AS b, corr
+FROM m UNPIVOT INCLUDE NULLS (corr FOR name IN (COLUMNS(*)))"""
+
+
+@query("g22_correlation_wide", fx_sql(_wide_corr_sql(), ["corr"]))
+def g22_correlation_wide(spark, sf_dir):
+    """More columns than are taken pair by pair: the Gramian, over each pair's present rows."""
+    wide = Tables(spark, sf_dir).lineitem.selectExpr(*[f"CAST({e} AS DOUBLE) AS {n}" for n, e in _WIDE.items()])
+    return fx_df(G.correlation_matrix(wide, list(_WIDE)))
