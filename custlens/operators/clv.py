@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import hyp2f1_multi, let, lgamma
-from ..session import cut_lineage
+from ..session import stage_table
 from .optim import batch_minimize
 from .ranking import ranked_histogram
 
@@ -84,62 +84,79 @@ def gg_loglik(df: DataFrame, params: GammaGammaParams, x="uniq_freq", m="uniq_mo
     return df.agg(F.sum(gg_ll(params.p, params.q, params.v, x, m)).alias("loglik"), F.count(F.lit(1)).alias("n"))
 
 
-def _batched_objective(suff: DataFrame, ll_of, penalizer: float):
+def _batched_objective(suff: DataFrame, row_terms, fixed, penalizer: float):
     """Objective ``-mean(ll) + penalizer * sum(params^2)`` for a batch of
     log-parameter vectors in one job over the sufficient table.
 
-    The batch enters as data: a literal array of (cid, params) structs is
-    exploded next to every sufficient-statistics row (a bounded fan-out of
-    the batch size, typically 7-15), the likelihood is written once over
-    columns, and ``groupBy(cid)`` sums it with map-side partial aggregation.
-    The plan and its generated code are the same every round; only the
-    literal array (a runtime reference) changes."""
+    ``row_terms`` (Columns of one candidate's parameters) are what truly differs
+    per row; ``fixed`` (a function of the parameters) is the rest of the sum,
+    worked out from the small histogram of purchase counts.  The batch enters as
+    data: a literal array of (cid, params) structs is exploded next to every
+    sufficient-statistics row (a bounded fan-out of the batch size, typically
+    15-21), the terms are written once over columns, and ``groupBy(cid)`` sums
+    them with map-side partial aggregation.  The plan and its generated code are
+    the same every round; only the literal array (a runtime reference) changes."""
 
     built: dict = {}
+    weight = suff.agg(F.sum("n")).first()[0] or 0
 
     def f_batch(points):
         d = len(points[0])
         if d not in built:
-            # The likelihood Column is a large expression tree; build it once
-            # (it refers to the candidate only through the exploded struct).
-            ll = ll_of(*[F.col(f"__c.p{j}") for j in range(d)])
-            built[d] = (F.sum(F.col("n") * ll).alias("s"), F.sum("n").alias("w"))
-        s_col, w_col = built[d]
+            built[d] = F.sum(F.col("n") * row_terms(*[F.col(f"__c.p{j}") for j in range(d)])).alias("s")
         cands = F.array(*[F.struct(F.lit(i).alias("cid"),
                                    *[F.lit(float(math.exp(v))).alias(f"p{j}") for j, v in enumerate(lp)])
                           for i, lp in enumerate(points)])
         ex = suff.select("*", F.explode(cands).alias("__c"))
-        rows = ex.groupBy(F.col("__c.cid").alias("cid")).agg(s_col, w_col).collect()
-        got = {r["cid"]: (r["s"], r["w"]) for r in rows}
+        got = {r["cid"]: r["s"] for r in ex.groupBy(F.col("__c.cid").alias("cid")).agg(built[d]).collect()}
         out = []
         for i, lp in enumerate(points):
-            s, w = got.get(i, (None, None))
-            if s is None or not w or not math.isfinite(s):
-                out.append(float("inf"))
-                continue
             params = np.exp(lp)
-            out.append(-s / w + penalizer * float(np.sum(params ** 2)))
+            s = got.get(i)
+            s = float("inf") if s is None else s + fixed(*params)
+            out.append(-s / weight + penalizer * float(np.sum(params ** 2)) if weight and math.isfinite(s)
+                       else float("inf"))
         return out
     return f_batch
 
 
+def _count_histogram(suff: DataFrame, x: str) -> list[tuple[float, int]]:
+    """(purchase count, customers): one entry per distinct count."""
+    return [(r["x"], r["n"]) for r in suff.groupBy(F.col(x).alias("x")).agg(F.sum("n").alias("n")).collect()]
+
+
 # F2
 def fit_bgnbd(df: DataFrame, penalizer: float = 0.001, x="uniq_freq", t="uniq_rec", T="uniq_age",
               init=(0.1, 0.1, 0.1, 0.1), max_rounds: int = 40):
     """Maximum-likelihood BG/NBD fit.  Time is rescaled so that max(T) = 10
     during the fit (then alpha is scaled back), parameters are optimised on
-    the log scale.  Returns ``(BGNBDParams, OptimResult)``; ``at_bound`` of the
-    result names parameters that ended at the edge of the search box, where the
-    likelihood has no inner maximum."""
+    the log scale.  The gamma terms depend on the purchase count only and are
+    summed over its histogram; rows carry the mixture term alone.  Returns
+    ``(BGNBDParams, OptimResult)``; ``at_bound`` of the result names parameters
+    that ended at the edge of the search box, where the likelihood has no inner
+    maximum."""
     suff = (df.groupBy(F.col(x).cast("double").alias("sx"), F.col(t).cast("double").alias("st"),
                        F.col(T).cast("double").alias("sage"))
               .agg(F.count(F.lit(1)).alias("n")))
-    suff = cut_lineage(suff)
+    suff = stage_table(suff, "bgnbd")
     max_T = suff.agg(F.max("sage")).first()[0] or 1.0
     scale = 10.0 / max_T
     scaled = suff.select("sx", (F.col("st") * scale).alias("st"), (F.col("sage") * scale).alias("sage"),
                          "n").persist()
-    f_batch = _batched_objective(scaled, lambda r, al, a, b: bgnbd_ll(r, al, a, b, "sx", "st", "sage"), penalizer)
+    counts = _count_histogram(scaled, "sx")
+    lg = math.lgamma
+
+    def fixed(r, al, a, b):
+        each = lg(a + b) - lg(b) - lg(r) + r * math.log(al)
+        return sum(n * (each + lg(r + k) + lg(b + k) - lg(a + b + k)) for k, n in counts)
+
+    def mixture(r, al, a, b):
+        k, age, last = F.col("sx"), F.col("sage"), F.col("st")
+        a3 = -(r + k) * F.log(al + age)
+        a4 = F.log(a) - F.log(b + k - F.lit(1.0)) - (r + k) * F.log(al + last)
+        return F.when(k > 0, F.greatest(a3, a4) + F.log1p(F.exp(-F.abs(a4 - a3)))).otherwise(a3)
+
+    f_batch = _batched_objective(scaled, mixture, fixed, penalizer)
     res = batch_minimize(f_batch, np.log(np.asarray(init)), max_rounds=max_rounds, names=("r", "alpha", "a", "b"))
     scaled.unpersist()
     r, alpha, a, b = np.exp(res.x)
@@ -149,11 +166,26 @@ def fit_bgnbd(df: DataFrame, penalizer: float = 0.001, x="uniq_freq", t="uniq_re
 # F4
 def fit_gamma_gamma(df: DataFrame, penalizer: float = 0.001, x="uniq_freq", m="uniq_mon",
                     init=(1.0, 1.0, 1.0), max_rounds: int = 40):
+    """Maximum-likelihood Gamma-Gamma fit.  Gamma terms come from the histogram
+    of purchase counts, the powers of the amounts from two sums; rows carry
+    ``(p x + q) ln(x m + v)`` alone."""
     suff = (df.groupBy(F.col(x).cast("double").alias("x"), F.col(m).cast("double").alias("m"))
               .agg(F.count(F.lit(1)).alias("n")))
-    suff = cut_lineage(suff)
-    f_batch = _batched_objective(suff, lambda p, q, v: gg_ll(p, q, v, "x", "m"), penalizer)
+    suff = stage_table(suff, "gamma").persist()
+    counts = _count_histogram(suff, "x")
+    lnm, xlnm = suff.agg(F.sum(F.col("n") * F.log("m")), F.sum(F.col("n") * F.col("x") * F.log("m"))).first()
+    lg = math.lgamma
+
+    def fixed(p, q, v):
+        each = q * math.log(v) - lg(q)
+        return sum(n * (each + lg(p * k + q) - lg(p * k) + p * k * math.log(k)) for k, n in counts) + p * xlnm - lnm
+
+    def spend(p, q, v):
+        return -(p * F.col("x") + q) * F.log(F.col("x") * F.col("m") + v)
+
+    f_batch = _batched_objective(suff, spend, fixed, penalizer)
     res = batch_minimize(f_batch, np.log(np.asarray(init)), max_rounds=max_rounds, names=("p", "q", "v"))
+    suff.unpersist()
     p, q, v = np.exp(res.x)
     return GammaGammaParams(float(p), float(q), float(v)), res
 
@@ -258,7 +290,7 @@ def calculate_ltv(df: DataFrame, spec=None, profit_margin: float | None = 1.0, a
     from .rfm import build_rfm
     from .segment import ml_segment
     rfm = build_rfm(df, spec, as_of=as_of) if spec is not None else df
-    rfm = cut_lineage(rfm)
+    rfm = stage_table(rfm, "rfm")
     if segment:
         rfm = ml_segment(rfm, "recency", "frequency", "monetary")
     elig = clv_eligible(rfm)
@@ -273,36 +305,41 @@ def calculate_ltv(df: DataFrame, spec=None, profit_margin: float | None = 1.0, a
 
 # F11
 def time_split(df: DataFrame, date_col: str, test_size: float, tie_col: str, out: str = "split") -> DataFrame:
-    """Time-ordered hold-out: the last ``ceil(test_size * n)`` rows by
-    ``(date, tie_col)`` are ``test``.  The cut-off date comes from the ranked
-    date histogram; only rows on the cut-off date are ordered, again through
-    a ranked histogram of ``tie_col`` — no global sort or window."""
-    h = ranked_histogram(df, date_col)
-    n = h.n
-    n_test = math.ceil(test_size * n)
-    k = n - n_test  # first test position
-    if n_test <= 0:
-        h.unpersist()
-        return df.withColumn(out, F.lit("train"))
-    if k <= 0:
-        h.unpersist()
-        return df.withColumn(out, F.lit("test"))
-    row = h.df.where((F.col("below") <= k) & (F.col("below") + F.col("cnt") > k)).select("value", "below").first()
-    cut, before = row["value"], row["below"]
-    h.unpersist()
-    on_cut = df.where(F.col(date_col) == F.lit(cut))
-    h2 = ranked_histogram(on_cut, tie_col)
-    m = k - before  # rows on the cut-off day that stay in train
-    test_keys = h2.df.where(F.col("below") >= m).select(F.col("value").alias("__tie"), F.lit(True).alias("__t"))
-    h2.unpersist()
-    d = F.col(date_col)
-    # Rows off the cut-off day are labelled by a projection; only the cut-off
-    # day's rows meet the (small) key table in a join.
-    others = df.where(d.isNull() | (d != F.lit(cut))).withColumn(
-        out, F.when(d > F.lit(cut), "test").when(d < F.lit(cut), "train"))
-    on_day = (on_cut.join(test_keys, F.col(tie_col) == F.col("__tie"), "left")
-              .withColumn(out, F.when(F.col("__t"), "test").otherwise("train")).drop("__tie", "__t"))
-    return others.unionByName(on_day)
+    """Time-ordered hold-out: the last ``ceil(test_size * n)`` rows by ``(date,
+    tie_col)`` are ``test``; rows without a date get NULL.  The cut-off comes
+    from ranked histograms: of the dates, then of ``tie_col`` on the cut-off
+    date, then of a hash of the whole row among equal ties (rows that agree in
+    every column go to the same side).  Three cut values reach the driver and
+    rows are labelled by comparing with them: no global sort, window or join."""
+    dated = df.where(F.col(date_col).isNotNull())
+    n = dated.count()
+    keep = n - math.ceil(test_size * n)                     # rows that train
+    if keep >= n:
+        return df.withColumn(out, F.when(F.col(date_col).isNotNull(), "train"))
+    whole = F.xxhash64(*df.columns)
+    label = F.lit("test")
+    steps = []
+    rest, left = dated.withColumn("__row", whole), keep
+    for c in (date_col, tie_col, "__row"):
+        # a null tie comes first
+        none = rest.where(F.col(c).isNull()).count() if c == tie_col else 0
+        if left < none:
+            steps.append((c, None))
+            rest = rest.where(F.col(c).isNull())
+            continue
+        left -= none
+        h = ranked_histogram(rest, c)
+        row = h.df.where((F.col("below") <= left) & (F.col("below") + F.col("cnt") > left)).first()
+        steps.append((c, row["value"]))
+        left -= row["below"]
+        rest = rest.where(F.col(c) == F.lit(row["value"]))
+        if left == 0:                                       # the cut lies before this value
+            break
+    for c, cut in reversed(steps):
+        x = whole if c == "__row" else F.col(c)
+        label = F.when(x.isNotNull(), "test").otherwise(label) if cut is None else \
+            F.when(x.isNull() | (x < F.lit(cut)), "train").when(x > F.lit(cut), "test").otherwise(label)
+    return df.withColumn(out, F.when(F.col(date_col).isNotNull(), label))
 
 
 # F12

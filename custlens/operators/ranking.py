@@ -8,12 +8,15 @@ value.  It is computed as
 
 1. ``groupBy(value).count()`` — partial aggregation collapses hot values
    before the shuffle, so one value holding a third of all rows is one row;
-2. approximate quantile edges over the distinct values (a bounded list) cut
-   the value range into ``buckets`` ranges;
-3. per-bucket totals (one row per bucket) give each bucket's offset;
-4. a window *partitioned by bucket* gives the running count inside a bucket.
-
-No step holds more than one bucket of distinct values in a task.
+2. one statistics job over it gives the number of distinct values and
+   splitters that cut the value range into ranges of about ``RANGE_VALUES``
+   distinct values, never fewer than two;
+3. per-range totals (one number per range) give each range's offset;
+4. a window *partitioned by range* gives the running count inside a range.
+
+No step holds more than one range of distinct values in a task, and the plan
+is the same whatever the size.  The value counts are staged once as a table in
+the shared folder (the input is read a single time), nothing stays cached.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import default_parallelism
+from ..session import default_parallelism, stage_table
 
 
 def _not_missing(df: DataFrame, col: str) -> Column:
@@ -53,22 +57,22 @@ def bucket_expr(value: Column, edges: list) -> Column:
 
 @dataclass
 class RankedHistogram:
-    """``df`` has columns ``value, cnt, below, bucket``; ``n`` is the number
-    of non-null rows, ``n_distinct`` the number of distinct values,
-    ``min_cnt`` / ``max_cnt`` the multiplicities of the smallest / largest
-    value."""
+    """``df`` has columns ``value, cnt, below``; ``n`` is the number of
+    non-null rows, ``n_distinct`` the number of distinct values, ``min_cnt`` /
+    ``max_cnt`` the multiplicities of the smallest / largest value."""
 
     df: DataFrame
     n: int
     n_distinct: int
     min_cnt: int = 0
     max_cnt: int = 0
-    _base: DataFrame | None = None
+
+    def persist(self) -> "RankedHistogram":
+        self.df.persist()
+        return self
 
     def unpersist(self) -> None:
         self.df.unpersist()
-        if self._base is not None:
-            self._base.unpersist()
 
     def max_average_rank(self, ascending: bool = True) -> float:
         """Largest average rank (of the largest value, or of the smallest when
@@ -117,45 +121,115 @@ class RankedHistogram:
         return out
 
 
-# Distinct-value count up to which one window partition is cheap enough.
-SINGLE_BUCKET_MAX_DISTINCT = 200_000
+#: Distinct values a range should hold, and least number of splitters asked for.
+RANGE_VALUES, SPLITTERS = 65_536, 256
 
 
-def ranked_histogram(df: DataFrame, col: str, buckets: int | None = None,
-                     accuracy: int = 10000) -> RankedHistogram:
-    """Build the ranked histogram with one statistics job (plus one bucket
-    totals job when the distinct values exceed one partition's budget)."""
-    spark = df.sparkSession
-    buckets = buckets or max(2, default_parallelism(spark))
-    hist = (df.where(_not_missing(df, col))
-              .groupBy(F.col(col).alias("value"))
-              .agg(F.count(F.lit(1)).alias("cnt"))
-              .persist())
-    fracs = [i / buckets for i in range(1, buckets)]
+def _splitters(hist: DataFrame, accuracy: int):
+    """(statistics row, splitters): the number of ranges follows the number of
+    distinct values."""
+    most = max(SPLITTERS, default_parallelism(hist.sparkSession))
+    fracs = [i / most for i in range(1, most)]
     st = hist.agg(F.count(F.lit(1)).alias("d"), F.sum("cnt").alias("n"),
                   F.min_by("cnt", "value").alias("cmin"), F.max_by("cnt", "value").alias("cmax"),
                   F.percentile_approx("value", fracs, accuracy).alias("e")).first()
-    n_distinct, n = int(st["d"] or 0), int(st["n"] or 0)
-    edges: list = []
-    if n_distinct > SINGLE_BUCKET_MAX_DISTINCT and st["e"]:
-        edges = sorted(set(v for v in st["e"] if v is not None))
-    if edges:
-        hist_b = hist.withColumn("bucket", bucket_expr(F.col("value"), edges))
-        totals = hist_b.groupBy("bucket").agg(F.sum("cnt").alias("t")).collect()
-        totals.sort(key=lambda r: r["bucket"])
-        offsets, run = [], 0
-        for r in totals:
-            offsets += [F.lit(r["bucket"]), F.lit(run)]
-            run += r["t"]
-        offset_col = F.element_at(F.create_map(*offsets), F.col("bucket"))
-    else:
-        hist_b = hist.withColumn("bucket", F.lit(0))
-        offset_col = F.lit(0)
-    w = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (hist_b
-              .withColumn("below", (offset_col + F.coalesce(F.sum("cnt").over(w), F.lit(0))).cast("long"))
-              .persist())
-    return RankedHistogram(ranked, n, n_distinct, int(st["cmin"] or 0), int(st["cmax"] or 0), hist)
+    ranges = min(most, max(2, -(-int(st["d"] or 0) // RANGE_VALUES)))
+    found = st["e"] or []
+    picked = [found[-(-i * len(found) // ranges) - 1] for i in range(1, ranges)] if found else []
+    return st, sorted(set(v for v in picked if v is not None))
+
+
+def _running(hist: DataFrame, edges: list) -> DataFrame:
+    """``value, cnt, below`` over all rows: the running count inside a range
+    plus the range's offset, an array of one number per range."""
+    ranged = hist.withColumn("range", bucket_expr(F.col("value"), edges))
+    totals = ranged.groupBy("range").agg(F.sum("cnt").alias("t"))
+    listed = totals.agg(F.collect_list(F.struct("range", "t")).alias("all"))
+    offsets = listed.select(F.transform(
+        F.sequence(F.lit(0), F.lit(len(edges))),
+        lambda b: F.aggregate(F.filter("all", lambda x: x["range"] < b), F.lit(0).cast("long"),
+                              lambda s, x: s + x["t"]))).scalar()
+    w = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("cnt").over(w), F.lit(0))
+    return ranged.withColumn("below", (inside + F.element_at(offsets, F.col("range") + 1)).cast("long")).drop("range")
+
+
+def ranked_histogram(df: DataFrame, col: str, accuracy: int = 10000) -> RankedHistogram:
+    """Ranked histogram of one column; one statistics job."""
+    hist = (df.where(_not_missing(df, col)).groupBy(F.col(col).alias("value"))
+            .agg(F.count(F.lit(1)).alias("cnt")))
+    hist = stage_table(hist, "values")
+    st, edges = _splitters(hist, accuracy)
+    return RankedHistogram(_running(hist, edges), int(st["n"] or 0), int(st["d"] or 0), int(st["cmin"] or 0),
+                           int(st["cmax"] or 0))
+
+
+class ValueLookup:
+    """Exact lookups in a value histogram for loops on the driver: values at a
+    position, rows up to a value.  The driver keeps the splitters with their
+    exact row counts and the few ranges that were asked for last; ranges that
+    are missing come in one job, and a loop whose lookups stay in ranges it has
+    seen needs none."""
+
+    #: Values of a range, most splitters, and most ranges kept.
+    RANGE, MOST, KEPT = 4096, 4096, 64
+
+    def __init__(self, df: DataFrame, col: str):
+        self.hist = stage_table(
+            df.where(_not_missing(df, col)).groupBy(F.col(col).cast("double").alias("value"))
+            .agg(F.count(F.lit(1)).alias("cnt")), "values")
+        fracs = [i / self.MOST for i in range(1, self.MOST)]
+        st = self.hist.agg(F.count(F.lit(1)).alias("d"), F.percentile_approx("value", fracs, 20_000).alias("e")).first()
+        ranges = min(self.MOST, max(1, -(-int(st["d"]) // self.RANGE)))
+        found = st["e"] or []
+        self.edges = sorted(set(found[-(-i * len(found) // ranges) - 1] for i in range(1, ranges)))
+        got = (self.hist.groupBy(bucket_expr(F.col("value"), self.edges).alias("r")).agg(F.sum("cnt").alias("t"))
+               .collect())                                                            # one row a range
+        totals = dict((r["r"], r["t"]) for r in got)
+        self.start = [0]
+        for r in range(len(self.edges) + 1):
+            self.start.append(self.start[-1] + totals.get(r, 0))
+        self.n = self.start[-1]
+        self.ranges: dict[int, tuple] = {}
+
+    def _load(self, wanted) -> None:
+        missing = sorted(set(wanted) - set(self.ranges))
+        if missing:
+            v = F.col("value")
+            parts = []
+            for r in missing:
+                here = [v > F.lit(self.edges[r - 1])] if r else []
+                here += [v <= F.lit(self.edges[r])] if r < len(self.edges) else []
+                parts.append(reduce(lambda a, b: a & b, here, F.lit(True)))
+            rows = self.hist.where(reduce(lambda a, b: a | b, parts)).toArrow()
+            value, cnt = (rows.column(c).to_numpy() for c in ("value", "cnt"))
+            order = np.argsort(value)
+            value, cnt = value[order], cnt[order]
+            at = np.searchsorted(self.edges, value, "left")
+            for r in missing:
+                mine = at == r
+                self.ranges[r] = (value[mine], self.start[r] + np.cumsum(cnt[mine]))
+        for r in set(wanted):                                      # the last used are kept
+            self.ranges[r] = self.ranges.pop(r)
+        while len(self.ranges) > max(self.KEPT, len(set(wanted))):
+            self.ranges.pop(next(iter(self.ranges)))
+
+    def rows_up_to(self, values: list[float]) -> list[int]:
+        """Rows with a value of at most each of ``values``."""
+        at = [bisect.bisect_left(self.edges, v) for v in values]
+        self._load(at)
+        out = []
+        for r, v in zip(at, values):
+            value, end = self.ranges[r]
+            i = int(np.searchsorted(value, v, "right"))
+            out.append(int(end[i - 1]) if i else self.start[r])
+        return out
+
+    def values_at(self, positions: list[int]) -> list[float]:
+        """Value at each 0-based sorted position."""
+        at = [bisect.bisect_right(self.start, p) - 1 for p in positions]
+        self._load(at)
+        return [float(self.ranges[r][0][np.searchsorted(self.ranges[r][1], p, "right")]) for r, p in zip(at, positions)]
 
 
 def average_rank_table(h: RankedHistogram, ascending: bool = True) -> DataFrame:
@@ -167,53 +241,34 @@ def average_rank_table(h: RankedHistogram, ascending: bool = True) -> DataFrame:
     return h.df.select("value", r.alias("rank"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], method: str = "linear") -> list:
-    h = ranked_histogram(df, col)
-    try:
-        return h.quantiles(probs, method)
-    finally:
-        h.unpersist()
-
-
-def grouped_ranked(df: DataFrame, groups: list[str], col: str, buckets: int | None = None,
-                   accuracy: int = 10000) -> DataFrame:
+def grouped_ranked(df: DataFrame, groups: list[str], col: str, accuracy: int = 10000) -> DataFrame:
     """Ranked histogram per group: ``groups..., value, cnt, below, n`` where
     ``below`` counts the group's rows with a smaller value and ``n`` is the
-    group's non-null row count.  Windows are partitioned by
-    ``(groups, bucket)``, and bucket offsets come from a window over at most
-    ``buckets`` rows per group, so neither a hot group nor a hot value lands
-    whole in one task."""
-    spark = df.sparkSession
-    buckets = buckets or max(2, default_parallelism(spark))
-    gcols = [F.col(g) for g in groups]
-    hist = (df.where(_not_missing(df, col))
-              .groupBy(*gcols, F.col(col).alias("value"))
-              .agg(F.count(F.lit(1)).alias("cnt")))
-    fracs = [i / buckets for i in range(1, buckets)]
-    st = hist.agg(F.count(F.lit(1)).alias("d"), F.sum("cnt").alias("n"),
-                  F.percentile_approx("value", fracs, accuracy).alias("e")).first()
-    edges = []
-    if int(st["d"] or 0) > SINGLE_BUCKET_MAX_DISTINCT and st["e"]:
-        edges = sorted(set(v for v in st["e"] if v is not None))
-    if not groups and not edges:
-        # one bounded partition of at most SINGLE_BUCKET_MAX_DISTINCT distinct
-        # values; n is already known, so no offsets table is needed
-        w1 = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-        return hist.select("value", "cnt", F.coalesce(F.sum("cnt").over(w1), F.lit(0)).cast("long").alias("below"),
-                           F.lit(int(st["n"] or 0)).cast("long").alias("n"))
-    hist_b = hist.withColumn("bucket", bucket_expr(F.col("value"), edges) if edges else F.lit(0))
-    key = groups + ["bucket"]
-    totals = hist_b.groupBy(*key).agg(F.sum("cnt").alias("__t"))
-    wg = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    totals = (totals
+    group's non-null row count.  Windows are partitioned by ``(groups, range)``,
+    and offsets come from a window over one row per group and range, so neither
+    a hot group nor a hot value lands whole in one task."""
+    hist = (df.where(_not_missing(df, col)).groupBy(*[F.col(g) for g in groups], F.col(col).alias("value"))
+            .agg(F.count(F.lit(1)).alias("cnt")))
+    hist = stage_table(hist, "values")
+    st, edges = _splitters(hist, accuracy)
+    if not groups:
+        return _running(hist, edges).withColumn("n", F.lit(int(st["n"] or 0)).cast("long"))
+    key = groups + ["range"]
+    ranged = hist.withColumn("range", bucket_expr(F.col("value"), edges))
+    wg = Window.partitionBy(*groups)
+    totals = (ranged.groupBy(*key).agg(F.sum("cnt").alias("__t"))
               .withColumn("__off", F.coalesce(F.sum("__t").over(
-                  wg.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                  wg.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
               .withColumn("n", F.sum("__t").over(wg.rowsBetween(Window.unboundedPreceding,
                                                                  Window.unboundedFollowing)))
               .drop("__t"))
+    # null-safe: a null group is a group
+    names = {k: f"__{k}" for k in key}
+    totals = totals.select(*[F.col(k).alias(names[k]) for k in key], "__off", "n")
     w = Window.partitionBy(*key).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = hist_b.withColumn("__in", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-    return (ranked.join(totals, key)
+    ranked = ranged.withColumn("__in", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(names[k])) for k in key])
+    return (ranked.join(totals, same)
             .select(*groups, "value", "cnt",
                     (F.col("__off") + F.col("__in")).cast("long").alias("below"),
                     F.col("n").cast("long").alias("n")))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import regex_label, score_label, segment_from_code
+from ..session import stage_table
 from .clean import round_numeric
-from .ranking import average_rank_table, bucket_expr, ranked_histogram
+from .ranking import (ValueLookup, average_rank_table, bucket_expr, grouped_quantiles, grouped_ranked,
+                      ranked_histogram)
 
 
 # E1
@@ -33,15 +37,29 @@ def rfm_score(df: DataFrame, r: str = "recency", f: str = "frequency", m: str =
     (recency ranked descending, others ascending; ``rank/max(rank)*100``),
     float columns rounded to 2 decimals, then labelled.  ``compat=True``
     normalises the monetary term with the frequency rank, as the original
-    segment report did."""
-    df = df.persist()
-    out, rmax = average_rank(df, r, ascending=False, out="R_rank", return_max=True)
-    out, fmax = average_rank(out, f, ascending=True, out="F_rank", return_max=True)
-    out, mmax = average_rank(out, m, ascending=True, out="M_rank", return_max=True)
-    rn = F.col("R_rank") / F.lit(rmax) * 100
-    fn = F.col("F_rank") / F.lit(fmax) * 100
-    mn = (F.col("F_rank") if compat else F.col("M_rank")) / F.lit(mmax) * 100
-    score = (F.lit(weights[0]) * rn + F.lit(weights[1]) * fn + F.lit(weights[2]) * mn) * F.lit(scale)
+    segment report did.
+
+    The three columns are ranked together, as groups of one histogram; the
+    table is staged, so what made it runs once."""
+    df = stage_table(df, "scored")
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in (r, f, m)]).unpivot([], [r, f, m], "column", "v")
+    ranks = grouped_ranked(long, ["column"], "v")
+    down = F.col("column") == r
+    rank = F.when(down, F.col("n") - F.col("below") - (F.col("cnt") - 1) / 2.0) \
+        .otherwise(F.col("below") + (F.col("cnt") + 1) / 2.0)
+    # the largest rank is that of the largest value, of the smallest where ranked descending
+    ends = ranks.groupBy("column").agg(
+        F.max("n").alias("n"), F.min_by("cnt", "value").alias("lo"), F.max_by("cnt", "value").alias("hi"))
+    top = ends.select(F.map_from_entries(F.collect_list(F.struct(
+        "column", (F.col("n") - (F.when(down, F.col("lo")).otherwise(F.col("hi")) - 1) / 2.0).alias("top"))))).scalar()
+    out = df
+    for c, name in ((r, "R_rank"), (f, "F_rank"), (m, "M_rank")):
+        mine = ranks.where(F.col("column") == c).select(F.col("value").alias("__v"), rank.alias(name))
+        out = out.join(mine, F.col(c).cast("double") == F.col("__v"), "left").drop("__v")
+    share = lambda name, c: F.col(name) / F.element_at(top, F.lit(c)) * 100
+    mn = share("F_rank" if compat else "M_rank", m)
+    score = (F.lit(weights[0]) * share("R_rank", r) + F.lit(weights[1]) * share("F_rank", f)
+             + F.lit(weights[2]) * mn) * F.lit(scale)
     out = out.withColumn("RFM_Score", score)
     out = round_numeric(out, 2)
     out = out.withColumn("score_label", score_label("RFM_Score"))
@@ -50,12 +68,8 @@ def rfm_score(df: DataFrame, r: str = "recency", f: str = "frequency", m: str =
 
 # E5
 def qcut_edges(df: DataFrame, col: str, q: int = 5, duplicates: str = "raise") -> list[float]:
-    h = ranked_histogram(df, col)
-    try:
-        edges = h.quantiles([i / q for i in range(q + 1)])
-    finally:
-        h.unpersist()
-    edges = [float(e) for e in edges]
+    row = grouped_quantiles(df, [], col, [i / q for i in range(q + 1)], [f"e{i}" for i in range(q + 1)]).first()
+    edges = [float(e) for e in row]
     uniq = sorted(set(edges))
     if len(uniq) < len(edges):
         if duplicates == "raise":
@@ -87,48 +101,53 @@ __all__ = ["regex_label", "segment_from_code", "score_label"]
 
 
 # E8
-def kmedoids_1d(df: DataFrame, col: str, k: int = 5, max_iter: int = 50,
-                out: str | None = None):
+@dataclass
+class Medoids:
+    """Medoids in order, rounds used, and whether they settled."""
+
+    values: list[float]
+    rounds: int
+    converged: bool
+
+
+def _next_medoids(lookup: ValueLookup, medoids: list[float]) -> list[float]:
+    """New medoids of one round: clusters are value ranges, so a prefix sum at
+    each bound gives their first positions and sizes, and a cluster's lower
+    weighted median is the value at a position."""
+    bounds = [(a + b) / 2.0 for a, b in zip(medoids, medoids[1:])]
+    marks = [0, *lookup.rows_up_to(bounds), lookup.n]
+    return sorted(set(lookup.values_at([a + (b - a - 1) // 2 for a, b in zip(marks, marks[1:]) if b > a])))
+
+
+def kmedoids_1d(df: DataFrame, col: str, k: int = 5, max_iter: int = 1000, out: str | None = None,
+                with_info: bool = False):
     """1-D k-medoids (alternating): assign each value to the nearest medoid
     (ties to the lower), then move each medoid to its cluster's lower weighted
     median — in one dimension the member minimising the summed distance.
 
-    Works on the ranked value histogram: clusters are contiguous value ranges,
-    so a cluster's median position is ``start + (size-1)//2`` in the global
-    order and one bounded lookup fetches all k medians.  Each iteration is one
-    ``groupBy(cluster)`` of the histogram plus one filtered lookup; only k
-    numbers reach the driver.  Initialisation is deterministic (medoids at the
-    ``(i+.5)/k`` order statistics).  Returns ``(df_with_labels, medoids)``.
-    """
+    Works on the value histogram: a round is k - 1 prefix sums and k order
+    statistics, exact lookups that take a job only where they leave the ranges
+    of values seen before.  It runs until the medoids stay, at most ``max_iter``
+    rounds.  Initialisation is deterministic (medoids at the ``(i+.5)/k`` order
+    statistics).  Returns ``(df_with_labels, medoids)``, with ``with_info`` the
+    medoids as a ``Medoids`` that says whether they settled."""
     out = out or f"{col}_cluster"
-    h = ranked_histogram(df, col)
-    try:
-        if h.n == 0:
-            return df.withColumn(out, F.lit(None).cast("int")), []
-        pos = [int((h.n - 1) * (i + 0.5) / k) for i in range(k)]
-        vals = h.values_at(pos)
-        medoids = sorted(set(float(vals[p]) for p in pos))
-        for _ in range(max_iter):
-            bounds = [(a + b) / 2.0 for a, b in zip(medoids, medoids[1:])]
-            cl = bucket_expr(F.col("value"), bounds) if bounds else F.lit(0)
-            hc = h.df.withColumn("c", cl)
-            # one job: cluster sizes and starts (k rows, broadcast back by AQE),
-            # then the histogram row holding each cluster's lower median
-            stats = hc.groupBy("c").agg(
-                (F.min("below") + F.floor((F.sum("cnt") - 1) / 2)).cast("long").alias("t"))
-            got = (hc.join(stats, "c")
-                   .where((F.col("below") <= F.col("t")) & (F.col("below") + F.col("cnt") > F.col("t")))
-                   .select("value").collect())
-            new = sorted(set(float(r["value"]) for r in got))
-            if new == medoids:
-                break
-            medoids = new
-    finally:
-        h.unpersist()
+    lookup = ValueLookup(df, col)
+    info = Medoids([], 0, True)
+    if lookup.n == 0:
+        return df.withColumn(out, F.lit(None).cast("int")), info if with_info else []
+    medoids = sorted(set(lookup.values_at([int((lookup.n - 1) * (i + 0.5) / k) for i in range(k)])))
+    info.converged = False
+    for info.rounds in range(1, max_iter + 1):
+        new = _next_medoids(lookup, medoids)
+        info.converged, medoids = new == medoids, new
+        if info.converged:
+            break
+    info.values = medoids
     bounds = [(a + b) / 2.0 for a, b in zip(medoids, medoids[1:])]
     c = F.col(col)
     lab = bucket_expr(c, bounds) if bounds else F.lit(0)
-    return df.withColumn(out, F.when(c.isNotNull(), lab.cast("int"))), medoids
+    return df.withColumn(out, F.when(c.isNotNull(), lab.cast("int"))), info if with_info else medoids
 
 
 # E9
@@ -149,18 +168,18 @@ def order_clusters(df: DataFrame, cluster: str, target: str, ascending: bool = T
 
 # E10
 def ml_segment(df: DataFrame, r: str = "recency", f: str = "frequency", m: str = "monetary",
-               k: int = 5, max_iter: int = 50, out: str = "ml_label", keep_code: bool = False) -> DataFrame:
+               k: int = 5, max_iter: int = 1000, out: str = "ml_label", keep_code: bool = False) -> DataFrame:
     """Cluster recency, frequency and monetary separately (1-D k-medoids, the
     three fits run as concurrent Spark jobs), order the clusters by mean
     (recency descending: 0 = stalest), join the three digits and map the
     first two to a segment name.  1-D clusters are contiguous value ranges,
     so ordering by mean is ordering by medoid: no extra pass is needed."""
     from concurrent.futures import ThreadPoolExecutor
-    base = df.persist()
+    df = stage_table(df, "segmented")
     specs = ((r, False, "r"), (f, True, "f"), (m, True, "m"))
     with ThreadPoolExecutor(max_workers=3) as ex:
-        fits = list(ex.map(lambda sp: kmedoids_1d(base, sp[0], k=k, max_iter=max_iter)[1], specs))
-    x = base
+        fits = list(ex.map(lambda sp: kmedoids_1d(df, sp[0], k=k, max_iter=max_iter)[1], specs))
+    x = df
     for (col, asc, tag), medoids in zip(specs, fits):
         bounds = [(a + b) / 2.0 for a, b in zip(medoids, medoids[1:])]
         idx = bucket_expr(F.col(col), bounds) if bounds else F.lit(0)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_ppf, chi2_sf, norm_cdf, norm_ppf, t_sf_two_sided
-from .ranking import average_rank_table, grouped_quantiles, ranked_histogram
+from .ranking import grouped_quantiles, grouped_ranked, ranked_histogram
 
 
 # H1
@@ -61,11 +61,15 @@ def chi2_independence(df: DataFrame, a: str, b: str, prob: float = 0.95, correct
 
 # H2
 def rank_columns(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Average ranks ``<col>_rank`` of several numeric columns, ranked together
+    as groups of one histogram."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "v")
+    ranks = grouped_ranked(long, ["column"], "v").select(
+        "column", F.col("value").alias("__v"), (F.col("below") + (F.col("cnt") + 1) / 2.0).alias("__rank"))
     out = df
     for c in cols:
-        h = ranked_histogram(df, c)
-        t = average_rank_table(h, True).withColumnRenamed("value", f"__v_{c}").withColumnRenamed("rank", f"{c}_rank")
-        out = out.join(t, F.col(c) == F.col(f"__v_{c}"), "left").drop(f"__v_{c}")
+        mine = ranks.where(F.col("column") == c).select("__v", F.col("__rank").alias(f"{c}_rank"))
+        out = out.join(mine, F.col(c).cast("double") == F.col("__v"), "left").drop("__v")
     return out
 
 

@@ -37,9 +37,9 @@ def test_average_rank_golden(spark):
 
 
 def test_average_rank_many_buckets(spark, monkeypatch):
-    """Force the bucketed path (several window partitions) and compare."""
+    """Many small ranges (window partitions)."""
     from custlens.operators import ranking
-    monkeypatch.setattr(ranking, "SINGLE_BUCKET_MAX_DISTINCT", 10)
+    monkeypatch.setattr(ranking, "RANGE_VALUES", 10)
     vals = [(i, float((i * 37) % 101)) for i in range(500)]
     df = spark.createDataFrame(vals, "i int, v double")
     got = {r["i"]: r["r"] for r in S.average_rank(df, "v", True, "r").collect()}

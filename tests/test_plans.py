@@ -24,12 +24,31 @@ def test_no_cartesian_or_nested_loop(spark, name):
     assert "BroadcastNestedLoopJoin" not in p
 
 
-@pytest.mark.parametrize("name", ["e1_average_rank", "j1_stratified_split", "j4_fold_column"])
+RANKED = ["e1_average_rank", "e3_rfm_score", "e5_qcut", "g4_clv_summary_stats", "g10_describe_numeric",
+          "g19_box_stats_by_group", "h2_spearman_rho", "j1_stratified_split", "j4_fold_column", "i4_zscore"]
+
+
+def unpartitioned(plan):
+    """Window specifications whose first expression is an ordering."""
+    return [w for w in re.findall(r"windowspecdefinition\(([^,)]*)", plan) if re.search(r" (ASC|DESC)\b", w)
+            or w.startswith("specifiedwindowframe")]
+
+
+@pytest.mark.parametrize("name", RANKED)
 def test_windows_are_partitioned(spark, name):
-    p = E.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
-    for line in p.splitlines():
-        if "Window [" in line:
-            assert re.search(r"windowspecdefinition\(\w", line), line   # has a PARTITION BY
+    assert not unpartitioned(E.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_the_window_guard_can_fail(spark):
+    w = spark.range(5).selectExpr("sum(id) OVER (ORDER BY id) AS s", "sum(id) OVER (PARTITION BY id ORDER BY id) AS t")
+    assert len(unpartitioned(w._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def test_ranking_reads_its_input_once(spark):
+    """The input is read when the value counts are staged; the plan left reads
+    it once more for the moments only."""
+    df = E.queries()["g10_describe_numeric"](spark, SMALL)
+    assert _plan(df).split("== Initial Plan ==")[0].count("lineitem.parquet") == 1
 
 
 def test_pushdown_and_pruning(spark):
