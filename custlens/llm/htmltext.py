@@ -4,17 +4,20 @@ A page becomes the sequence of its leaf blocks: runs of text between block
 tags or line breaks, each with its tag path.  A bidirectional LSTM in numpy
 reads per block a vector of hashed path tokens, hashed words and a few
 measures, and labels every block with the whole page as context; the article's
-blocks are joined.
+blocks are joined.  Formulas, drawings and other embedded text stay part of
+their block; scripts, styles, templates, frames and text fields do not.
 
 The model is fitted on a sample of ``FIT_PAGES`` distinct pages of any length,
 drawn by hash; of a page of more than ``FIT_BLOCKS`` blocks, on windows spread
 from its first block to its last.  Blocks are labelled by the containers that
 authors mark (article and main against navigation, headers, forms and the
-like); variants of the pages, with menus, notices, comments and other
-containers around the same texts (up to ``FIT_CHARS`` of each), teach containers
-that a site at hand may lack.  Built-in pages are always among the sample, and
-training takes ``FIT_STEPS`` steps at least, so that small tables get a fitted
-model too.
+like).  On a page that marks no article, blocks outside the other containers
+are unlabelled: they are context and do not enter the loss.  Variants of the
+pages, with menus, notices, comments and other containers around the same texts
+(up to ``FIT_CHARS`` of each), teach containers that a site at hand may lack,
+articles in containers of any name among them.  Built-in pages are always among
+the sample, and training takes ``FIT_STEPS`` steps at least, so that small tables
+get a fitted model too.
 
 Defined cases: null or empty html, and pages without an article, give an empty
 text; broken, unclosed and cut-off markup is read as far as it goes; long
@@ -47,7 +50,7 @@ BLOCK_TAGS = frozenset(
 REPEATING = frozenset("li dd dt td tr option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
-RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas"
+RAW = "script|style|template|textarea|iframe"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'"<>])*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*>?""",
@@ -207,12 +210,13 @@ class BlockLabeller:
         hf, hb = self._pass(x, mask, "f", False)[0], self._pass(x, mask, "b", False)[0]
         return _sigmoid(np.concatenate([hf, hb], axis=2) @ self.p["o"] + self.p["q"])[..., 0]
 
-    def gradients(self, x, mask, y):
+    def gradients(self, x, mask, y, care):
+        """``care``: weight of every block in the loss."""
         n = self.h
         hf, tf = self._pass(x, mask, "f", True)
         hb, tb = self._pass(x, mask, "b", True)
         hh = np.concatenate([hf, hb], axis=2)
-        err = ((_sigmoid(hh @ self.p["o"] + self.p["q"])[..., 0] - y) * mask / mask.sum())[..., None]
+        err = ((_sigmoid(hh @ self.p["o"] + self.p["q"])[..., 0] - y) * care / max(1.0, care.sum()))[..., None]
         grad = {"o": np.einsum("bth,bto->ho", hh, err), "q": err.sum((0, 1))}
         up = err @ self.p["o"].T
         for d, tape, part in (("f", tf, up[..., :n]), ("b", tb, up[..., n:])):
@@ -232,23 +236,23 @@ class BlockLabeller:
         return grad
 
     def fit(self, pages, rounds: int = 8, batch: int = 24, rate: float = 0.02, seed: int = 9, steps: int = FIT_STEPS):
-        """Adam on (vectors, labels) per page: ``rounds`` over all, and ``steps`` at least."""
+        """Adam on (vectors, labels, weights) per page: ``rounds`` over all, and ``steps`` at least."""
         if not pages:
             raise ValueError("no pages to fit the block labeller on")
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         step = 0
-        order = np.argsort([len(x) for x, _ in pages], kind="stable")
+        order = np.argsort([len(x) for x, _, _ in pages], kind="stable")
         groups = [order[k:k + batch] for k in range(0, len(order), batch)]
         for _ in range(max(rounds, -(-steps // len(groups)))):
             for g in rng.permutation(len(groups)):
                 x, mask = padded([pages[k][0] for k in groups[g]])
-                y = np.zeros(mask.shape, np.float32)
+                y, care = np.zeros(mask.shape, np.float32), np.zeros(mask.shape, np.float32)
                 for r, k in enumerate(groups[g]):
-                    y[r, :len(pages[k][1])] = pages[k][1]
+                    y[r, :len(pages[k][1])], care[r, :len(pages[k][2])] = pages[k][1:]
                 step += 1
-                for k, d in self.gradients(x, mask, y).items():
+                for k, d in self.gradients(x, mask, y, care).items():
                     m[k] = 0.9 * m[k] + 0.1 * d
                     v[k] = 0.99 * v[k] + 0.01 * d * d
                     self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9 ** step)) / (
@@ -266,11 +270,29 @@ def padded(xs):
     return x, mask
 
 
+#: Class that marks the article of a variant; the model never sees it.
+MARK = ".@article"
+
+
+def _marked(path: tuple[str, ...]) -> tuple[bool, bool]:
+    """(inside a marked article, inside any other container)."""
+    bare = [re.split(r"-", t.lstrip(".")) + [t.lstrip(".")] for t in path]
+    return (MARK in path or any(MAIN & set(ws) for ws in bare)), any(OTHER & set(ws) for ws in bare)
+
+
 def teacher(path: tuple[str, ...]) -> int:
     """Label by marked containers: inside an article, and in nothing else within it."""
-    bare = [re.split(r"-", t.lstrip(".")) + [t.lstrip(".")] for t in path]
-    main = [k for k, ws in enumerate(bare) if MAIN & set(ws)]
-    return int(bool(main) and not any(OTHER & set(ws) for ws in bare))
+    main, other = _marked(path)
+    return int(main and not other)
+
+
+def lesson(paths: list[tuple[str, ...]], whole: list[tuple[str, ...]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, weights) of blocks.  Where the page (``whole``) marks no article,
+    blocks outside all known containers weigh nothing."""
+    marks = [_marked(p) for p in paths]
+    has = any(main and not other for main, other in (marks if whole is None else map(_marked, whole)))
+    return (np.array([main and not other for main, other in marks], np.float32),
+            np.array([has or other for _, other in marks], np.float32))
 
 
 #: Containers that variants of sample pages put other texts into.
@@ -283,6 +305,10 @@ INSIDE = ("<section class=\"comments\"><div class=\"comment\"><p>{}</p></div></s
           "<div class=\"notice\"><p>{}</p></div>", "<form><p>{}</p></form>", "<nav><ul><li>{}</li></ul></nav>")
 SHELLS = ("<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>",
           "<div class=\"post-body\">{}</div>", "<article><section>{}</section></article>")
+#: Containers without a name that tells, for an article or for anything; ``@`` becomes made-up names.
+PLAIN = ("<div id=\"@\" class=\"@article\">{}</div>", "<div class=\"@ @article\"><div class=\"@\">{}</div></div>",
+         "<section class=\"@ @article\">{}</section>", "<table><tr><td class=\"@article\">{}</td></tr></table>",
+         "<div id=\"content\" class=\"@article\">{}</div>", "<div class=\"@article\">{}</div>")
 
 
 def variants(pages: list[str], rng) -> list[str]:
@@ -293,10 +319,12 @@ def variants(pages: list[str], rng) -> list[str]:
 def _variants(pages: list[list[tuple]], rng) -> list[str]:
     """``variants`` of pages given as (path, raw text) per block."""
     pool = [raw for p in pages for _, raw in p if len(raw) > 40] or ["Some text of a page."]
+    pick = lambda some: some[rng.integers(len(some))]
+    name = lambda: "".join(rng.choice(list("abcdefghiklmnoprstuvw"), rng.integers(3, 9)))
     out = []
     for p in pages:
-        body = [raw for path, raw in p if teacher(path)][:20] or pool[:3]
-        pick = lambda some: some[rng.integers(len(some))]
+        # a page that marks no article lends texts of any page
+        body = [raw for path, raw in p if teacher(path)][:20] or [pick(pool) for _ in range(rng.integers(2, 12))]
         own = []
         for raw in body:
             own.append(f"<p>{raw}</p>" if rng.random() < 0.8 else pick(("<h2>{}</h2>", "<ul><li>{}</li></ul>",
@@ -307,7 +335,14 @@ def _variants(pages: list[list[tuple]], rng) -> list[str]:
             own.append(pick(INSIDE).replace("{}", pick(pool)))
         before = [pick(AROUND).replace("{}", pick(pool)) for _ in range(rng.integers(0, 3))]
         after = [pick(AROUND).replace("{}", pick(pool)) for _ in range(rng.integers(0, 3))]
-        out.append("<html><body>" + "".join(before) + pick(SHELLS).replace("{}", "".join(own)) + "".join(after))
+        if rng.random() < 0.5:
+            shell = re.sub(r"@(?!article)", lambda _: name(), pick(PLAIN))
+            items = lambda: "".join(f"<li><a href=\"/{name()}\">{name()}</a></li>" for _ in range(rng.integers(2, 7)))
+            before = before or [f"<nav><ul>{items()}</ul></nav>"]
+            after = after or [f"<footer><p>{name()} {name()}</p></footer>"]
+        else:
+            shell = pick(SHELLS)
+        out.append("<html><body>" + "".join(before) + shell.replace("{}", "".join(own)) + "".join(after))
     return out
 
 
@@ -355,16 +390,18 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_p
         _samples, "mix long, first int, x binary, paths array<array<string>>, texts array<string>").collect()
         if drawn else [])
     rng = np.random.default_rng(9)
-    data, texts = [], {}
+    data, texts, read = [], {}, []
     for r in sorted(got, key=lambda r: (r["mix"], r["first"])):
         paths = [tuple(p) for p in r["paths"]]
-        data.append((np.frombuffer(r["x"], np.float32).reshape(len(paths), -1),
-                     np.array([teacher(p) for p in paths], np.float32)))
+        read.append((r["mix"], np.frombuffer(r["x"], np.float32).reshape(len(paths), -1), paths))
         texts.setdefault(r["mix"], []).extend(zip(paths, r["texts"]))
+    for mix, x, paths in read:
+        data.append((x, *lesson(paths, [path for path, _ in texts[mix]])))
     known = memory()
     for p in _variants(list(texts.values()), rng) + _variants(built_in(rng), rng):
         some = blocks(p)
-        data.append((vectors(some, known), np.array([teacher(path) for path, _, _ in some], np.float32)))
+        data.append((vectors([(tuple(t for t in path if t != MARK), *rest) for path, *rest in some], known),
+                     *lesson([path for path, _, _ in some])))
     return BlockLabeller(input_size()).fit(data, rounds)
 
 
