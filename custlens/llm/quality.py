@@ -83,13 +83,17 @@ BASE_RULES = (
     Rule("few_words", lambda t: F.size(words(t)) < 10),
     Rule("repeated_windows", lambda t: bind(words(t), lambda w: 100 * repeated_words(w) > 20 * F.size(w))),
 )
+#: Scripts written without spaces, where a word of white space is no word: not measured by length.
+UNSPACED = (r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+            r"\u3000-\u303F\uFF00-\uFFEF]")
 #: Further rules; limits leave prose of every length and language alone.
 MORE_RULES = (
     Rule("symbols", lambda t: 100 * symbol_count(t) > 5 * word_chars(t)),
     Rule("duplicate_lines", lambda t: bind(lines(t), lambda x:
          2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x))),
     Rule("word_length", lambda t: bind(F.size(words(t)), lambda n:
-         (n > 0) & ((word_chars(t) > 20 * n) | (2 * word_chars(t) < 3 * n)))),
+         (n > 0) & (((word_chars(t) > 20 * n) & (word_chars(F.regexp_replace(t, UNSPACED, "")) > 20 * n))
+                    | (2 * word_chars(t) < 3 * n)))),
     Rule("stutter", lambda t: bind(words(t), lambda w: 10 * F.size(F.filter(
         w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False)))) > 3 * F.size(w))),
 )
