@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bind, drop_table, write_table
+from .shared import bind, drawn, drop_table, write_table
 
 #: Kinds of the fixed patterns, in order: pattern and whether a match counts.
 PATTERNS = (
@@ -79,9 +79,8 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", fit_doc
     """Log-likelihood ratios per pair of characters (row-major over ALPHABET,
     a first row for the token's first character), random over ordinary."""
     n = docs.count()
-    share = min(1.0, fit_docs / max(n, 1))
     t = F.coalesce(F.col(text_col), F.lit(""))
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000)).select(t.alias("t"))
+    some = docs.where(drawn(F.xxhash64(id_col, text_col), fit_docs, n)).select(t.alias("t"))
     t = F.col("t")
     secret = F.concat(*[
         F.when(t.rlike(pat), F.regexp_extract_all(t, F.lit(pat), F.lit(2 if kind == "assign" else 0)))

@@ -35,14 +35,17 @@ def drop_table(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drawn(mark, size: int, n: int):
+    """Whether a row with 64-bit hash ``mark`` is among about ``size`` of ``n``."""
+    if n <= size:
+        return F.lit(True)
+    return mark <= F.lit(min(int(size / n * 2.0 ** 64) - 2 ** 63, 2 ** 63 - 1))
+
+
 def bounded_sample(df: DataFrame, n: int, size: int, *cols: str) -> DataFrame:
-    """About ``size`` (never more) of the ``n`` rows, drawn by a hash of
-    ``cols``, each hash value alike; at least one row of a table that has any."""
+    """About ``size`` (never more) of the ``n`` rows, drawn by a hash of ``cols``."""
     mark = F.xxhash64(*cols)
-    if n > size:
-        most = int(min(1.0, 1.2 * size / n) * 2.0 ** 64) - 2 ** 63
-        df = df.where(mark <= F.lit(min(most, 2 ** 63 - 1)))
-    return df.orderBy(mark, *cols).limit(size)
+    return df.where(drawn(mark, int(1.2 * size), n)).orderBy(mark, *cols).limit(size)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bind, write_table
+from .shared import bind, drawn, write_table
 
 BAD = "!bad"
 #: Rules of the list: (verdict, host, path).
@@ -70,10 +70,12 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(labels, words, steps, query))
 
 
-def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: int = 20,
-         min_confidence: float = 0.8, max_items: int = 3, fit_urls: int = FIT_URLS) -> DataFrame:
+def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_share: float = 1e-4,
+         min_urls: int = 20, min_confidence: float = 0.8, fit_urls: int = FIT_URLS) -> DataFrame:
     """Rules (rule_id, items, anchor, support, confidence): URLs that hold all
-    ``items`` are bad.  ``anchor`` is the rarest item."""
+    ``items`` are bad.  ``anchor`` is the rarest item.  A rule needs ``min_share``
+    of the labelled URLs that are read, and ``min_urls`` of them; its length is
+    bounded by confidence alone: it must beat every rule on fewer of its items."""
     spark = labelled.sparkSession
     rows = write_table(labelled.where(F.col(url_col).isNotNull()).select(
         tokens(F.col(url_col)).alias("t"), F.col(bad_col).cast("boolean").alias("bad"),
@@ -81,10 +83,11 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_su
     n, bad = rows.agg(F.count(F.lit(1)), F.sum(F.when(F.col("bad"), 1).otherwise(0))).first()
     none = "rule_id long, items array<string>, anchor string, support long, confidence double"
     if n > fit_urls:
-        rows = rows.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * fit_urls / n))
+        rows = rows.where(drawn(F.col("h"), fit_urls, n))
         n, bad = rows.agg(F.count(F.lit(1)), F.sum(F.when(F.col("bad"), 1).otherwise(0))).first()
     if not n or not bad:
         return spark.createDataFrame([], none)
+    min_support = max(min_urls, math.ceil(min_share * n))
     # what bad URLs hold often enough is all a rule can be made of
     bad_rows = rows.where("bad")
     often = (bad_rows.select(F.explode("t").alias("x")).groupBy("x").count()
@@ -103,8 +106,7 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_su
     fp = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support / max(1, n)),
                   numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
     # rules come from the sets that hold the label, which is all that is asked for
-    sets = write_table(fp.fit(baskets).freqItemsets.where(F.size("items") <= max_items + 1)
-                       .select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    sets = write_table(fp.fit(baskets).freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     with_bad = (sets.where(F.array_contains("items", BAD) & (F.size("items") > 1))
                 .select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("support")))
     found = (with_bad.join(sets, "items").withColumn("confidence", F.col("support") / F.col("freq"))
