@@ -251,7 +251,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, coord
     # sets of the classes in candidate pairs and in long lists, made once
     needed = (pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(long_rows.select("c")).distinct()
               .join(classes.select("c", "set_key", "doc_id", "text_key"), "c"))
-    with_text = needed.join(src.drop("text_key"), "doc_id").select("c", "set_key", "text")
+    with_text = needed.join(src, ["doc_id", "text_key"]).select("c", "set_key", "text")
     # a class without any id finds its text by the text's key
     nameless = src.where("doc_id is null").dropDuplicates(["text_key"]).select("text_key", "text")
     with_text = with_text.union(needed.where("doc_id is null").join(nameless, "text_key").select("c", "set_key", "text"))
