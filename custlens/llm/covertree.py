@@ -46,7 +46,9 @@ SLACK = 1e-6
 
 
 def _unit(rows) -> np.ndarray:
+    """Directions; components are scaled first, so that no square over- or underflows."""
     x = np.asarray(rows, dtype=np.float64)
+    x = x / np.exp2(np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -90,7 +92,7 @@ def _leaves(x: np.ndarray, radius: float) -> np.ndarray:
     todo = [(np.arange(len(x)), math.pi / 2)]
     while todo:
         rows, r = todo.pop()
-        if len(rows) == 1 or _spread(x[rows])[1] <= radius:
+        if len(rows) == 1 or _spread(x[rows])[1] <= radius - SLACK:
             out[rows] = made
             made += 1
             continue

@@ -310,7 +310,7 @@ def test_mined_rules_against_counting(spark):
         bad = h == hosts[0] or (h == "shop.test" and p == "offer")
         seen.append((f"https://{h}/{p}/{i}", bool(bad)))
     labelled = spark.createDataFrame(seen, "url string, bad boolean")
-    rules = rows_of(urls.mine(labelled, min_support=20, min_confidence=0.9))
+    rules = rows_of(urls.mine(labelled, min_urls=20, min_confidence=0.9))
     assert rules and all(r["anchor"] in r["items"] for r in rules)
     from pyspark.sql import functions as F
     toks = [(set(r["t"]), r["bad"]) for r in labelled.select(urls.tokens(F.col("url")).alias("t"), "bad").collect()]
