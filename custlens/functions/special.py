@@ -217,23 +217,48 @@ def hyp2f1_multi(a, b, c, zs: list, ys: list | None = None, power=0.0) -> Column
                          _c(power).cast("double"))
 
 
-# --- fixed values: complementary error function, Chebyshev fit
-# (fractional error below 1.2e-7 everywhere)
-ERFC_COEF = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-             0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+# --- fixed values: rational approximations of erf and erfc (Cody 1969, published
+# coefficients; about 1e-16), for |x| up to 0.46875, up to 4, and beyond
+ERF_A = [1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2,
+         3.20937758913846947e3]
+ERF_B = [1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3]
+ERFC_C = [2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1,
+          2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3,
+          1.23033935479799725e3]
+ERFC_D = [1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3,
+          3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3]
+ERFC_P = [1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1,
+          1.60837851487422766e-2, 6.58749161529837803e-4]
+ERFC_Q = [1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2,
+          2.33520497626869185e-3]
+ERF_SMALL, ERF_MIDDLE = 0.46875, 4.0
+
+
+def _horner(coefs, x):
+    acc = F.lit(coefs[0])
+    for c in coefs[1:]:
+        acc = acc * x + F.lit(c)
+    return acc
+
+
+def _erfcx(x: Column) -> Column:
+    """``exp(x^2) erfc(x)`` for x above ERF_SMALL: never under- or overflows."""
+    middle = _horner(ERFC_C, x) / _horner(ERFC_D, x)
+    far = let(F.lit(1.0) / (x * x), lambda y: (F.lit(1.0 / math.sqrt(math.pi)) - y * _horner(ERFC_P, y)
+                                               / _horner(ERFC_Q, y)) / x)
+    return F.when(x <= ERF_MIDDLE, middle).otherwise(far)
+
+
+def _small_erf(x: Column) -> Column:
+    return let(x * x, lambda y: x * _horner(ERF_A, y) / _horner(ERF_B, y))
 
 
 def erfc(x) -> Column:
+    """Complementary error function, about double precision."""
     def body(x):
         z = F.abs(x)
-
-        def with_t(t):
-            poly = F.lit(ERFC_COEF[-1])
-            for c in reversed(ERFC_COEF[:-1]):
-                poly = F.lit(c) + t * poly
-            ans = t * F.exp(-z * z + poly)
-            return F.when(x >= 0, ans).otherwise(F.lit(2.0) - ans)
-        return let(F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * z), with_t)
+        tail = F.exp(-z * z) * _erfcx(z)
+        return (F.when(z <= ERF_SMALL, F.lit(1.0) - _small_erf(x)).when(x > 0, tail).otherwise(F.lit(2.0) - tail))
     return let(_c(x).cast("double"), body)
 
 
@@ -241,6 +266,17 @@ def norm_cdf(x) -> Column:
     return F.lit(0.5) * erfc(-_c(x) / F.lit(math.sqrt(2.0)))
 
 
+def log_norm_cdf(x) -> Column:
+    """ln Φ(x), to double accuracy in both tails: the lower one is ``-x^2/2``
+    plus the logarithm of a scaled function, the upper one ``log1p``."""
+    def body(u):                                              # u = -x / sqrt(2): Φ = erfc(u) / 2
+        low = -u * u + F.log(F.lit(0.5) * _erfcx(u))
+        return (F.when(u > ERF_SMALL, low)
+                .when(u >= -ERF_SMALL, F.log(F.lit(0.5) - F.lit(0.5) * _small_erf(u)))
+                .otherwise(F.log1p(F.lit(-0.5) * F.exp(-u * u) * _erfcx(-u))))
+    return let(-_c(x).cast("double") / F.lit(math.sqrt(2.0)), body)
+
+
 # --- fixed values: rational approximation of the normal quantile
 # (relative error below 1.15e-9), lower-region break point 0.02425
 PPF_A = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
@@ -254,15 +290,10 @@ PPF_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
 PPF_LOW = 0.02425
 
 
-def _horner(coefs, x):
-    acc = F.lit(coefs[0])
-    for c in coefs[1:]:
-        acc = acc * x + F.lit(c)
-    return acc
-
-
 def norm_ppf(p) -> Column:
-    """Standard normal quantile Φ⁻¹(p) for 0 < p < 1 (NULL outside)."""
+    """Standard normal quantile Φ⁻¹(p) for 0 < p < 1 (NULL outside): a rational
+    first value, then one third-order step on the smaller tail's logarithm-free
+    residual, to about double precision."""
     def body(p):
         def central(q):
             return let(q * q, lambda r: _horner(PPF_A, r) * q / (_horner(PPF_B, r) * r + F.lit(1.0)))
@@ -270,10 +301,15 @@ def norm_ppf(p) -> Column:
         def tail(t):  # t = sqrt(-2 ln(min(p, 1-p)))
             return _horner(PPF_C, t) / (_horner(PPF_D, t) * t + F.lit(1.0))
 
-        tail_v = let(F.sqrt(F.lit(-2.0) * F.log(F.least(p, F.lit(1.0) - p))), tail)
-        return (F.when((p <= 0) | (p >= 1), F.lit(None).cast("double"))
-                .when(p < PPF_LOW, tail_v).when(p > 1 - PPF_LOW, -tail_v)
-                .otherwise(let(p - F.lit(0.5), central)))
+        q = F.least(p, F.lit(1.0) - p)
+        # the lower tail's value, at most 0; the upper one mirrors it
+        first = F.when(q < PPF_LOW, let(F.sqrt(F.lit(-2.0) * F.log(q)), tail)).otherwise(let(q - F.lit(0.5), central))
+
+        def better(x):
+            e = (norm_cdf(x) - q) * F.lit(math.sqrt(2.0 * math.pi)) * F.exp(x * x / F.lit(2.0))
+            return let(e, lambda u: x - u / (F.lit(1.0) + x * u / F.lit(2.0)))
+        value = let(let(first, better), lambda x: F.when(p > 0.5, -x).otherwise(x))
+        return F.when((p <= 0) | (p >= 1), F.lit(None).cast("double")).otherwise(value)
     return let(_c(p).cast("double"), body)
 
 

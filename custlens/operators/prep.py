@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -324,32 +326,102 @@ def yeo_johnson_expr(x, lmbda: float):
     return F.when(pos, yp).otherwise(yn)
 
 
-def _yj_loglik_aggs(c: str, lambdas: list[float]):
-    """Aggregates giving, per lambda, n, sum y, sum y^2 and the Jacobian sum
-    of the Yeo-Johnson profile log-likelihood."""
-    x = F.col(c).cast("double")
-    aggs = [F.count(x).alias(f"{c}__n"),
-            F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"{c}__j")]
-    for i, lm in enumerate(lambdas):
-        y = yeo_johnson_expr(x, lm)
-        aggs += [F.sum(y).alias(f"{c}__s{i}"), F.sum(y * y).alias(f"{c}__q{i}")]
-    return aggs
-
-
-def _yj_best(row, c, lambdas):
-    n, j = row[f"{c}__n"], row[f"{c}__j"] or 0.0
-    best, best_ll = 1.0, -math.inf
-    for i, lm in enumerate(lambdas):
-        s, q = row[f"{c}__s{i}"], row[f"{c}__q{i}"]
-        if not n or s is None or q is None:
-            continue
-        var = q / n - (s / n) ** 2
-        if var <= 0 or not math.isfinite(var):
-            continue
-        ll = -n / 2 * math.log(var) + (lm - 1) * j
-        if ll > best_ll:
-            best, best_ll = lm, ll
-    return best
+def _power(k: np.ndarray, u: np.ndarray, shift: float):
+    """``h = (e^(ku) - 1) / k`` and its derivative by k, both times ``e^-shift``;
+    near k u = 0 by their series."""
+    t = k * u
+    small = np.abs(t) < 1e-3
+    kk = np.where(k == 0, 1.0, k)
+    low = np.exp(-shift)
+    up = np.exp(t - shift)
+    h = np.where(small, u * (1 + t / 2 * (1 + t / 3 * (1 + t / 4))) * low, (up - low) / kk)
+    d = np.where(small, u * u * (0.5 + t / 3 * (1 + 3 * t / 8 * (1 + 4 * t / 15))) * low, (u * up - h) / kk)
+    return h, d
+
+
+def _yj_sums(cols: int, lambdas: np.ndarray, centre: np.ndarray, top: np.ndarray):
+    """Per column and candidate: n, and sums of y, y', y^2, y y' about a pilot
+    value; y is scaled by the largest power, so no candidate overflows."""
+    def run(batches):
+        import pyarrow as pa
+        total = np.zeros((cols, lambdas.shape[1], 5))
+        for batch in batches:
+            for c in range(cols):
+                x = batch.column(c).drop_null().to_numpy(zero_copy_only=False)
+                x = np.append(x[np.isfinite(x)], centre[c])
+                u, neg = np.log1p(np.abs(x)), x < 0
+                for j, lam in enumerate(lambdas[c]):
+                    shift = max(lam * top[c, 0], (2 - lam) * top[c, 1], 0.0)
+                    k = np.where(neg, 2 - lam, lam)
+                    h, d = _power(k, u, shift)
+                    y = np.where(neg, -h, h)
+                    y, d = y[:-1] - y[-1], d[:-1] - d[-1]
+                    total[c, j] += len(y), y.sum(), d.sum(), y @ y, y @ d
+        c, j = np.indices(lambdas.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(c.ravel()), pa.array(j.ravel())] + [
+            pa.array(total[..., i].ravel()) for i in range(5)], ["c", "j", "n", "y", "d", "yy", "yd"])
+    return run
+
+
+def yeo_johnson_lambdas(df: DataFrame, cols: list[str], points: int = 12, tol: float = 1e-9,
+                        reach: float = 1024.0) -> dict[str, float]:
+    """Maximum-likelihood lambda per column: the root of the derivative of the
+    profile log-likelihood, ``J - n/2 var'/var``.  Every round is one job that
+    evaluates ``points`` candidates of every column; brackets grow until the
+    derivative changes its sign from plus to minus, then shrink around that
+    change.  There is no grid and no clamp; a column without spread, or whose
+    likelihood has no inner maximum within ``reach``, gets 1."""
+    d = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    d = d.select(*[F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)).alias(c) for c in d.columns])
+    aggs = []
+    for c in d.columns:
+        x = F.col(c)
+        aggs += [F.count(x), F.avg(x), F.min(x), F.max(x), F.sum(F.signum(x) * F.log1p(F.abs(x)))]
+    r = d.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
+    st = [r[i * 5:i * 5 + 5] for i in range(len(cols))]
+    live = [i for i, (n, _, lo, hi, _) in enumerate(st) if n and lo < hi]
+    out = {c: 1.0 for c in cols}
+    if not live:
+        return out
+    d = d.select(*[f"c{i}" for i in live])
+    centre = np.array([st[i][1] for i in live])
+    top = np.array([[math.log1p(max(st[i][3], 0.0)), math.log1p(max(-st[i][2], 0.0))] for i in live])
+    jac = np.array([st[i][4] / st[i][0] for i in live])
+    low, high = np.full(len(live), -2.0), np.full(len(live), 4.0)
+    found, lost = np.zeros(len(live), bool), np.zeros(len(live), bool)
+    while True:
+        open_ = ~lost & (~found | (high - low > tol * np.maximum(1.0, np.abs(low))))
+        if not open_.any():
+            break
+        grid = np.linspace(low, high, points, axis=1)
+        sums = np.zeros(grid.shape + (5,))
+        got = (d.mapInArrow(_yj_sums(len(live), grid, centre, top),
+                            "c long, j long, n double, y double, d double, yy double, yd double")
+               .groupBy("c", "j").agg(*[F.sum(x).alias(x) for x in ("n", "y", "d", "yy", "yd")]).collect())
+        for g in got:
+            sums[g["c"], g["j"]] = g["n"], g["y"], g["d"], g["yy"], g["yd"]
+        n, y, dy, yy, yd = np.moveaxis(sums, 2, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = jac[:, None] - (yd / n - y / n * dy / n) / (yy / n - (y / n) ** 2)
+        for i in np.flatnonzero(open_):
+            down = np.flatnonzero((slope[i, :-1] >= 0) & (slope[i, 1:] < 0))
+            if len(down):
+                found[i] = True
+                low[i], high[i] = grid[i, down[0]], grid[i, down[0] + 1]
+                if high[i] <= np.nextafter(low[i], np.inf):
+                    lost[i] = True
+            elif found[i]:
+                lost[i] = True                     # rounding hides the change: the bracket is as small as it gets
+            elif high[i] - low[i] > 2 * reach:
+                lost[i] = True
+            else:                                  # towards the side on which the likelihood rises
+                width = high[i] - low[i]
+                low[i], high[i] = (high[i] - width / points, high[i] + 2 * width) if slope[i, -1] >= 0 else \
+                    (low[i] - 2 * width, low[i] + width / points)
+    for k, i in enumerate(live):
+        if found[k]:
+            out[cols[i]] = float((low[k] + high[k]) / 2)
+    return out
 
 
 def quantile_normal_expr(x, q: list[float], probs: list[float]):
@@ -378,8 +450,7 @@ def quantile_normal_expr(x, q: list[float], probs: list[float]):
 class ScaleTransformer(Estimator, _HasTarget, DefaultParamsReadable, DefaultParamsWritable):
     """Numeric feature scaling: ``zscore`` (population std, zero std -> 0),
     ``minmax`` (constant -> 0), ``yeo-johnson`` (maximum-likelihood lambda per
-    column from a coarse then a fine grid, both one aggregation each, then
-    standardised) or ``quantile`` (up to ``n_quantiles`` exact quantiles,
+    column, all columns' brackets moved in one job a round, then standardised) or ``quantile`` (up to ``n_quantiles`` exact quantiles,
     mapped to a standard normal)."""
 
     method = Param(Params._dummy(), "method", "scaling method", TypeConverters.toString)
@@ -406,12 +477,7 @@ class ScaleTransformer(Estimator, _HasTarget, DefaultParamsReadable, DefaultPara
             r = df.agg(*[F.min(c).alias(f"a_{c}") for c in cols], *[F.max(c).alias(f"b_{c}") for c in cols]).first()
             params = {c: {"mn": _f(r[f"a_{c}"]), "mx": _f(r[f"b_{c}"])} for c in cols}
         elif cols and method == "yeo-johnson":
-            coarse = [x / 2 for x in range(-8, 9)]
-            r = df.agg(*[a for c in cols for a in _yj_loglik_aggs(c, coarse)]).first()
-            first = {c: _yj_best(r, c, coarse) for c in cols}
-            fine = {c: [first[c] + d / 20 for d in range(-10, 11)] for c in cols}
-            r2 = df.agg(*[a for c in cols for a in _yj_loglik_aggs(c, fine[c])]).first()
-            lm = {c: _yj_best(r2, c, fine[c]) for c in cols}
+            lm = yeo_johnson_lambdas(df, cols)
             r3 = df.agg(*[F.avg(yeo_johnson_expr(F.col(c).cast("double"), lm[c])).alias(f"m_{c}") for c in cols],
                         *[F.stddev_pop(yeo_johnson_expr(F.col(c).cast("double"), lm[c])).alias(f"s_{c}") for c in cols]).first()
             params = {c: {"lmbda": lm[c], "m": r3[f"m_{c}"], "s": r3[f"s_{c}"]} for c in cols}

@@ -10,7 +10,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import chi2_ppf, chi2_sf, norm_cdf, norm_ppf, t_sf_two_sided
+from ..functions.special import chi2_ppf, chi2_sf, let, log_norm_cdf, norm_ppf, t_sf_two_sided
 from .ranking import grouped_quantiles, grouped_ranked, ranked_histogram
 
 
@@ -131,22 +131,36 @@ def dagostino_k2(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 # H3
-def _ppf_range_sum(lo, hi, n: int, exact_max: int = 2000):
-    """sum_{i=lo..hi} Φ⁻¹((i - 3/8) / (n + 1/4)) per histogram row: summed
-    term by term for short runs of tied values, and for long runs by the
-    exact integral identity ∫Φ⁻¹ = -φ(Φ⁻¹) over the run (midpoint rule),
-    so a value repeated millions of times costs O(1)."""
-    c = F.lit(n + 0.25)
-    exact = F.aggregate(F.sequence(lo, hi), F.lit(0.0),
-                        lambda acc, k: acc + norm_ppf((k.cast("double") - 0.375) / c))
-    pa = (lo.cast("double") - 0.5 - 0.375) / c
-    pb = (hi.cast("double") + 0.5 - 0.375) / c
-    pa = F.greatest(pa, F.lit(1e-300))
-    pb = F.least(pb, F.lit(1.0 - 1e-16))
-    za, zb = norm_ppf(pa), norm_ppf(pb)
-    dens = lambda z: F.exp(-z * z / 2) / F.lit(math.sqrt(2 * math.pi))
-    approx = c * (dens(za) - dens(zb))
-    return F.when(hi - lo + 1 <= exact_max, exact).otherwise(approx)
+#: Positions at either end whose scores are added one by one.
+END_TERMS = 64
+
+
+def _score_sum(lo, hi, n: int):
+    """sum_{i=lo..hi} Φ⁻¹((i - 3/8) / (n + 1/4)) per histogram row, whatever the
+    length of the run of tied values: positions near either end term by term (at
+    most END_TERMS there), those between by the Euler-Maclaurin sum about the
+    exact integral ``-c φ(Φ⁻¹)``, with its first two corrections."""
+    c = n + 0.25
+    at = lambda i: norm_ppf((i.cast("double") - 0.375) / F.lit(c))
+
+    def some(a, b):
+        return F.when(a <= b, F.aggregate(F.sequence(a, F.greatest(a, b)), F.lit(0.0), lambda acc, i: acc + at(i))) \
+            .otherwise(F.lit(0.0))
+
+    low, high = F.lit(min(END_TERMS, n)).cast("long"), F.lit(max(n - END_TERMS, min(END_TERMS, n))).cast("long")
+    ends = some(lo, F.least(hi, low)) + some(F.greatest(lo, high + 1), hi)
+    a, b = F.greatest(lo, low + 1), F.least(hi, high)
+
+    def middle(edge):
+        """Antiderivative of the sum at the boundary after position ``edge - 1/2``."""
+        def of(z):
+            dens = F.exp(-z * z / 2) / F.lit(math.sqrt(2 * math.pi))
+            return let(dens, lambda d: F.lit(-c) * d - F.lit(1 / 24 / c) / d
+                       + F.lit(7 / 5760 / c ** 3) * (F.lit(1.0) + F.lit(2.0) * z * z) / (d * d * d))
+        return let(norm_ppf((edge - 0.875) / F.lit(c)), of)
+
+    between = middle(b.cast("double") + 1) - middle(a.cast("double"))
+    return ends + F.when(a <= b, between).otherwise(F.lit(0.0))
 
 
 def shapiro(df: DataFrame, col: str) -> dict:
@@ -158,7 +172,6 @@ def shapiro(df: DataFrame, col: str) -> dict:
     h = ranked_histogram(df, col)
     n = h.n
     if n < 3:
-        h.unpersist()
         raise ValueError("shapiro needs at least 3 values")
     nd = NormalDist()
     spark = df.sparkSession
@@ -186,15 +199,14 @@ def shapiro(df: DataFrame, col: str) -> dict:
         for k, a in special.items():
             wsum = wsum + F.when((lo <= k) & (hi >= k), F.lit(a)).otherwise(0.0)
     else:
-        wsum = _ppf_range_sum(lo, hi, n) / F.lit(sp)
+        wsum = _score_sum(lo, hi, n) / F.lit(sp)
         for k, a in special.items():
             inside = (lo <= k) & (hi >= k)
             wsum = wsum + F.when(inside, F.lit(a - m(k) / sp)).otherwise(0.0)
-    v = F.col("value").cast("double")
-    r = h.df.agg(F.sum(v * wsum).alias("num"), F.sum(F.col("cnt") * v).alias("s1"),
-                 F.sum(F.col("cnt") * v * v).alias("s2")).first()
-    h.unpersist()
-    ss = r["s2"] - r["s1"] ** 2 / n
+    mean = df.agg(F.avg(col)).first()[0]
+    v = F.col("value").cast("double") - F.lit(float(mean))          # the weights add up to zero
+    r = h.df.agg(F.sum(v * wsum).alias("num"), F.sum(F.col("cnt") * v * v).alias("ss")).first()
+    ss = r["ss"]
     w = min(1.0, (r["num"] ** 2) / ss) if ss > 0 else 1.0
     ln = math.log(n)
     if n == 3:
@@ -225,15 +237,14 @@ def anderson_darling(df: DataFrame, col: str) -> dict:
     histogram suffices."""
     h = ranked_histogram(df, col)
     n = h.n
-    st = df.agg(F.avg(col).alias("m"), F.stddev_samp(col).alias("s")).first()
-    z = (F.col("value").cast("double") - F.lit(st["m"])) / F.lit(st["s"])
-    lo, hi = F.col("below") + 1, F.col("below") + F.col("cnt")
-    s_a = hi * hi - (lo - 1) * (lo - 1)                         # sum_{i=lo..hi} (2i - 1)
-    s_b = (2 * n + 1) * F.col("cnt") - (hi * (hi + 1) - (lo - 1) * lo)  # sum (2n + 1 - 2i)
-    cdf = norm_cdf(z)
-    term = s_a * F.log(cdf) + s_b * F.log(F.lit(1.0) - cdf)
-    tot = h.df.agg(F.sum(term)).first()[0]
-    h.unpersist()
+    st = df.where(~F.isnan(F.col(col).cast("double"))).agg(F.avg(col).alias("m"), F.stddev_samp(col).alias("s")).first()
+    if n < 2 or not st["s"]:
+        raise ValueError("anderson_darling needs values that differ")
+    z = (F.col("value").cast("double") - F.lit(float(st["m"]))) / F.lit(float(st["s"]))
+    cnt, below = F.col("cnt").cast("double"), F.col("below").cast("double")
+    s_a = cnt * (2.0 * below + cnt)                             # sum of (2i - 1) over the tied positions
+    s_b = cnt * (F.lit(2.0 * n) - 2.0 * below - cnt)            # sum of (2n + 1 - 2i)
+    tot = h.df.agg(F.sum(s_a * log_norm_cdf(z) + s_b * log_norm_cdf(-z))).first()[0]
     a2 = -n - tot / n
     crit = [round(c / (1 + 4.0 / n - 25.0 / (n * n)), 3) for c in AD_CRITICAL]
     return {"statistic": a2, "critical_values": crit, "significance_level": AD_SIGNIFICANCE,

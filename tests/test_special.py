@@ -7,7 +7,10 @@ from statistics import NormalDist
 import numpy as np
 import pytest
 
-from custlens.functions.special import erfc, hyp2f1, hyp2f1_scaled, lgamma, norm_cdf, norm_ppf
+from pyspark.sql import functions as F
+
+from custlens.functions.special import erfc, hyp2f1, hyp2f1_scaled, lgamma, log_norm_cdf, norm_cdf, norm_ppf
+from custlens.operators.stats import _score_sum, anderson_darling
 
 
 def test_lgamma(spark):
@@ -40,15 +43,15 @@ def test_normal(spark):
     df = spark.createDataFrame([(p,) for p in ps], "p double")
     got = [r[0] for r in df.select(norm_ppf(df.p)).collect()]
     for p, g in zip(ps, got):
-        assert g == pytest.approx(NormalDist().inv_cdf(p), rel=1e-8, abs=1e-8)
+        assert g == pytest.approx(NormalDist().inv_cdf(p), rel=1e-13, abs=1e-13)
     xs = [-3.0, -1.0, 0.0, 0.5, 2.0]
     dx = spark.createDataFrame([(x,) for x in xs], "x double")
     got = [r[0] for r in dx.select(norm_cdf(dx.x)).collect()]
     for x, g in zip(xs, got):
-        assert g == pytest.approx(NormalDist().cdf(x), abs=2e-7)
+        assert g == pytest.approx(NormalDist().cdf(x), rel=1e-14)
     got = [r[0] for r in dx.select(erfc(dx.x)).collect()]
     for x, g in zip(xs, got):
-        assert g == pytest.approx(math.erfc(x), rel=2e-7, abs=1e-9)
+        assert g == pytest.approx(math.erfc(x), rel=1e-14)
 
 
 def test_hyp2f1_large_parameters(spark):
@@ -110,3 +113,52 @@ def test_expected_purchases_at_the_poles(spark):
         got, want = ([r["exp_purchases"] for r in expected_purchases(df, p, 30.0).collect()] for p in (at, near))
         assert got == pytest.approx(want, rel=1e-4)
         assert all(0 < v < 30 for v in got)
+
+
+def test_tails_of_the_normal(spark):
+    """ln Φ over the whole range of doubles, and erfc at the seams of its three forms."""
+    with localcontext() as ctx:
+        ctx.prec = 40
+        zs = [-200.0, -38.0, -10.0, -5.7, -1.0, -0.3, 0.0, 0.2, 0.66, 0.67, 3.0, 8.0, 12.0]
+        got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(log_norm_cdf(F.col("z"))).collect()]
+        for z, g in zip(zs, got):
+            if z <= -10:    # asymptotic series of the tail
+                total, term = Decimal(1), Decimal(1)
+                for k in range(1, 30):
+                    term *= -(2 * k - 1) / Decimal(z) ** 2
+                    total += term
+                want = -Decimal(z) ** 2 / 2 - (Decimal(-z) * (2 * Decimal(math.pi)).sqrt()).ln() + total.ln()
+            else:
+                want = Decimal(math.erfc(-z / math.sqrt(2)) / 2).ln() if z < 1 else \
+                    Decimal(math.log1p(-math.erfc(z / math.sqrt(2)) / 2))
+            assert float(want) == pytest.approx(g, rel=1e-13, abs=1e-300)
+    xs = [-30.0, -4.0, -0.46875, -0.46, 0.0, 0.4687, 0.4688, 3.99, 4.01, 10.0, 26.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(erfc(F.col("x"))).collect()]
+    assert got == pytest.approx([math.erfc(x) for x in xs], rel=2e-14)
+
+
+def brute_anderson(xs):
+    n, m = len(xs), sum(xs) / len(xs)
+    sd = math.sqrt(sum((x - m) ** 2 for x in xs) / (n - 1))
+    z = [(x - m) / sd for x in sorted(xs)]
+    low = lambda v: math.log(math.erfc(-v / math.sqrt(2)) / 2) if v < 0 else math.log1p(-math.erfc(v / math.sqrt(2)) / 2)
+    return -n - sum((2 * i + 1) * (low(z[i]) + low(-z[n - 1 - i])) for i in range(n)) / n
+
+
+def test_anderson_darling_with_extremes(spark):
+    for xs in ([float(v % 17) for v in range(300)], [0.1 * v for v in range(200)] + [400.0, -900.0],
+               [1e9 + v * v for v in range(50)]):
+        got = anderson_darling(spark.createDataFrame([(x,) for x in xs], "x double"), "x")["statistic"]
+        assert got == pytest.approx(brute_anderson(xs), rel=1e-9)
+
+
+@pytest.mark.parametrize("n,runs", [(50, 50), (700, 3), (9000, 2), (9000, 9000)])
+def test_scores_of_tied_runs(spark, n, runs):
+    """Runs of any length add the normal scores of their positions."""
+    cuts = [n * k // runs for k in range(runs + 1)]
+    df = spark.createDataFrame([(a + 1, b) for a, b in zip(cuts, cuts[1:])], "lo long, hi long")
+    got = sorted((r["lo"], r["s"]) for r in df.select("lo", _score_sum(F.col("lo"), F.col("hi"), n).alias("s")).collect())
+    inv = NormalDist().inv_cdf
+    for (lo, s), b in zip(got, cuts[1:]):
+        want = math.fsum(inv((i - 0.375) / (n + 0.25)) for i in range(lo, b + 1))
+        assert s == pytest.approx(want, rel=1e-10, abs=1e-9)
