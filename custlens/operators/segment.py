@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import regex_label, score_label, segment_from_code
 from ..session import stage_table
 from .clean import round_numeric
+from .kmeans import many_kmeans, nearest_center
 from .ranking import (ValueLookup, average_rank_table, bucket_expr, grouped_quantiles, grouped_ranked,
                       ranked_histogram)
 
@@ -202,36 +203,25 @@ def _features(df: DataFrame, cols: list[str], scale: str = "minmax") -> DataFram
 
 
 def rfm_kmeans(df: DataFrame, cols: list[str], k: int = 5, seed: int = 42, max_iter: int = 500,
-               n_init: int = 1, out: str = "cluster"):
-    """Min-max scale then k-means; ``n_init`` seeds, lowest training cost kept.
-    Returns ``(labelled_df, model)``."""
-    from pyspark.ml.clustering import KMeans
-    feats = _features(df, cols).persist()
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features",
-                       predictionCol=out).fit(feats)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    res = best[1].transform(feats).drop("features")
-    return res, best[1]
-
-
-def elbow(df: DataFrame, cols: list[str], ks=range(1, 11), seed: int = 42, max_iter: int = 100) -> DataFrame:
-    """Within-cluster sum of squares per k (k=1 from the column variances)."""
-    from pyspark.ml.clustering import KMeans
-    feats = _features(df, cols).persist()
-    rows = []
-    for k in ks:
-        if k == 1:
-            r = feats.agg(*[F.var_pop(c) * F.count(c) for c in cols]).first()
-            rows.append((1, float(sum(v or 0.0 for v in r))))
-        else:
-            model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(feats)
-            rows.append((int(k), float(model.summary.trainingCost)))
-    feats.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, wcss double")
+               n_init: int = 50, out: str = "cluster"):
+    """Min-max scale then k-means; ``n_init`` starts advanced together, lowest
+    cost kept.  Returns ``(labelled_df, Clustering)``; rows with a null column
+    get no cluster."""
+    from .prep import minmax_exprs
+    x = df.withColumns(minmax_exprs(df, cols))
+    best = many_kmeans(stage_table(x.select(*cols), "kmeans"), cols, [k], n_init, max_iter, seed)[k]
+    return x.withColumn(out, nearest_center(cols, best.centers)), best
+
+
+def elbow(df: DataFrame, cols: list[str], ks=range(1, 11), seed: int = 42, max_iter: int = 300,
+          n_init: int = 50) -> DataFrame:
+    """Within-cluster sum of squares per k, the lowest of ``n_init`` starts; all
+    starts of all k are advanced in the same passes."""
+    from .prep import minmax_exprs
+    x = stage_table(df.withColumns(minmax_exprs(df, cols)).select(*cols), "elbow")
+    got = many_kmeans(x, cols, ks, n_init, max_iter, seed)
+    return df.sparkSession.createDataFrame([(k, c.cost, c.converged) for k, c in got.items()],
+                                           "k int, wcss double, converged boolean")
 
 
 def silhouette(df: DataFrame, cols: list[str], ks=range(2, 11), seed: int = 42,
