@@ -1,17 +1,20 @@
 """Embedding near-duplicates by dual traversal of a cover tree.
 
-Distances are angles, a metric on directions.  The tree's levels have halving
-radii.  Its top, a net fitted on a bounded sample, deals all vectors into
-cells by the nearest centre; a cell is cut into blocks of bounded size.  Inside
-its block every vector goes down nested nets until radii are at most half the
-threshold angle, so any two vectors of a leaf link.  Nodes know their covering
-radius, the angle to their farthest vector.
-
-Node pairs, blocks first and leaves next, are dropped when
+Distances are angles, a metric on directions.  The tree's levels are nets of
+halving radii, each inside a node of the level above; a node knows its covering
+radius, the angle to its farthest vector.  A tree fitted on a bounded sample
+routes every vector down its levels to a block: a node with few enough rows, or
+some small siblings together, so blocks lie apart as far as the data do (copies
+that no radius parts are cut by a hash).  Inside its block every vector goes on
+down nested nets until radii are at most half the threshold angle, so any two
+vectors of a leaf link.  Nodes of all levels are kept as a table.
+
+Two blocks meet where their covering radii allow it, in one task that walks
+pairs of nodes from the two roots down.  A pair is dropped with all below it when
 
     angle(centres) > threshold + radius + radius
 
-and taken whole, without looking at vectors, when
+and a pair of leaves is taken whole, without looking at vectors, when
 
     angle(centres) + radius + radius <= threshold.
 
@@ -35,12 +38,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, write_table
+from .shared import bounded_sample, connected_components, write_table
 
 #: Vectors of the sample that the top net is fitted on.
 FIT_VECTORS = 4096
 #: Least vectors of a block, and most blocks (blocks grow beyond).
 BLOCK_ROWS, MAX_BLOCKS = 8192, 50_000
+#: Children of a router node that a finer level may have instead, and the finest such radius.
+FAN, FINEST = 64, 1e-3
+#: Components of more than 1 / HOT_SHARE of the leaves are broadcast: fewer than HOT_SHARE.
+HOT_SHARE = 1000
 #: Slack on angles, far above the rounding of arccos near 1.
 SLACK = 1e-6
 
@@ -84,23 +91,32 @@ def _net(x: np.ndarray, radius: float, chunk: int = 256) -> np.ndarray:
     return part
 
 
-def _leaves(x: np.ndarray, radius: float) -> np.ndarray:
-    """Leaf number per row: nested nets of halving radii, the last at most
-    ``radius``; a leaf's covering radius about its mean direction is too."""
-    out = np.zeros(len(x), np.int64)
-    made = 0
-    todo = [(np.arange(len(x)), math.pi / 2)]
+def _tree(x: np.ndarray, radius: float) -> tuple[np.ndarray, list[tuple]]:
+    """(order of the rows, nodes) of a cover tree: nested nets of halving radii
+    down to leaves whose covering radius about their mean direction is at most
+    ``radius``.  A node is (start, end, parent, is leaf, centre, reach) over the
+    ordered rows; parents come before their children, the root first."""
+    order = np.arange(len(x))
+    nodes: list[tuple] = []
+    todo = [(0, len(x), -1, math.pi / 2)]
     while todo:
-        rows, r = todo.pop()
-        if len(rows) == 1 or _spread(x[rows])[1] <= radius - SLACK:
-            out[rows] = made
-            made += 1
+        a, b, parent, r = todo.pop()
+        rows = order[a:b]
+        centre, reach = _spread(x[rows])
+        leaf = b - a == 1 or reach <= radius - SLACK
+        nodes.append((a, b, parent, leaf, centre, reach))
+        if leaf:
             continue
+        me = len(nodes) - 1
         part = _net(x[rows], r)
-        order = np.argsort(part, kind="stable")
-        for group in np.split(rows[order], np.flatnonzero(np.diff(part[order])) + 1):
-            todo.append((group, r / 2))
-    return out
+        while part.max() == 0:                       # one net cell: the next level parts it
+            r /= 2
+            part = _net(x[rows], r)
+        by = np.argsort(part, kind="stable")
+        order[a:b] = rows[by]
+        cuts = [0, *(np.flatnonzero(np.diff(part[by])) + 1).tolist(), b - a]
+        todo += [(a + p, a + q, me, r / 2) for p, q in zip(cuts, cuts[1:])]
+    return order, nodes
 
 
 def _spread(x: np.ndarray) -> tuple[np.ndarray, float]:
@@ -112,29 +128,64 @@ def _spread(x: np.ndarray) -> tuple[np.ndarray, float]:
     return c, float(_angle(x @ u).max()) if len(x) > 1 or not np.array_equal(u, x[0]) else 0.0
 
 
-def _fit(vectors: DataFrame, n: int, fit_vectors: int) -> list[np.ndarray]:
-    """Centres of the top net (radius pi/2), as unit rows per length."""
-    share = min(1.0, fit_vectors / max(1, n))
-    rows = [r[0] for r in vectors.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1_000_000)) < share * 1_000_000)
-            .orderBy(F.xxhash64("vec_id", "v")).limit(fit_vectors).select("v").collect()]
+def _router(x: np.ndarray, rows_each: float, block_rows: int, first: int):
+    """Cover tree of sampled unit rows, cut where a node stands for few enough
+    rows: nested (centres, children), a child being a node or a block number.
+    Small siblings share blocks.  Returns (root, next free block number)."""
+    def node(rows, r):
+        nonlocal first
+        if len(rows) * rows_each <= block_rows or r < SLACK:
+            first += 1
+            return first - 1
+        # levels that hardly branch are passed over: coarse borders would cut through dense groups
+        part = _net(x[rows], r)
+        while r > FINEST and part.max() < FAN:
+            finer = _net(x[rows], r / 2)
+            if finer.max() >= FAN:
+                break
+            part, r = finer, r / 2
+        if part.max() == 0:
+            return node(rows, r / 2)
+        centres = x[[rows[int(np.argmax(part == k))] for k in range(part.max() + 1)]]
+        # as vectors will be routed: to the nearest centre
+        part = (x[rows] @ centres.T).argmax(axis=1)
+        groups = [rows[part == k] for k in range(len(centres))]
+        children, filled, block = [], block_rows + 1.0, -1
+        for g in groups:
+            if len(g) * rows_each > block_rows:
+                children.append(node(g, r / 2))
+                continue
+            if filled + len(g) * rows_each > block_rows:
+                block, filled, first = first, 0.0, first + 1
+            filled += len(g) * rows_each
+            children.append(block)
+        return centres, children
+    return node(np.arange(len(x)), math.pi / 2), first
+
+
+def _fit(vectors: DataFrame, n: int, fit_vectors: int, block_rows: int) -> tuple[dict, int]:
+    """Router per length, and the number of blocks they name."""
+    rows = [r[0] for r in bounded_sample(vectors, n, fit_vectors, "vec_id", "v").select("v").collect()]
     by_len: dict[int, list] = {}
     for r in rows:
         by_len.setdefault(len(r), []).append(r)
-    out = []
-    for _, some in sorted(by_len.items()):
-        x = _unit(some)
-        part = _net(x, math.pi / 2)
-        out.append(x[[int(np.flatnonzero(part == k)[0]) for k in range(part.max() + 1)]])
-    return out
-
-
-def _assign(centres: list[np.ndarray]):
-    """Deal vectors to the nearest centre of their length; lengths that the
-    sample lacks are cells of their own."""
-    base, first = {}, 0
-    for c in centres:
-        base[c.shape[1]] = (first, c)
-        first += len(c)
+    routers, first = {}, 0
+    for size, some in sorted(by_len.items()):
+        routers[size], first = _router(_unit(some), n / max(1, len(rows)), block_rows, first)
+    return routers, first
+
+
+def _assign(routers: dict, blocks: int):
+    """Route vectors down the sampled tree of their length to the nearest
+    centre of every level; lengths that the sample lacks are blocks of their own."""
+    def down(x, rows, at, out):
+        if isinstance(at, int):
+            out[rows] = at
+            return
+        centres, children = at
+        near = (x[rows] @ centres.T).argmax(axis=1)
+        for k in np.unique(near):
+            down(x, rows[near == k], children[k], out)
 
     def run(batches):
         import pyarrow as pa
@@ -144,36 +195,51 @@ def _assign(centres: list[np.ndarray]):
             cell = np.empty(len(size), np.int64)
             for n in np.unique(size):
                 at = np.flatnonzero(size == n)
-                if int(n) in base:
-                    start, c = base[int(n)]
-                    cell[at] = start + (_unit(_matrix(lists.take(pa.array(at)))) @ c.T).argmax(axis=1)
+                if int(n) in routers:
+                    x = _unit(_matrix(lists.take(pa.array(at))))
+                    found = np.empty(len(at), np.int64)
+                    down(x, np.arange(len(at)), routers[int(n)], found)
+                    cell[at] = found
                 else:
-                    cell[at] = first + n
+                    cell[at] = blocks + n
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(cell)], ["vec_id", "v", "cell"])
     return run
 
 
-def _grow(radius: float):
-    """One block: every vector's leaf, and the leaf on its first vector."""
+NODE = "block long, leaf long, node int, parent int, centre array<float>, reach double, k long"
+
+
+def _grow(radius: float, kind: str):
+    """One block: its vectors in tree order, and the nodes of its tree.  Rows
+    with a ``rid`` are vectors, rows with a ``node`` are nodes; a leaf has a
+    number in both."""
     def run(key, table):
         import pyarrow as pa
         block = key[0].as_py()
         ids = table.column("vec_id")
         x = _unit(_matrix(table.column("v")))
-        order = np.lexsort(np.hstack([x[:, :1], np.array(ids.fill_null(-1).to_pylist(), np.float64)[:, None]]).T)
-        x, table = x[order], table.take(pa.array(order))
-        leaf = _leaves(x, radius)
-        n = len(x)
-        centre, reach, count = [None] * n, [None] * n, [None] * n
-        by = np.argsort(leaf, kind="stable")
-        for rows in np.split(by, np.flatnonzero(np.diff(leaf[by])) + 1):
-            c, r = _spread(x[rows])
-            centre[rows[0]], reach[rows[0]], count[rows[0]] = c, r, len(rows)
-        at = block << 32
-        return pa.table({"rid": pa.array(at + np.arange(n)), "vec_id": table.column("vec_id"),
-                         "v": table.column("v"), "block": pa.array(np.full(n, block)), "leaf": pa.array(at + leaf),
-                         "centre": pa.array(centre, pa.list_(pa.float32())), "reach": pa.array(reach, pa.float64()),
-                         "k": pa.array(count, pa.int64())})
+        first = np.lexsort(np.hstack([x[:, :1], np.array(ids.fill_null(-1).to_pylist(), np.float64)[:, None]]).T)
+        order, nodes = _tree(x[first], radius)
+        order = first[order]
+        n, m, at = len(x), len(nodes), block << 32
+        leaf, number = np.empty(n, np.int64), np.full(m, -1, np.int64)
+        for i, (a, b, _, is_leaf, _, _) in enumerate(nodes):
+            if is_leaf:
+                leaf[a:b] = number[i] = at + i
+        none = lambda k, t: pa.nulls(k, t)
+        lists = table.column("v").type
+        points = pa.table({"rid": pa.array(at + np.arange(n)), "vec_id": ids.take(pa.array(order)),
+                           "v": table.column("v").take(pa.array(order)), "block": pa.array(np.full(n, block)),
+                           "leaf": pa.array(leaf), "node": none(n, pa.int32()), "parent": none(n, pa.int32()),
+                           "centre": none(n, pa.list_(pa.float32())), "reach": none(n, pa.float64()),
+                           "k": none(n, pa.int64())})
+        tree = pa.table({"rid": none(m, pa.int64()), "vec_id": none(m, pa.int64()), "v": none(m, lists),
+                         "block": pa.array(np.full(m, block)), "leaf": pa.array(number, mask=number < 0),
+                         "node": pa.array(np.arange(m, dtype=np.int32)),
+                         "parent": pa.array(np.array([t[2] for t in nodes], np.int32)),
+                         "centre": pa.array([t[4] for t in nodes], pa.list_(pa.float32())),
+                         "reach": pa.array([t[5] for t in nodes]), "k": pa.array([t[1] - t[0] for t in nodes])})
+        return pa.concat_tables([points, tree])
     return run
 
 
@@ -200,35 +266,68 @@ def _partners(nodes: list, threshold: float):
     return run
 
 
-def _meet(cosine: float, threshold: float, tile: int = 1024):
-    """Leaf pairs of two blocks: taken whole, or to be looked at."""
-    def run(key, left, right):
-        import pyarrow as pa
-        a, b, sure = [], [], []
-        la, lb = left.column("leaf").to_numpy(), right.column("leaf").to_numpy()
-        ra, rb = left.column("reach").to_numpy(), right.column("reach").to_numpy()
-        xa, xb = _unit(_matrix(left.column("centre"))), _unit(_matrix(right.column("centre")))
-        within = key[0].as_py() == key[1].as_py()
-        far = threshold + ra.max(initial=0) + rb.max(initial=0) + SLACK
+class _Nodes:
+    """A block's nodes, by number."""
+
+    def __init__(self, table):
+        order = np.argsort(table.column("node").to_numpy())
+        self.x = _unit(_matrix(table.column("centre")))[order]
+        self.reach = table.column("reach").to_numpy()[order]
+        leaf = table.column("leaf").fill_null(-1).to_numpy()[order]
+        self.leaf, self.is_leaf = leaf, leaf >= 0
+        parent = table.column("parent").to_numpy()[order]
+        by = np.argsort(parent, kind="stable")
+        at = np.searchsorted(parent[by], np.arange(len(parent) + 1))
+        self.children = lambda i: by[at[i]:at[i + 1]]
+
+
+def _walk(left: _Nodes, right: _Nodes, within: bool, cosine: float, threshold: float, tile: int = 1024):
+    """Pairs of leaves that covering radii leave, as (left, right, taken whole);
+    ``within`` one block, each pair once.  Also counts the node pairs looked at."""
+    out, seen = [], 0
+    todo = [(0, 0)]
+    while todo:
+        p, q = todo.pop()
+        same = within and p == q
+        if same and left.is_leaf[p]:
+            continue                                            # all of a leaf links
+        a = np.array([p]) if left.is_leaf[p] else left.children(p)
+        b = np.array([q]) if right.is_leaf[q] else right.children(q)
+        far = threshold + left.reach[a].max() + right.reach[b].max() + SLACK
         bound = math.cos(far) if far < math.pi else -2.0
-        for at in range(0, len(xa), tile):
-            sims = xa[at:at + tile] @ xb.T
-            p, q = np.nonzero(sims >= min(bound, cosine))
-            s = sims[p, q]
-            p = p + at
-            reach = ra[p] + rb[q]
+        for at in range(0, len(a), tile):
+            some = a[at:at + tile]
+            sims = left.x[some] @ right.x[b].T
+            seen += sims.size
+            i, j = np.nonzero(sims >= min(bound, cosine))
+            s, i, j = sims[i, j], some[i], b[j]
+            reach = left.reach[i] + right.reach[j]
             gap = _angle(s)
+            keep = gap <= threshold + reach + SLACK
+            if same:
+                keep &= i <= j
+            i, j, s, reach, gap = (v[keep] for v in (i, j, s, reach, gap))
+            ends = left.is_leaf[i] & right.is_leaf[j]
             exact = reach == 0
             link = np.where(exact, s >= cosine, gap + reach <= threshold - SLACK)
-            look = ~exact & ~link & (gap <= threshold + reach + SLACK)
-            use = link | look
+            use = ends & (link | ~exact)
             if within:
-                use &= la[p] < lb[q]
-            a.append(la[p[use]])
-            b.append(lb[q[use]])
-            sure.append(link[use])
-        cat = lambda xs, kind: pa.array(np.concatenate(xs) if xs else np.empty(0, kind))
-        return pa.table({"a": cat(a, np.int64), "b": cat(b, np.int64), "sure": cat(sure, bool)})
+                use &= left.leaf[i] != right.leaf[j]
+            out.append((left.leaf[i[use]], right.leaf[j[use]], link[use]))
+            todo += list(zip(i[~ends].tolist(), j[~ends].tolist()))
+    cat = lambda k, kind: np.concatenate([o[k] for o in out]) if out else np.empty(0, kind)
+    return cat(0, np.int64), cat(1, np.int64), cat(2, bool), seen
+
+
+def _meet(cosine: float, threshold: float):
+    """Leaf pairs of two blocks: taken whole, or to be looked at."""
+    def run(key, left, right):
+        import pyarrow as pa
+        within = key[0].as_py() == key[1].as_py()
+        a, b, sure, _ = _walk(_Nodes(left), _Nodes(right), within, cosine, threshold)
+        if within:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "sure": pa.array(sure)})
     return run
 
 
@@ -251,6 +350,36 @@ def _look(cosine: float, tile: int = 2048):
     return run
 
 
+def grow(good: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS,
+         fit_vectors: int = FIT_VECTORS) -> tuple[DataFrame, DataFrame]:
+    """(points, nodes) of the trees of all blocks, as written tables."""
+    kind = dict(good.dtypes)["v"]
+    n = good.count()
+    per = max(block_rows, n // MAX_BLOCKS)
+    routers, known = _fit(good, n, fit_vectors, per)
+    dealt = write_table(good.mapInArrow(_assign(routers, known), f"vec_id long, v {kind}, cell long"), "cells")
+    first, cut = 0, []
+    for r in dealt.groupBy("cell").count().orderBy("cell").collect():      # as many as blocks and lengths
+        # the sample's estimate may be off; what is far beyond a block is cut by a hash
+        blocks = -(-r["count"] // per) if r["count"] > 2 * per else 1
+        cut.append((r["cell"], first, blocks))
+        first += blocks
+    cells = F.broadcast(good.sparkSession.createDataFrame(cut, "cell long, first long, blocks long"))
+    block = F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks"))
+    grown = write_table(dealt.join(cells, "cell").select("vec_id", "v", block.alias("block")).groupBy("block")
+                        .applyInArrow(_grow(threshold / 2, kind), f"rid long, vec_id long, v {kind}, {NODE}"), "points")
+    return grown.where("rid is not null").select("rid", "vec_id", "v", "block", "leaf"), \
+        grown.where("node is not null").select("block", "leaf", "node", "parent", "centre", "reach", "k")
+
+
+def block_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (i, j), i <= j, of blocks whose roots' covering radii leave a link possible."""
+    roots = nodes.where("parent = -1").select("block", "centre", "reach")
+    tops = [tuple(r) for r in roots.orderBy("block").collect()]            # about rows / block_rows
+    return roots.select("block").repartition(max(1, min(len(tops), 200)), "block") \
+        .mapInArrow(_partners(tops, threshold), "i long, j long")
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95,
                  block_rows: int = BLOCK_ROWS, fit_vectors: int = FIT_VECTORS) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
@@ -259,43 +388,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).withColumn(
         "ok", F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False)))
-    good = rows.where("ok").select("vec_id", "v")
-    kind = dict(vectors.dtypes)[vector_col]
-    n = good.count()
-    dealt = write_table(good.mapInArrow(_assign(_fit(good, n, fit_vectors)), f"vec_id long, v {kind}, cell long"),
-                        "cells")
-    per = max(block_rows, n // MAX_BLOCKS)
-    first, cut = 0, []
-    for r in dealt.groupBy("cell").count().orderBy("cell").collect():      # as many as centres and lengths
-        blocks = -(-r["count"] // per)
-        cut.append((r["cell"], first, blocks))
-        first += blocks
-    cells = F.broadcast(vectors.sparkSession.createDataFrame(cut, "cell long, first long, blocks long"))
-    block = F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks"))
-    points = write_table(
-        dealt.join(cells, "cell").select("vec_id", "v", block.alias("block")).groupBy("block").applyInArrow(
-            _grow(threshold / 2), f"rid long, vec_id long, v {kind}, block long, leaf long, centre array<float>, "
-                                  "reach double, k long"), "points")
-    leaves = points.where("k is not null").select("block", "leaf", "centre", "reach", "k")
-
-    # blocks: mean direction of the leaves and the covering radius about it
-    def summary(key, table):
-        import pyarrow as pa
-        x = _unit(_matrix(table.column("centre")))
-        c, _ = _spread(x)
-        far = float((_angle(x @ _unit(c[None])[0]) + table.column("reach").to_numpy()).max())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "c": pa.array([c], pa.list_(pa.float32())),
-                         "reach": pa.array([far])})
-    nodes = write_table(leaves.groupBy("block").applyInArrow(summary, "block long, c array<float>, reach double"),
-                        "nodes")
-    tops = [tuple(r) for r in nodes.orderBy("block").collect()]            # at most MAX_BLOCKS and the cells
+    points, nodes = grow(rows.where("ok").select("vec_id", "v"), threshold, block_rows, fit_vectors)
+    pairs = write_table(block_pairs(nodes, threshold), "blocks")
     fresh = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  both sides of a cogroup come from one table
-    pairs = nodes.select("block").repartition(max(1, min(len(tops), 200)), "block") \
-        .mapInArrow(_partners(tops, threshold), "i long, j long")
-    pairs = write_table(pairs, "blocks")
-    side = lambda x: pairs.join(leaves, F.col(x) == F.col("block")).select(*fresh("i", "j", "leaf", "centre", "reach"))
+    side = lambda x: pairs.join(nodes, F.col(x) == F.col("block")).select(
+        *fresh("i", "j", "leaf", "node", "parent", "centre", "reach"))
     met = write_table(side("i").groupBy("i", "j").cogroup(side("j").groupBy("i", "j"))
                       .applyInArrow(_meet(cosine, threshold), "a long, b long, sure boolean"), "met")
+    leaves = nodes.where("leaf is not null").select("leaf", "k")
 
     sure, unsure = met.where("sure"), met.where("not sure")
     of_leaf = points.select(F.col("leaf").alias("x"), "rid", "v")
@@ -304,18 +404,26 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                          .applyInArrow(_look(cosine), "a long, b long, rid long, n long"), "looked")
 
     parts = connected_components(sure.select("a", "b").union(looked.select("a", "b")))
-    sized = leaves.select("leaf", "k")
     whole = (sure.select(F.col("a").alias("leaf"), F.col("b").alias("o"))
-             .union(sure.select("b", "a")).join(sized.select(F.col("leaf").alias("o"), F.col("k").alias("m")), "o")
+             .union(sure.select("b", "a")).join(leaves.select(F.col("leaf").alias("o"), F.col("k").alias("m")), "o")
              .groupBy("leaf").agg(F.sum("m").alias("m")))
     single = looked.groupBy("rid").agg(F.sum("n").alias("n"))
-    ids = points.select("rid", "vec_id", "leaf")
-    in_part = ids.join(parts, F.col("leaf") == F.col("id"), "left").select(
-        "rid", "vec_id", "leaf", F.coalesce("component", "leaf").alias("p"))
-    least = in_part.groupBy("p").agg(F.min("vec_id").alias("component_id"))
-    linked = (in_part.join(least, "p").join(sized, "leaf").join(whole, "leaf", "left").join(single, "rid", "left")
-              .select("vec_id", (F.col("k") - 1 + F.coalesce("m", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_links"),
-                      "component_id"))
+    # components are named once per leaf: a component of a third of all rows is no key of rows
+    named = write_table(points.groupBy("leaf").agg(F.min("vec_id").alias("low")).join(
+        parts, F.col("leaf") == F.col("id"), "left").select("leaf", "low", F.coalesce("component", "leaf").alias("p")),
+        "named")
+    least = write_table(named.groupBy("p").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size")),
+                        "least")
+    hot = F.broadcast(least.where(F.col("size") * HOT_SHARE > named.count()).select(
+        "p", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot")))           # fewer than HOT_SHARE
+    split = named.join(hot, "p", "left")
+    of_leaf = split.where("is_hot").select("leaf", F.col("hot_id").alias("component_id")).unionByName(
+        split.where("is_hot is null").join(least.where(F.col("size") * HOT_SHARE <= named.count()), "p")
+        .select("leaf", "component_id"))
+    per_leaf = (of_leaf.join(leaves, "leaf").join(whole, "leaf", "left")
+                .select("leaf", "component_id", (F.col("k") - 1 + F.coalesce("m", F.lit(0))).alias("links")))
+    linked = (points.select("rid", "vec_id", "leaf").join(per_leaf, "leaf").join(single, "rid", "left")
+              .select("vec_id", (F.col("links") + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"))
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                         F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

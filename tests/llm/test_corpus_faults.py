@@ -90,3 +90,51 @@ def test_one_id_on_many_texts(spark):
     assert sum(got.values()) == 2000 and all(k[0] == 7 and k[2] == 7 for k in got)
     kept = minhash.survivors(spark.createDataFrame(rows, "doc_id long, text string")).count()
     assert kept == 1000
+
+
+def test_covering_radii_prune_blocks_of_planted_clusters(spark):
+    """Forty clusters apart: blocks are clusters, and almost no two blocks meet."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(40, 24))
+    x = np.repeat(centres, 100, axis=0) + 0.05 * rng.normal(size=(4000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    threshold = float(np.arccos(0.95))
+    points, nodes = covertree.grow(df, threshold, block_rows=120)
+    blocks = nodes.where("parent = -1").count()
+    pairs = covertree.block_pairs(nodes, threshold).count()
+    assert points.count() == 4000 and blocks >= 30
+    assert pairs <= blocks + 0.1 * blocks * (blocks - 1) / 2, (pairs, blocks)
+    # levels: every node but the root lies in its parent, radii at most halve the threshold at the leaves
+    rows = nodes.toPandas()
+    at = {(r.block, r.node): r for r in rows.itertuples()}
+    for r in rows.itertuples():
+        if r.parent >= 0:
+            assert at[r.block, r.parent].k >= r.k and r.leaf != at[r.block, r.parent].leaf
+        if r.leaf == r.leaf:
+            assert r.reach <= threshold / 2
+    assert rows[rows.leaf.notna()].k.sum() == 4000
+
+
+def test_walk_looks_at_few_node_pairs():
+    """Inside one block the walk from the root drops clusters whole."""
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(50, 24)), 60, axis=0)
+    x = covertree._unit(x + 0.4 * rng.normal(size=x.shape))
+    threshold = float(np.arccos(0.95))
+    order, nodes = covertree._tree(x, threshold / 2)
+    import pyarrow as pa
+    table = pa.table({"node": pa.array(range(len(nodes)), pa.int32()), "parent": pa.array([t[2] for t in nodes], pa.int32()),
+                      "leaf": pa.array([i if t[3] else None for i, t in enumerate(nodes)], pa.int64()),
+                      "reach": pa.array([t[5] for t in nodes]), "centre": pa.array([t[4] for t in nodes], pa.list_(pa.float32()))})
+    tree = covertree._Nodes(table)
+    a, b, sure, seen = covertree._walk(tree, tree, True, 0.95, threshold)
+    leaves = int(tree.is_leaf.sum())
+    assert leaves > 1000 and seen < 0.25 * leaves * leaves
+    x = x[order]
+    spans = {i: t[:2] for i, t in enumerate(nodes) if t[3]}
+    met = {(min(p, q), max(p, q)) for p, q in zip(a.tolist(), b.tolist())}
+    of = np.empty(len(x), int)
+    for i, (s, e) in spans.items():
+        of[s:e] = i
+    p, q = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+    assert all(of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in met for i, j in zip(p, q))
