@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bind, drawn, drop_table, write_table
+from .shared import bind, drawn, drop_table, running, write_table
 
 #: Kinds of the fixed patterns, in order: pattern and whether a match counts.
 PATTERNS = (
@@ -50,15 +50,9 @@ def _spans(text: Column, kind: str, k: int, pattern: str, counts, parts=None) ->
         lens = F.transform(hits, lambda x: F.length(x))
 
         def at(g, n):
-            one = lambda i, pos: F.struct(
-                (pos + F.get(g, i)).alias("start"), F.lit(k).alias("k"),
-                (pos + F.get(g, i) + F.get(n, i)).alias("end"), F.lit(kind).alias("kind"))
-            return F.aggregate(
-                F.sequence(F.lit(0), F.size(n) - 1),
-                F.struct(F.lit(0).alias("pos"), F.array().cast(EMPTY).alias("out")),
-                lambda acc, i: F.struct((acc["pos"] + F.get(g, i) + F.get(n, i)).alias("pos"),
-                                        F.concat(acc["out"], F.array(one(i, acc["pos"]))).alias("out")),
-                lambda acc: acc["out"])
+            ends = running(F.transform(n, lambda x, i: x + F.get(g, i)))
+            return bind(ends, lambda e: F.transform(e, lambda x, i: F.struct(
+                (x - F.get(n, i)).alias("start"), F.lit(k).alias("k"), x.alias("end"), F.lit(kind).alias("kind"))))
         found = bind(gaps, lambda g: bind(lens, lambda n: at(g, n)))
         if parts is not None:
             return bind(found, lambda s: F.flatten(F.transform(s, lambda x, i: parts(F.get(hits, i), x))))

@@ -88,3 +88,12 @@ def bind(expr, body):
     """``body`` of ``expr``, which is evaluated once per row however often the
     body names it (a lambda variable, not a repeated expression)."""
     return F.element_at(F.transform(F.array(expr), body), 1)
+
+
+def running(sizes, zero=None):
+    """Running sums of an array column, each element included: every pass adds
+    what lies 1, 2, 4, ... places before, so n elements take n log n steps."""
+    none = F.lit(0) if zero is None else zero
+    steps = F.filter(F.array(*[F.lit(1 << b) for b in range(31)]), lambda s: s < F.size(sizes))
+    return F.aggregate(steps, sizes, lambda acc, s: F.transform(
+        acc, lambda v, i: v + F.coalesce(F.get(acc, i - s), none)))
