@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bind
+from .shared import bind, running
 
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("[", "\\k"), ("]", "\\j"))
 OPEN, MIDDLE, CLOSE = "<s>[", "]", "</s>"
@@ -88,12 +88,9 @@ def render(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataF
     bytes_of = lambda x: F.octet_length(x["head"]) + F.octet_length(x["body"]) + len(CLOSE)
 
     out = turns.select("conv_id", coded.alias("coded"))
-    # cumulative starts: turns are first given their size, then one running sum
-    sizes = F.transform("coded", lambda x: bytes_of(x))
-    starts = F.aggregate(sizes, F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
-                         lambda acc, n: F.struct((acc["pos"] + n).alias("pos"),
-                                                 F.concat(acc["out"], F.array(acc["pos"])).alias("out")),
-                         lambda acc: acc["out"])
+    # where each turn starts: its end less its size
+    starts = bind(F.transform("coded", lambda x: bytes_of(x)),
+                  lambda n: F.transform(running(n), lambda x, i: x - F.get(n, i)))
     mask = bind(starts, lambda s: F.filter(F.transform("coded", lambda x, i: F.when(x["train"], F.struct(
         (F.get(s, i) + F.octet_length(x["head"])).alias("start"), F.octet_length(x["body"]).alias("length")))),
         lambda x: x.isNotNull()))

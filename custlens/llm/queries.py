@@ -62,6 +62,26 @@ def op5(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"), tree, sharding.with_branch(tree, 24))
 
 
+def _as_events(rows):
+    """Every row as a message of its own in a log: a streamed draft that an edit
+    (a regeneration, for the assistant) takes back, then the text in streamed
+    pieces.  Rows without a turn come first."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    cut = (n / 3).cast("int")
+    piece = lambda at, size: F.substring(F.coalesce("text", F.lit("")), at, size)
+    first = piece(F.lit(1), cut)
+    again = F.when(F.col("role") == "assistant", "regenerate").otherwise("edit")
+    log = F.array(*[F.struct(F.lit(i).alias("i"), event.alias("event"), text.alias("text")) for i, (event, text) in enumerate([
+        (F.lit("delta"), F.concat(F.lit("draft "), first)), (again, first), (F.lit("delta"), piece(cut + 1, cut)),
+        (F.lit("delta"), piece(2 * cut + 1, n))])])
+    # ids of equal rows differ; their order does not matter
+    message = F.concat_ws(":", F.hex(F.xxhash64("role", "text")), F.monotonically_increasing_id())
+    turn = F.coalesce("turn", F.lit(-2 ** 58))
+    named = rows.select("conv_id", turn.alias("turn"), message.alias("message"), "role", "text")
+    return named.select("conv_id", "turn", "message", "role", F.explode(log).alias("e")).select(
+        "conv_id", (F.col("turn") * 8 + F.col("e.i")).alias("seq"), "e.event", "message", "role", "e.text")
+
+
 @_query("op6_chat_formatting")
 def op6(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
@@ -71,9 +91,7 @@ def op6(spark, sf_dir):
         F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(1).cast("long").alias("turn"),
                  F.lit("assistant").alias("role"), F.lit(said).alias("text")))).alias("x")).select("x.*")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("event"),
-                         F.concat_ws(":", "turn", F.hex(F.xxhash64("role", "text"))).alias("message"), "role", "text")
-    out = chat.render(chat.conversations(events))
+    out = chat.render(chat.conversations(_as_events(rows)))
     back = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"),
                       F.array_join(chat.read_loss(F.col("formatted"), F.col("loss_mask")), "").alias("loss"))
     digest = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")

@@ -138,3 +138,30 @@ def test_walk_looks_at_few_node_pairs():
         of[s:e] = i
     p, q = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
     assert all(of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in met for i, j in zip(p, q))
+
+
+def test_spans_of_many_hits_take_linear_time(spark):
+    """Four times the text takes at most about five times as long."""
+    import time
+    from pyspark.sql import functions as F
+    from custlens.llm.secrets import base_spans, show
+
+    def took(n):
+        df = spark.createDataFrame([(n,)], "n long").select(F.expr(
+            "array_join(transform(sequence(1, n), i -> concat('token=abcdefgh', i)), ' plain ')").alias("t")).cache()
+        df.count()
+        t = time.time()
+        got = df.select(F.sha2(show(base_spans(F.col("t"))), 256), F.size(base_spans(F.col("t")))).first()
+        assert got[1] == n
+        return time.time() - t
+    took(2000)
+    small, large = took(8_000), took(32_000)
+    assert large < 6 * small + 1.0, (small, large)
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+    from custlens.llm.shared import running
+    rows = [[], [5], [1, 2, 3], list(range(1000))]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "x array<int>").select(running(F.col("x"))).collect()]
+    assert got == [np.cumsum(r).tolist() for r in rows]
