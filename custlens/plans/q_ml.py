@@ -9,6 +9,7 @@ from ..operators.ml import metrics as M
 from ..operators.ml import split as SP
 from ..operators.ml import tune as TU
 from ..operators.ml.automl import AutoML, batch_predict
+from ..operators.ml.ensemble import majority_vote, mean_vote
 from ..operators.ml.knn import KNNClassifier, KNNRegressor
 from ..operators.ml.learners import REGISTRY
 from ..sources.tables import Tables
@@ -206,6 +207,22 @@ def _learner_scores(spark, sf_dir, ml_type):
     return spark.createDataFrame(rows, "learner string, name string, score double")
 
 
+_VOTES = ("CASE WHEN l_discount > 0.05 THEN 'A' ELSE 'N' END", "CASE WHEN l_tax > 0.04 THEN 'R' ELSE 'N' END",
+          "CASE WHEN l_quantity > 25 THEN 'R' ELSE 'A' END")
+
+
+@query("j7_vote", fx_sql(f"""
+SELECT l_orderkey, l_linenumber, CASE WHEN a = b OR a = c THEN a WHEN b = c THEN b ELSE least(a, b, c) END AS vote, mean
+FROM (SELECT l_orderkey, l_linenumber, {_VOTES[0]} AS a, {_VOTES[1]} AS b, {_VOTES[2]} AS c,
+             (l_discount + l_tax + l_quantity) / 3 AS mean FROM lineitem)""", ["mean"]))
+def j7_vote(spark, sf_dir):
+    """Majority of three rules (ties to the smallest label) and the mean of three predictions per row."""
+    preds = [F.expr(v) for v in _VOTES]
+    means = [F.col(c).cast("double") for c in ("l_discount", "l_tax", "l_quantity")]
+    return fx_df(Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", majority_vote(preds).alias("vote"),
+                                                       mean_vote(means).alias("mean")))
+
+
 _NEAR_SQL = """
 WITH d AS (SELECT c_custkey, s_nationkey, s_acctbal, row_number() OVER (PARTITION BY c_custkey ORDER BY
              (c_acctbal - s_acctbal) * (c_acctbal - s_acctbal)

@@ -100,7 +100,7 @@ def i6_yeo_johnson(spark, sf_dir):
 @query("i7_quantile_normal")
 def i7_quantile_normal(spark, sf_dir):
     li = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    m = P.ScaleTransformer(target="l_orderkey", method="quantile", n_quantiles=200).fit(li.drop("l_linenumber"))
+    m = P.ScaleTransformer(target="l_orderkey", method="quantile").fit(li.drop("l_linenumber"))
     return m.transform(li)
 
 

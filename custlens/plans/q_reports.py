@@ -220,6 +220,12 @@ def g18_histogram_by_group(spark, sf_dir):
     return fx_df(h.drop("lo", "hi"))
 
 
+@query("g18_avg_by", fx_sql("SELECT l_quantity, avg(l_extendedprice) AS avg_l_extendedprice FROM lineitem GROUP BY 1",
+                            ["l_quantity", "avg_l_extendedprice"]))
+def g18_avg_by(spark, sf_dir):
+    return fx_df(G.avg_by(Tables(spark, sf_dir).lineitem, "l_quantity", "l_extendedprice"))
+
+
 def _box_sql(by: str | None) -> str:
     g = f"{by}, " if by else ""
     grp = f"GROUP BY {by}" if by else ""

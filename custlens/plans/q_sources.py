@@ -49,7 +49,7 @@ def a3_union_files(spark, sf_dir):
     return fx_df(A.union_files([a, b]))
 
 
-@query("a4_replace_and_drop_table")
+@query("a4_replace_and_drop_table", "SELECT CAST(count(*) AS BIGINT) AS rows, false AS still_exists FROM nation")
 def a4_replace_and_drop_table(spark, sf_dir):
     """A4 create-or-replace (external table in the shared folder), read back,
     then A6 drop."""
@@ -162,24 +162,40 @@ SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(user_id AS VARCHAR) AS project_
 FROM events"""
 
 
-@query("a18_log_records", _LOG_SQL)
-def a18_log_records(spark, sf_dir):
+def _event_log(spark, sf_dir):
     e = Tables(spark, sf_dir).events
-    src = e.select(F.col("user_id").cast("string").alias("user_id"), F.col("user_id").cast("string").alias("project_id"),
+    return e.select(F.col("user_id").cast("string").alias("user_id"), F.col("user_id").cast("string").alias("project_id"),
                    F.concat_ws(" ", "event_type", F.col("value").cast("string")).alias("message"),
                    F.date_format("ts", "yyyy-MM-dd").alias("date"), F.date_format("ts", "HH:mm:ss").alias("time"),
                    F.col("event_id").cast("string").alias("exec_id"),
                    F.when(F.col("event_type") == "error",
                           F.struct(F.lit("ValueError").alias("exception_type"), F.lit("events").alias("filename"),
                                    F.col("event_id").alias("line_no"))).alias("traceback"))
-    rec = A.log_records(src)
-    # the nested traceback struct, flattened for comparison
+
+
+def _flat_log(rec):
+    """The nested traceback struct, flattened for comparison."""
     return rec.select("user_id", "project_id", "message", "date", "time", "exec_id",
                       F.col("traceback.exception_type").alias("tb_exception_type"),
                       F.col("traceback.filename").alias("tb_filename"),
                       F.col("traceback.line_no").alias("tb_line_no"))
 
 
+@query("a18_log_records", _LOG_SQL)
+def a18_log_records(spark, sf_dir):
+    return _flat_log(A.log_records(_event_log(spark, sf_dir)))
+
+
+@query("a18_log_append", _LOG_SQL)
+def a18_log_append(spark, sf_dir):
+    """Errors and all other events appended to one log by two calls, read back."""
+    path = A.scratch_dir(spark, "log")
+    log = _event_log(spark, sf_dir)
+    for part in (F.col("traceback").isNull(), F.col("traceback").isNotNull()):
+        A.log_records(log.where(part), path)
+    return _flat_log(spark.read.schema(A.LOG_SCHEMA).parquet(path))
+
+
 # ---------------------------------------------------------------- B
 SPEC = B.SchemaSpec(sample_file_name="events_01012024_000000.csv", date_len=8, time_len=6, n_columns=6,
                     columns={"event_id": "integer", "ts": "timestamp", "user_id": "integer",
@@ -238,7 +254,9 @@ def b8_route_counts(spark, sf_dir):
     return good.unionByName(bad).groupBy("status", "reason").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("b1_parse_schema_spec")
+@query("b1_parse_schema_spec", """
+SELECT CAST(event_id AS BIGINT) AS event_id, ts, CAST(user_id AS BIGINT) AS user_id, event_type,
+       CAST(value AS DOUBLE) AS value, props FROM events""")
 def b1_parse_schema_spec(spark, sf_dir):
     doc = ("{'SampleFileName': 'events_01012024_000000.csv', 'LengthOfDateStampInFile': 8, "
            "'LengthOfTimeStampInFile': 6, 'NumberofColumns': 6, 'ColName': {'event_id': 'INTEGER', "
@@ -247,7 +265,7 @@ def b1_parse_schema_spec(spark, sf_dir):
     st = spec.struct_type()
     # the parsed schema reads the events table's own columns
     e = Tables(spark, sf_dir).events
-    return e.select(*[F.col(f.name).cast(f.dataType) for f in st.fields])
+    return e.select(*[F.col(f.name).cast(f.dataType) for f in st.fields]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def _priority_csv_dirs(spark, sf_dir):

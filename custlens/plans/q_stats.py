@@ -106,6 +106,14 @@ def h6_qq_points(spark, sf_dir):
     return H.qq_points(Tables(spark, sf_dir).customer, "c_acctbal", 100)
 
 
+@query("h6_qq_samples", fx_sql(" UNION ALL ".join(
+    f"SELECT {(k - 0.5) / 20!r} AS prob, quantile_cont(c_acctbal, {(k - 0.5) / 20!r}) AS sample FROM customer"
+    for k in range(1, 21)), ["prob", "sample"]))
+def h6_qq_samples(spark, sf_dir):
+    """The sample side of the Q-Q points (the theoretical one is a normal quantile)."""
+    return fx_df(H.qq_points(Tables(spark, sf_dir).customer, "c_acctbal", 20).select("prob", "sample"))
+
+
 @query("h7_linear_fit", fx_sql("""
 SELECT o_orderkey, regr_intercept(o_totalprice, CAST(o_custkey AS DOUBLE)) OVER () + regr_slope(o_totalprice, CAST(o_custkey AS DOUBLE)) OVER () * o_custkey AS fitted
 FROM orders""", ["fitted"]))
