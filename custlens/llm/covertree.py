@@ -421,8 +421,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         split.where("is_hot is null").join(least.where(F.col("size") * HOT_SHARE <= named.count()), "p")
         .select("leaf", "component_id"))
     per_leaf = (of_leaf.join(leaves, "leaf").join(whole, "leaf", "left")
-                .select("leaf", "component_id", (F.col("k") - 1 + F.coalesce("m", F.lit(0))).alias("links")))
-    linked = (points.select("rid", "vec_id", "leaf").join(per_leaf, "leaf").join(single, "rid", "left")
+                .select("leaf", "component_id", "k", (F.col("k") - 1 + F.coalesce("m", F.lit(0))).alias("links")))
+    # rows meet their leaf: leaves of a large share of the rows by broadcast, the others by a shuffle
+    per_leaf = write_table(per_leaf, "leaves")
+    ids, n = points.select("rid", "vec_id", "leaf"), points.count()
+    large = F.col("k") * HOT_SHARE > F.lit(n)
+    met = ids.join(F.broadcast(per_leaf.where(large).drop("k")), "leaf", "left")
+    ready = met.where("links is not null")
+    other = met.where("links is null").select("rid", "vec_id", "leaf").join(per_leaf.where(~large).drop("k"), "leaf")
+    linked = (ready.unionByName(other).join(single, "rid", "left")
               .select("vec_id", (F.col("links") + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"))
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                         F.col("vec_id").alias("component_id"))

@@ -4,7 +4,6 @@ import collections
 import random
 
 import numpy as np
-import pytest
 
 from custlens.llm import covertree, htmltext, minhash, quality, secrets, urls
 from custlens.llm.shared import drawn
