@@ -210,9 +210,9 @@ class BlockLabeller:
         hf, hb = self._pass(x, mask, "f", False)[0], self._pass(x, mask, "b", False)[0]
         return _sigmoid(np.concatenate([hf, hb], axis=2) @ self.p["o"] + self.p["q"])[..., 0]
 
-    def gradients(self, x, mask, y, care):
-        """``care``: weight of every block in the loss."""
-        n = self.h
+    def gradients(self, x, mask, y, care=None):
+        """``care``: weight of every block in the loss (all real blocks alike if not given)."""
+        n, care = self.h, mask if care is None else care
         hf, tf = self._pass(x, mask, "f", True)
         hb, tb = self._pass(x, mask, "b", True)
         hh = np.concatenate([hf, hb], axis=2)
