@@ -208,8 +208,9 @@ def rfm_kmeans(df: DataFrame, cols: list[str], k: int = 5, seed: int = 42, max_i
     cost kept.  Returns ``(labelled_df, Clustering)``; rows with a null column
     get no cluster."""
     from .prep import minmax_exprs
+    df = stage_table(df, "rfm")
     x = df.withColumns(minmax_exprs(df, cols))
-    best = many_kmeans(stage_table(x.select(*cols), "kmeans"), cols, [k], n_init, max_iter, seed)[k]
+    best = many_kmeans(x.select(*cols), cols, [k], n_init, max_iter, seed)[k]
     return x.withColumn(out, nearest_center(cols, best.centers)), best
 
 
@@ -218,23 +219,30 @@ def elbow(df: DataFrame, cols: list[str], ks=range(1, 11), seed: int = 42, max_i
     """Within-cluster sum of squares per k, the lowest of ``n_init`` starts; all
     starts of all k are advanced in the same passes."""
     from .prep import minmax_exprs
-    x = stage_table(df.withColumns(minmax_exprs(df, cols)).select(*cols), "elbow")
-    got = many_kmeans(x, cols, ks, n_init, max_iter, seed)
+    x = stage_table(df.select(*cols), "elbow")
+    got = many_kmeans(x.withColumns(minmax_exprs(x, cols)), cols, ks, n_init, max_iter, seed)
     return df.sparkSession.createDataFrame([(k, c.cost, c.converged) for k, c in got.items()],
                                            "k int, wcss double, converged boolean")
 
 
 def silhouette(df: DataFrame, cols: list[str], ks=range(2, 11), seed: int = 42,
                max_iter: int = 100) -> DataFrame:
-    """Mean silhouette per k (Spark's evaluator, squared Euclidean)."""
+    """Mean silhouette per k (Spark's evaluator, squared Euclidean).  The rows
+    are staged, so that a round reads few partitions; the fits of all k run as
+    concurrent Spark jobs."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
-    feats = _features(df, cols).persist()
+    feats = _features(stage_table(df.select(*cols), "silhouette"), cols).select("features").persist()
+    feats.count()
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    rows = []
-    for k in ks:
+
+    def run(k):
         model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(feats)
-        rows.append((int(k), float(ev.evaluate(model.transform(feats)))))
+        return int(k), float(ev.evaluate(model.transform(feats)))
+    with ThreadPoolExecutor(max_workers=4) as ex:
+        rows = list(ex.map(run, ks))
     feats.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double")
 

@@ -43,3 +43,36 @@ def test_more_clusters_than_points(spark):
     assert got.cost == 0.0 and got.converged
     with pytest.raises(ValueError):
         many_kmeans(df.where("a > 9"), ["a", "b"], [2])
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_runs_of_rows_give_the_sums_of_single_rows(spark, monkeypatch, same):
+    """Many tiles and cells, also where two thirds of the rows are one point; whole runs are taken."""
+    from custlens.operators import kmeans as K
+    x = np.random.default_rng(3).uniform(size=(6000, 3))
+    x[:4000 if same else 0] = 0.25
+    monkeypatch.setattr(K, "TILE", 512)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "c0 double, c1 double, c2 double").repartition(3)
+    laid = K._laid_out(df, len(x), x[:2000])
+    back = np.array([tuple(r) for r in laid.collect()])
+    assert sorted(map(tuple, back)) == sorted(map(tuple, x))
+    runs = [x[i::1500][:k] + 0.001 for i in range(3) for k in (1, 2, 4)]
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in back.T], ["c0", "c1", "c2"])
+    got = np.array(next(iter(K._assign(runs)([batch])))["v"].to_pylist())
+    for c in runs:
+        gap = np.square(x[:, None] - c[None]).sum(axis=2)
+        own = gap.argmin(axis=1)
+        seen = [[(own == j).sum(), gap[own == j, j].sum(), *x[own == j].sum(axis=0)] for j in range(len(c))]
+        assert np.allclose(got[:len(c)], seen, atol=1e-8)
+        got = got[len(c):]
+
+
+def test_silhouette_stages_its_rows(spark, monkeypatch):
+    """Fits read staged rows, not one partition per shuffle partition."""
+    staged = []
+    monkeypatch.setattr(S, "stage_table", lambda df, name, f=S.stage_table: staged.append(f(df, name)) or staged[-1])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in blobs(np.random.default_rng(2), 40)], "a double, b double")
+    rows = S.silhouette(df.repartition(64, "a"), ["a", "b"], [5]).collect()
+    assert [r["k"] for r in rows] == [5] and rows[0]["silhouette"] > 0.7
+    assert len(staged) == 1 and staged[0].count() == 200
