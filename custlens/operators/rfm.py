@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .clean import sum_columns, to_day
 
 RFM_COLUMNS = ["cust_id", "uniq_age", "recency", "uniq_rec", "frequency",
@@ -59,11 +60,12 @@ def transaction_aggregates(df: DataFrame, id_col: str, amount_col: str, date_col
     Three aggregations, each shuffle smaller than the one before:
     full-row de-duplication (hash on every column, so one hot customer is
     spread over many tasks), then ``(id, day)``, then ``id``; every step is a
-    partial (map-side) aggregation first.
+    partial (map-side) aggregation first.  The number of partitions of the
+    first grows with the input files, so a task's tables do not.
     """
     t = df.na.drop() if drop_nulls else df.where(F.col(id_col).isNotNull() & F.col(date_col).isNotNull())
     t = t.withColumn(date_col, to_day(date_col))
-    dedup = t.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("__dup"))
+    dedup = spread(t, *t.columns).groupBy(*t.columns).agg(F.count(F.lit(1)).alias("__dup"))
     per_day = dedup.groupBy(id_col, date_col).agg(
         F.count(F.lit(1)).alias("__rows"),
         (F.sum(F.col(amount_col) * F.col("__dup")) if amount_col else F.lit(None).cast("double")).alias("__amt"))

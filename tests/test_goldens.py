@@ -167,3 +167,17 @@ def test_integer_mean_fill_and_string_split_key(spark):
     d = spark.createDataFrame([(f"k{i}", i % 2) for i in range(200)], "key string, y int")
     out = stratified_split(d, "y", key="key").groupBy("y", "split").count().collect()
     assert sum(r["count"] for r in out) == 200 and len(out) == 4
+
+
+def test_rfm_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """The full-row de-duplication gets more tasks for more input, with the same rows."""
+    from custlens import session
+    from custlens.operators.rfm import rfm_from_transactions
+    rows = [(i % 7, f"2020-01-{i % 28 + 1:02d}", float(i % 13)) for i in range(500)]
+    spark.createDataFrame(rows, "id int, day string, amt double").write.parquet(str(tmp_path / "tx"))
+    tx = spark.read.parquet(str(tmp_path / "tx"))
+    want = sorted(map(tuple, rfm_from_transactions(tx, "id", "amt", "day").collect()))
+    assert session.spread(tx, "id") is tx
+    monkeypatch.setattr(session, "SPREAD_BYTES", 50)
+    assert session.spread(tx, "id").rdd.getNumPartitions() > 20
+    assert sorted(map(tuple, rfm_from_transactions(tx, "id", "amt", "day").collect())) == want
