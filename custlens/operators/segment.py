@@ -227,15 +227,17 @@ def elbow(df: DataFrame, cols: list[str], ks=range(1, 11), seed: int = 42, max_i
 
 def silhouette(df: DataFrame, cols: list[str], ks=range(2, 11), seed: int = 42,
                max_iter: int = 100) -> DataFrame:
-    """Mean silhouette per k (Spark's evaluator, squared Euclidean).  The rows
-    are staged, so that a round reads few partitions; the fits of all k run as
-    concurrent Spark jobs."""
+    """Mean silhouette per k (Spark's evaluator, squared Euclidean).  Rows of
+    more than two partitions a core are staged first, so that a round is few
+    tasks; the fits of all k run as concurrent Spark jobs."""
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
-    feats = _features(stage_table(df.select(*cols), "silhouette"), cols).select("features").persist()
-    feats.count()
+    feats = dealt = _features(df, cols).persist()
+    if dealt.rdd.getNumPartitions() > 2 * df.sparkSession.sparkContext.defaultParallelism:
+        feats = _features(stage_table(dealt.select(*cols), "silhouette"), cols, "none").select("features").persist()
+        dealt.unpersist()
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
 
     def run(k):

@@ -68,11 +68,15 @@ def test_runs_of_rows_give_the_sums_of_single_rows(spark, monkeypatch, same):
         got = got[len(c):]
 
 
-def test_silhouette_stages_its_rows(spark, monkeypatch):
-    """Fits read staged rows, not one partition per shuffle partition."""
-    staged = []
-    monkeypatch.setattr(S, "stage_table", lambda df, name, f=S.stage_table: staged.append(f(df, name)) or staged[-1])
+def test_silhouette_rounds_are_few_tasks(spark):
+    """Fits read two partitions a core at most, not one per shuffle partition."""
+    from pyspark.ml.clustering import KMeans
+    seen, fit = [], KMeans._fit
     df = spark.createDataFrame([tuple(map(float, r)) for r in blobs(np.random.default_rng(2), 40)], "a double, b double")
-    rows = S.silhouette(df.repartition(64, "a"), ["a", "b"], [5]).collect()
+    try:
+        KMeans._fit = lambda self, x: seen.append((x.rdd.getNumPartitions(), x.count())) or fit(self, x)
+        rows = S.silhouette(df.repartition(64, "a"), ["a", "b"], [5]).collect()
+    finally:
+        KMeans._fit = fit
     assert [r["k"] for r in rows] == [5] and rows[0]["silhouette"] > 0.7
-    assert len(staged) == 1 and staged[0].count() == 200
+    assert seen[0][0] <= 2 * spark.sparkContext.defaultParallelism and seen[0][1] == 200
