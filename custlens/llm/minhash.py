@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, connected_components, write_table
+from .shared import WORD, connected_components, meet, write_table
 
 #: Distinct words a Python worker remembers the hash of.
 CACHE_WORDS = 500_000
@@ -133,8 +133,8 @@ def _sized(percent: int) -> Column:
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold, compared in full."""
-    return (pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
-            .join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+    left = meet(pairs, sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
+    return (meet(left, sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
             .where(_reached(percent)).select("a", "b"))
 
 
@@ -206,12 +206,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, coord
     values = classes.select("c", "n", F.explode(F.transform("sig", lambda v, i: F.shiftleft(i.cast("long"), 32) + v))
                             .alias("at"))
     common = values.groupBy("at").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = values.join(common, "at").groupBy("c", "n").agg(
+    shared = meet(values, common, "at").groupBy("c", "n").agg(
         F.array_sort(F.collect_list(F.struct("df", "at"))).alias("t")).where(F.size("t") >= matches)
     # values of its own are the rarest: they fill the prefix first
     prefix = F.slice("t", 1, F.size("t") - matches + 1)
     posted = write_table(
-        shared.select("c", "n", prefix.alias("t")).join(classes.select("c", "sig"), "c")
+        meet(shared.select("c", "n", prefix.alias("t")), classes.select("c", "sig"), "c")
         .select("c", "n", "sig", F.explode("t").alias("x"), F.transform("t", lambda x: x["at"]).alias("lists"))
         .select("x.at", "x.df", "c", "n", "sig", "lists"), "posted")
 
@@ -224,7 +224,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, coord
 
     brief = posted.where(F.col("df") <= short_list)
     a, b = side(brief, "a"), side(brief, "b").withColumnRenamed("at", "at_b")
-    pairs = a.join(b, (F.col("at") == F.col("at_b")) & (F.col("a") < F.col("b")) & _sized(percent) & first & near) \
+    pairs = meet(a, b, (F.col("at") == F.col("at_b")) & (F.col("a") < F.col("b")) & _sized(percent) & first & near) \
         .select("a", "b")
 
     long_rows = posted.where(F.col("df") > short_list)
@@ -242,19 +242,19 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, coord
     agreed = F.filter(F.transform("hubs", lambda h: F.struct(
         F.when((h["c"] != F.col("c")) & (100 * F.least(h["n"], F.col("n")) >= percent * F.greatest(h["n"], F.col("n"))),
                _agree(h["sig"], F.col("sig"))).otherwise(0).alias("k"), h["c"].alias("h"))), lambda x: x["k"] >= matches)
-    spokes = (looks.join(classes.select("c", "sig"), "c").join(picked, "at")
+    spokes = (meet(looks, classes.select("c", "sig"), "c").join(picked, "at")
               .select("c", F.explode(F.slice(F.sort_array(agreed, asc=False), 1, spokes_each)).alias("x"))
               .select(F.least("c", "x.h").alias("a"), F.greatest("c", "x.h").alias("b")))
     pairs = pairs.union(spokes)
     pairs = write_table(pairs.distinct(), "pairs")
 
     # sets of the classes in candidate pairs and in long lists, made once
-    needed = (pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(long_rows.select("c")).distinct()
-              .join(classes.select("c", "set_key", "doc_id", "text_key"), "c"))
-    with_text = needed.join(src, ["doc_id", "text_key"]).select("c", "set_key", "text")
+    needed = meet(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(long_rows.select("c")).distinct(),
+                  classes.select("c", "set_key", "doc_id", "text_key"), "c")
+    with_text = meet(needed, src, ["doc_id", "text_key"]).select("c", "set_key", "text")
     # a class without any id finds its text by the text's key
     nameless = src.where("doc_id is null").dropDuplicates(["text_key"]).select("text_key", "text")
-    with_text = with_text.union(needed.where("doc_id is null").join(nameless, "text_key").select("c", "set_key", "text"))
+    with_text = with_text.union(meet(needed.where("doc_id is null"), nameless, "text_key").select("c", "set_key", "text"))
     sets = write_table(with_text
                        .mapInArrow(_sets(width), "c long, s array<long>"), "sets")
     if sets.count() > needed.count():      # repeated rows
@@ -265,19 +265,19 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, coord
     # a member with more than its share of shingles that no other member has links with none
     for _ in range(2):
         members = long_rows.select("c").distinct()
-        own = (sets.join(members, "c").select("c", F.size("s").alias("n"), F.explode("s").alias("x"))
+        own = (meet(sets, members, "c").select("c", F.size("s").alias("n"), F.explode("s").alias("x"))
                .groupBy("x").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c"), F.min("n").alias("n"))
                .where("k = 1").groupBy("c", "n").agg(F.count(F.lit(1)).alias("own"))
                .where(100 * F.col("own") > (100 - percent) * F.col("n")))
         long_rows = write_table(long_rows.join(own.select("c"), "c", "left_anti"), "open")
 
     # what long lists still hold across components: members outside a list's largest component against all
-    rest = (long_rows.join(parts, F.col("c") == F.col("id"), "left")
+    rest = (meet(long_rows, parts, F.col("c") == F.col("id"), "left")
             .withColumn("p", F.coalesce("component", "c")).drop("id", "component"))
     largest = (rest.groupBy("at", "p").agg(F.count(F.lit(1)).alias("k")).groupBy("at")
                .agg(F.max_by("p", F.struct("k", "p")).alias("most"), F.count(F.lit(1)).alias("parts"))
                .where("parts > 1").select("at", "most"))
-    rest = rest.join(largest, "at").join(sets, "c")
+    rest = meet(rest.join(largest, "at"), sets, "c")
     # a list's members in hashed blocks; each pair of blocks is one bounded comparison
     cut = F.ceil(F.col("size") / block).cast("int")
     cells = (rest.join(posted.groupBy("at").agg(F.count(F.lit(1)).alias("size")), "at")
@@ -290,7 +290,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, coord
     if not across.isEmpty():
         parts = connected_components(links.union(across))
 
-    of_set = classes.join(parts, F.col("c") == F.col("id"), "left").select("set_key", F.coalesce("component", "c").alias("p"))
+    of_set = meet(classes, parts, F.col("c") == F.col("id"), "left").select("set_key", F.coalesce("component", "c").alias("p"))
     return signed.select("doc_id", "text_key", "n_shingles", "set_key"), of_set
 
 
@@ -303,14 +303,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                  spokes_each, block)
     ids = signed.where("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("doc_id"), F.min("text_key").alias("low_key"))
-    smallest = of_set.join(ids, "set_key").groupBy("p").agg(
+    smallest = meet(of_set, ids, "set_key").groupBy("p").agg(
         F.min("doc_id").alias("component_id"), F.min("low_key").alias("low_key"))
-    named = of_set.join(smallest, "p").select("set_key", "component_id", "low_key")
+    named = meet(of_set, smallest, "p").select("set_key", "component_id", "low_key")
     first = F.col("component_id").isNotNull() | F.col("text_key").eqNullSafe(F.col("low_key"))
     out = ["doc_id", "n_shingles", "component_id",
            (F.col("doc_id").eqNullSafe(F.col("component_id")) & first).alias("kept")]
     empty = signed.where("set_key is null").withColumns({"component_id": F.col("doc_id"), "low_key": F.col("text_key")})
-    return signed.join(named, "set_key").select(*out).union(empty.select(*out))
+    return meet(signed, named, "set_key").select(*out).union(empty.select(*out))
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
@@ -327,13 +327,13 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     # rows of one id and text are counted: they are told apart only where the chosen one repeats
     rows = signed.where("set_key is not null").groupBy("set_key", "doc_id", "text_key").agg(
         F.count(F.lit(1)).alias("times"))
-    first = write_table(rows.join(of_set, "set_key").groupBy("p").agg(
+    first = write_table(meet(rows, of_set, "set_key").groupBy("p").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "times")).alias("x"))
         .select(F.col("x.doc_id").alias("first_id"), F.col("x.text_key").alias("first_key"), "x.times"), "first")
     text = F.coalesce(F.col(text_col), F.lit(""))
     blank = ~text.rlike(WORD)
-    chosen = docs.where(~blank).join(first, F.col(id_col).cast("long").eqNullSafe(F.col("first_id"))
-                                     & (text_key(F.col(text_col)) == F.col("first_key")))
+    chosen = meet(docs.where(~blank), first, F.col(id_col).cast("long").eqNullSafe(F.col("first_id"))
+                  & (text_key(F.col(text_col)) == F.col("first_key")))
     once = chosen.where("times = 1").select(*docs.columns)
     if not first.where("times > 1").isEmpty():
         once = once.union(chosen.where("times > 1").groupBy("first_id", "first_key").agg(

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import write_table
+from .shared import meet, write_table
 
 #: Words (white-space separated) and pieces whose ids one Python worker keeps.
 CACHE_WORDS = 400_000
@@ -239,7 +239,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             break
         items, top = after.where("not done"), top // fan_in
     moved = moved.select("bin", "root", "shift", F.col("used").alias("total"))
-    return (pieces.join(moved, "bin", "left")
+    return (meet(pieces, moved, "bin", "left")
             .select("doc_id", "piece", "start", "length", "ids_crc32",
                     F.coalesce("root", "bin").alias("sequence_id"),
                     (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),

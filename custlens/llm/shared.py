@@ -35,6 +35,14 @@ def drop_table(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def meet(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join of two sides that grow with the corpus: sorted on both, never broadcast.
+    Spark sizes a side by its files and a guess of 4 to 20 bytes a list or
+    string, so what is exploded, or repeated and compressed well, looks small
+    enough to be sent through the driver."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def drawn(mark, size: int, n: int):
     """Whether a row with 64-bit hash ``mark`` is among about ``size`` of ``n``."""
     if n <= size:
@@ -67,10 +75,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         seen = mark
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").where(F.col("v") > F.col("u"))
+        large = (meet(both, low, "u").where(F.col("v") > F.col("u"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u")
+        small = (meet(large, low, "u")
                  .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
                                            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
                  .select("x.u", "x.v").where("u > v").distinct())

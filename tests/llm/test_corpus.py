@@ -357,6 +357,25 @@ def test_near_duplicates(spark, docs, odd):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_dedup_never_sizes_a_join_by_its_files(spark, monkeypatch):
+    """What an explode or well-compressed lists hide from Spark's guess is not
+    sent through the driver, though it looks small enough here."""
+    plans, write = {}, minhash.write_table
+
+    def noted(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+    monkeypatch.setattr(minhash, "write_table", noted)
+    words = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    docs = spark.createDataFrame([(i, words(i // 2) + " end" * (i % 2)) for i in range(40)], "doc_id long, text string")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) >= 10 << 20
+    kept = minhash.survivors(docs)
+    plans["kept"] = kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 40, 2))
+    for name in ("posted", "sets", "links", "kept"):
+        assert "Join" in plans[name] and "Broadcast" not in plans[name], name
+
+
 def test_near_dedup_stage_decides_by_row(spark):
     say = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
     rows = [(1, say("a")), (2, say("a") + " end"), (None, say("a")), (None, say("b")), (None, say("b")),
